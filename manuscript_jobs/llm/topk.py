@@ -119,7 +119,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, shard_rows: int = 8192, block
         F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256)).alias("v"), F.size(x).alias("dim")
     )
     whole = scratch.cut(whole, "vectors")
-    asked = whole.where(queries(F.col("id")))
+    asked = scratch.read("vectors", whole.schema).where(queries(F.col("id")))
     n, q = whole.count(), asked.select("id").distinct().count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_rows))
     asked = asked.dropDuplicates(["id", "dim"]) if q < asked.count() else asked

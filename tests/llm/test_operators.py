@@ -1,0 +1,440 @@
+"""The corpus operators against brute force, on small tables with nulls, empty and long texts, ties,
+repeated rows, clashing extra columns and no rows at all."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, key long, size long, hub string"
+
+
+def text(r, n):
+    return " ".join(r.choice(["alpha", "Beta", "gamma,", "δέλτα", "e", "zeta.", "eta", "theta", "iota", "kappa"]) for _ in range(n))
+
+
+def corpus(spark, seed=1):
+    r = random.Random(seed)
+    base = [text(r, n) for n in (80, 120, 200, 60, 40)]
+    rows = [None, "", "   \n\t ", "one", "one two", "One TWO", "x" * 5000, "is " * 300, base[0], base[0]]
+    for b in base:
+        for _ in range(4):
+            w = b.split(" ")
+            for _ in range(r.choice([1, 1, 2, 6])):
+                w[r.randrange(len(w))] = r.choice(["new", "other", "Word"]) + str(r.randrange(99))
+            rows.append(" ".join(w))
+    rows += [text(r, 30) + "\n" + base[1] + "\n" + text(r, 30), base[2][:300] + " " + text(r, 20), text(r, 3000)]
+    ids = list(range(len(rows)))
+    r.shuffle(ids)
+    out = [(i, t, "en", f"s{i % 3}" if i % 5 else None, None, 7, 8, 9, "z") for i, t in zip(ids, rows)]
+    return spark.createDataFrame(out, DOCS), {i: t for i, t in zip(ids, rows)}
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def shingle_set(t, size):
+    w = WORDS.findall((t or "").encode().translate(LOWER))
+    if 0 < len(w) < size:
+        return frozenset([tuple(w)])
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+
+def roots(n, links):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_urls(spark):
+    from manuscript_jobs.llm.url_filter import SOFT, STRICT, filter_urls
+
+    urls = [
+        None, "", "no scheme", "http://", "HTTPS://A.Example.COM/en/x?y#z", "http://www.example.com/en/", "http://x.net/es/1", "http://x.net/esp",
+        "http://com", "http://com/", "http://xcom/", "http://a.org/porn", "http://a.org/pornography", "http://a.org/free-casino", "http://a.org/free/free",
+        "http://a.org/?q=1\n/en", "a://b://c/d", "http://a.org/" + "free" * 5000, "http://fr.net/fr/a", "http://a.org/free-casino", "http://a.org/sexy",
+    ]
+    df = spark.createDataFrame([(i, u, "c", "d") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
+    got = {r.page_id: r for r in filter_urls(df).collect()}
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.match("[^/?#]*", rest)[0]
+            path = re.match("[^?#]*", rest[len(host) :])[0]
+            host = host.encode().translate(LOWER).decode()
+        fit = max(((len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
+        low = (u or "").encode().translate(LOWER).decode()
+        bounded = lambda t: re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", low)
+        own = "block" if any(map(bounded, STRICT)) or sum(w for t, w in SOFT if bounded(t)) >= 2 else "allow"
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, fit and fit[1], fit[2] if fit else own), u
+    assert filter_urls(df.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizers = pytest.importorskip("tokenizers")
+    files = pytest.importorskip("public_tokenizers")
+    return tokenizers.Tokenizer.from_file(files.path("word_bpe_49k.json"))
+
+
+def test_packing(spark, tokenizer):
+    from manuscript_jobs.llm.packing import pack
+
+    df, texts = corpus(spark)
+    odd = {900: "İstanbul ΣΑΣ ΟΔΟΣ\u00a0x\x1cy", 901: "a<|endoftext|>b it's WE'LL 12345 !!?? é e\u0301", 902: "日本語 テキスト\u3000🙂", 903: text(random.Random(5), 9000)}
+    df = df.union(spark.createDataFrame([(i, t, "en", "s", None, 7, 8, 9, "z") for i, t in odd.items()], DOCS))
+    texts = texts | odd
+    rows = pack(df.repartition(3), keep_ids=True, block=7).collect()
+    for i, t in texts.items():
+        want = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in mine for x in r.ids] == want
+        for r in mine:
+            assert (r.length, r.doc_tokens) == (len(r.ids), len(want)) and want[r.start : r.start + r.length] == r.ids
+            assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    for _, own in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), lambda r: r.sequence_id):
+        at = 0
+        for r in own:
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    assert pack(empty(spark)).count() == 0
+    twice = df.where("doc_id < 3")
+    assert sum(r.length for r in pack(twice.union(twice)).collect()) == 2 * sum(r.length for r in pack(twice).collect())
+
+
+def test_best_fit_is_the_tightest():
+    from manuscript_jobs.llm.packing import best_fit_decreasing
+
+    r = random.Random(3)
+    lengths = [r.randrange(1, 65) for _ in range(400)]
+    number, offset, made = best_fit_decreasing(lengths, 64)
+    room, want = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        fits = [x for x in room if x >= lengths[i]]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - lengths[i])
+        else:
+            room.append(64 - lengths[i])
+        want[i] = 1
+    assert made == len(room) and sum(want) == len(lengths)
+    fill = [sorted((o, n) for k, o, n in zip(number, offset, lengths) if k == w) for w in range(made)]
+    assert sorted(64 - sum(n for _, n in f) for f in fill) == sorted(room)
+    assert all(sum(n for _, n in f[:i]) == o for f in fill for i, (o, _) in enumerate(f))
+
+
+@pytest.mark.parametrize(("size", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 50, 100)])
+def test_ngram_join(spark, size, num, den):
+    from manuscript_jobs.llm.ngram_join import join_components
+
+    df, texts = corpus(spark, size)
+    ids = sorted(texts)
+    sets = [shingle_set(texts[i], size) for i in ids]
+    links = [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    want = {ids[i]: (len(sets[i]), ids[c]) for i, c in enumerate(roots(len(ids), links))}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_components(df, size, num, den).collect()}
+    assert got == want and len(links) > 3
+    assert join_components(empty(spark)).count() == 0
+
+
+def test_ngram_join_second_round_and_repeats(spark, monkeypatch):
+    """A hub that links with none of its bucket must not part those that link with each other."""
+    from manuscript_jobs.llm import similarity
+    from manuscript_jobs.llm.ngram_join import join_components
+
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    r = random.Random(9)
+    shared = [f"w{i}" for i in range(60)]
+    rows, k = [], 0
+    for g in range(12):
+        own = [f"g{g}x{i}" for i in range(60)]
+        for _ in range(3):
+            w = shared + own
+            w[100 + r.randrange(15)] = f"n{k}"
+            rows.append((k, " ".join(w)))
+            k += 1
+    rows += [(5, rows[5][1]), (7, "entirely other words " * 9), (None, rows[0][1]), (None, None)]
+    got = join_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert len(got) == len(rows)
+    sets = [shingle_set(t, 4) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links += [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] == rows[b][0] and sets[a] and sets[b]]
+    big = 1 << 62
+    comp = {}
+    root = roots(len(rows), links)
+    for i, (d, _) in enumerate(rows):
+        comp[root[i]] = min(comp.get(root[i], big), big if d is None else d)
+    want = sorted(str((d, len(sets[i]), None if comp[root[i]] == big else comp[root[i]])) for i, (d, _) in enumerate(rows))
+    assert sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in got) == want
+
+
+def test_fingerprints(spark):
+    from manuscript_jobs.llm import fingerprints as P
+
+    df, texts = corpus(spark)
+    ids = sorted(texts)
+    got = {r.doc_id: r for r in P.neighbour_likeness(df).collect()}
+    assert sorted(got) == ids
+    for i, nxt in zip(ids, ids[1:] + ids[:1]):
+        t, u, r = texts[i] or "", texts[nxt] or "", got[i]
+        n = len(t) // 4
+        edited = t[: len(t) - n] + u[:n]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        a, b, c = (shingle_set(x, 5) for x in (t, edited, u))
+        for est, x, y in ((r.near_edited, a, b), (r.near_next, a, c)):
+            true = len(x & y) / len(x | y) if x | y else 1.0
+            assert abs(est - true) <= (1e-9 if len(x | y) <= P.K else 0.15)
+        assert len(P.decode(r.fingerprint)) == min(P.K, len(a))
+    same = P.neighbour_likeness(spark.createDataFrame([(3, "a b"), (3, "a b"), (3, "c d e f"), (None, None)], "doc_id long, text string")).collect()
+    assert len(same) == 4 and len({r.fingerprint for r in same}) == 3
+    assert P.neighbour_likeness(empty(spark)).count() == 0
+    x, y = (" ".join(f"w{i}" for i in range(s, s + 4000)) for s in (0, 1000))
+    a, b = P.sketches([x, y])
+    whole = P.sketches([" ".join(f"w{i}" for i in range(5000))])[0]
+    assert (P.merge(a, b) == whole).all()
+    assert abs(P.distinct_count(a) - 3996) < 600 and abs(P.containment(a, b) - 0.75) < 0.15
+
+
+def test_paragraph_dedup(spark):
+    from manuscript_jobs.llm.paragraph_dedup import dedup_paragraphs
+
+    r = random.Random(4)
+    long = [text(r, n) for n in (60, 70, 90)]
+    near = long[0].split(" ")
+    near[30] = "changed"
+    docs = {
+        0: long[0] + "\nshort line\n" + text(r, 40), 1: "short line\n" + " ".join(near), 2: long[1] + "\n" + long[1], 3: None, 4: "",
+        5: text(r, 50) + "\n\n" + long[1] + "\n", 6: long[2], 7: long[2], 8: "short line",
+    }
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs.items()], "doc_id long, text string, item int, key long")
+    items = [(d, i, shingle_set(p, 5)) for d, t in docs.items() if t for i, p in enumerate(t.split("\n")) if len(p.split()) >= 20]
+    links = [(a, b) for a in range(len(items)) for b in range(a) if 100 * len(items[a][2] & items[b][2]) >= 80 * len(items[a][2] | items[b][2])]
+    want = {d: [] for d in docs}
+    for i, root in enumerate(roots(len(items), links)):
+        if root != i:
+            want[items[i][0]].append((items[i][1], *items[root][:2]))
+    got = {x.doc_id: x for x in dedup_paragraphs(df).collect()}
+    assert {d: [tuple(x) for x in g.removed] for d, g in got.items()} == want
+    for d, t in docs.items():
+        gone = {i for i, *_ in want[d]}
+        assert got[d].kept == "\n".join(p for i, p in enumerate((t or "").split("\n")) if i not in gone)
+    assert dedup_paragraphs(empty(spark)).count() == 0
+
+
+def test_mixing(spark):
+    from manuscript_jobs.llm.mixing import mix
+
+    df, texts = corpus(spark)
+    rows = mix(df).collect()
+    assert len(rows) == len(texts)
+    sizes = {i: len(WORDS.findall((t or "").encode())) for i, t in texts.items()}
+    assert {r.doc_id: r.size for r in rows} == sizes
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    names = sorted(s for s in by if s is not None) + [None]
+    total = {s: sum(r.size for r in by[s]) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, left = {}, 1.5 * sum(total.values())
+    while True:
+        free = [s for s in names if s not in target]
+        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * total[s]]
+        if not over:
+            target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            break
+        for s in over:
+            target[s] = 2.0 * total[s]
+        left = 1.5 * sum(total.values()) - sum(target.values())
+    for s in names:
+        assert abs(by[s][0].target - target[s]) < 1e-6 * max(1, target[s])
+        assert abs(sum(r.taken for r in by[s]) - target[s]) <= 1
+        assert all(0 <= r.taken <= 2 * r.size and r.source_size == total[s] for r in by[s])
+    assert sorted(map(str, mix(df.repartition(7)).collect())) == sorted(map(str, rows))
+    assert mix(empty(spark)).count() == 0
+    assert [r.taken for r in mix(spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")).collect()] == [0, 0]
+
+
+def removed_bytes(texts, n):
+    seen, out = set(), {}
+    for i in sorted(texts):
+        raw = (texts[i] or "").encode()
+        bad = bytearray(len(raw))
+        for s in range(len(raw) - n + 1):
+            w = raw[s : s + n]
+            if w in seen:
+                bad[s : s + n] = b"\1" * n
+            seen.add(w)
+        out[i] = bad
+    return out
+
+
+@pytest.mark.parametrize("group", [8192, 1])
+def test_suffix_dedup(spark, group):
+    from manuscript_jobs.llm.suffix_dedup import remove_repeats
+
+    df, texts = corpus(spark, group)
+    want = removed_bytes(texts, 100)
+    got = {r.doc_id: r for r in remove_repeats(df, group=group, carry=("lang",)).collect()}
+    assert sorted(got) == sorted(texts)
+    for i, bad in want.items():
+        raw = (texts[i] or "").encode()
+        spans = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(bad))]
+        assert [tuple(s) for s in got[i].spans] == spans and got[i].n_bytes == len(raw)
+        assert bytes(got[i].kept) == bytes(b for b, x in zip(raw, bad) if not x)
+    assert sum(map(sum, want.values())) > 1000
+    assert remove_repeats(empty(spark)).count() == 0
+    t = text(random.Random(8), 60)
+    odd = spark.createDataFrame([(1, t), (1, t), (1, t + " more"), (None, "x" + t), (None, None)], "doc_id long, text string")
+    rows = remove_repeats(odd).collect()
+    assert len(rows) == 5 and all((sum(s.end - s.begin for s in r.spans) > 0) == (r.doc_id == 1) for r in rows)
+    whole = {r.doc_id: bytes(r.kept).decode() for r in remove_repeats(df, whole_chars=True).collect()}
+    assert all(len(whole[i].encode()) >= len(got[i].kept) for i in whole)
+
+
+def test_sharding(spark):
+    from manuscript_jobs.llm.sharding import permute, shard
+
+    for n in (1, 2, 3, 17, 1000, 4097):
+        assert sorted(permute(np.arange(n), n, 5).tolist()) == list(range(n))
+    df, texts = corpus(spark)
+    rows = shard(df.union(df.limit(3)), 16).collect()
+    assert len(rows) == len(texts) + 3
+    for s in range(16):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots))) and len(slots) in (len(rows) // 16, len(rows) // 16 + 1)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    key = lambda rs: sorted((r.doc_id, r.shard, r.slot) for r in rs)
+    assert key(shard(df.repartition(5)).collect()) == key(shard(df).collect())
+    assert shard(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 40])
+def test_topk(spark, shard_rows):
+    from manuscript_jobs.llm.topk import top_k
+
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)], 0) for i in range(300)]
+    rows += [(400 + i, [0.5] * 6, 0) for i in range(60)]
+    rows += [(500, None, 1), (550, [float("nan")] * 6, 1), (551, [None] * 6, 1), (600, [1.0] * 3, 1), (None, [1.0] * 6, 1), (601, [2.0] * 3, 1), (602, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int")
+    fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, v in fine:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(w) == len(v))[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    got = [tuple(x) for x in top_k(df, lambda i: i % 50 == 0, 5, shard_rows, 3).collect()]
+    assert sorted(got) == sorted(want)
+    assert top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
+
+
+def test_crf_marginals():
+    from manuscript_jobs.llm.quality import marginals
+
+    r = np.random.default_rng(1)
+    bounds = np.array([0, 1, 4, 6])
+    unary, turn = r.normal(size=(6, 2)), r.normal(size=(2, 2))
+    good, pairs, norm = marginals(unary, bounds, turn)
+    for d, (s, e) in enumerate(zip(bounds, bounds[1:])):
+        total, at, two = 0.0, np.zeros(e - s), np.zeros((2, 2))
+        for path in itertools.product((0, 1), repeat=e - s):
+            p = np.exp(sum(unary[s + i, y] for i, y in enumerate(path)) + sum(turn[a, b] for a, b in zip(path, path[1:])))
+            total += p
+            at += p * np.array(path)
+            for a, b in zip(path, path[1:]):
+                two[a, b] += p
+        assert np.allclose(good[s:e], at / total) and np.allclose(pairs[d], two / total) and np.isclose(norm[d], np.log(total))
+
+
+def test_line_features():
+    from manuscript_jobs.llm.hashing import text_bytes
+    from manuscript_jobs.llm.quality import WIDTH, line_features
+
+    texts = ["", None, "one line", "a b\nA A!\n", "\n", "x\n\ny z"]
+    x, length, bounds = line_features(*text_bytes(pa.array(texts)))
+    assert np.diff(bounds).tolist() == [len((t or "").split("\n")) for t in texts] and x.shape == (bounds[-1], WIDTH)
+    assert (length - 1).tolist() == [len(p) for t in texts for p in (t or "").split("\n")]
+    own = (WIDTH - 1) // 3
+    for d in range(len(texts)):
+        s, e = bounds[d], bounds[d + 1]
+        alone, _, _ = line_features(*text_bytes(pa.array([texts[d]], pa.string())))
+        assert np.allclose(alone, x[s:e])
+        assert np.allclose(x[s : e - 1, :own], x[s + 1 : e, own : 2 * own]) and not x[s, own : 2 * own].any() and not x[e - 1, 2 * own : 3 * own].any()
+
+
+def test_quality(spark):
+    from manuscript_jobs.llm.quality import fit, held_out, score_documents
+
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 3 == 0
+        line = lambda: " ".join(w.upper() + "!!" for w in text(r, 12).split()) if bad else text(r, 12).capitalize() + "."  # noqa: B023, E731
+        rows.append((i, "\n".join(line() for _ in range(r.randrange(1, 6)))))
+        labels.append((i, int(not bad)))
+    rows += [(900, None), (901, ""), (902, "\n" * 3000), (902, "\n" * 3000)]
+    df = spark.createDataFrame([(*x, 0.5) for x in rows], "doc_id long, text string, score double")
+    lab = spark.createDataFrame([*labels, (5, None), (None, 1)], "doc_id long, quality int")
+    crf = fit(df, lab, lambda i: ~held_out(i), most=150)
+    got = {x.doc_id: x.score for x in score_documents(df, crf).collect()}
+    assert len(got) == 243 and all(0 <= s <= 1 for s in got.values())
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(got[i] >= 0.5) == (i % 3 != 0) for i in held]) > 0.97
+    none = fit(df, lab.limit(0), lambda i: ~held_out(i))
+    assert {x.score for x in score_documents(df, none).collect()} == {0.5}
+    assert score_documents(df.limit(0), crf).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(12)
+    base = [text(r, n).capitalize() + "." for n in (60, 90, 130, 70, 200, 80)]
+    texts = [*base, base[0], base[1] + " end", "\n".join(["LOUD!! NOISE!! " * 9] * 4), text(r, 40) + "\n" + base[4], None, ""]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i != 8), 0) for i in range(10) if i % 4 != 2], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_duplicates"](spark, docs.union(docs.where("doc_id = 3")), str(tmp_path))
+    assert sorted(x.doc_id for x in near.collect()) == [0, 1, 2, 3, 4, 5, 8, 10, 11]
+    want = removed_bytes(dict(enumerate(texts)), 100)
+    rep = {x.doc_id: x for x in stages["repeats"](spark, docs, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        if raw and all(want[i]):
+            assert i not in rep
+        elif raw.isascii():
+            assert rep[i].text == bytes(b for b, x in zip(raw, want[i]) if not x).decode() and rep[i].n_chars == len(rep[i].text)
+    from manuscript_jobs.llm.mixing import mix
+
+    taken = {x.doc_id: x.taken for x in mix(docs).collect()}
+    got = {i: 0 for i in taken}
+    for x in stages["mixing"](spark, docs, str(tmp_path)).collect():
+        got[x.doc_id] += len(WORDS.findall(x.text.encode()))
+    assert got == taken
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
