@@ -1,9 +1,9 @@
 """Components of items (texts or parts of texts) under an exact Jaccard threshold of their hash sets.
 
 Items with equal sets form a class, told by a 64-bit hash of the set; only classes meet, and only
-where they share a signature. In a signature's bucket every class is first held against one hub; after
-the first links are joined to components, a second round holds classes of different components in a
-bucket against each other, in blocks of bounded size. So a large group of copies never makes all its
+where they share a signature. In a signature's bucket every class is first held against one hub, then,
+after the first links are joined to components, against a few drawn by hash; a last round holds classes
+of different components in a bucket against each other, in blocks of bounded size. So a large group of copies never makes all its
 pairs, yet every pair that shares a signature is decided. Pairs are bounded from above by hashed parity
 bitmaps - every bit that differs is a hash only one set has - and the rest is decided by intersecting
 the exact sorted arrays, read again from the texts of the documents concerned alone.
@@ -243,12 +243,23 @@ def components(prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: It
     star = shared.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     links = _verified(_bounded(star, classes, num, den), docs, itemise, num, den, scratch, "star")
     first = connected_components(links, scratch, "first")
-    # The second round: classes that share a bucket but no component yet.
-    members = shared.select("sig", "key").distinct().join(first.withColumnRenamed("node", "key"), "key", "left")
-    members = members.withColumn("component", F.coalesce("component", "key"))
-    mixed = members.withColumn("_low", F.min("component").over(bucket)).withColumn("_top", F.max("component").over(bucket)).where("_low <> _top")
-    mixed = mixed.select("sig", "key", "component").join(classes.select("key", "n", "bits"), "key")
-    crossed = _cross(mixed.select("sig", "key", "component", "n", "bits"), num, den)
+
+    def mixed(joined: DataFrame, name: str) -> DataFrame:
+        """(sig, key, component): the buckets that hold several components."""
+        known = shared.select("sig", "key").distinct().join(joined.withColumnRenamed("node", "key"), "key", "left")
+        known = known.withColumn("component", F.coalesce("component", "key"))
+        spread = known.withColumn("_low", F.min("component").over(bucket)).withColumn("_top", F.max("component").over(bucket))
+        return scratch.cut(spread.where("_low <> _top").select("sig", "key", "component"), name)
+
+    # A few further hubs, drawn by hash from each bucket, join most of what the first hub left apart.
+    draw = F.struct(F.xxhash64("key", F.col("sig").bitwiseAND(3)), "key", "component")
+    drawn = mixed(first, "mixed-1").withColumn("_hub", F.min(draw).over(bucket)).where("_hub.component <> component")
+    drawn = drawn.select(F.col("_hub.key").alias("a"), F.col("key").alias("b")).distinct()
+    links = scratch.cut(links.union(_verified(_bounded(drawn, classes, num, den), docs, itemise, num, den, scratch, "drawn")), "links")
+    second = connected_components(links, scratch, "second")
+    # Last, all that share a bucket but no component yet.
+    rest = mixed(second, "mixed-2").join(classes.select("key", "n", "bits"), "key")
+    crossed = _cross(rest.select("sig", "key", "component", "n", "bits"), num, den)
     crossed = crossed.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verified(_bounded(crossed, classes, num, den), docs, itemise, num, den, scratch, "cross")
     every = links.union(more)
