@@ -249,10 +249,14 @@ def page_token(text: Column) -> Column:
 
 def format_page_value(value: Column, style: Column) -> Column:
     """The printed form of a page number in a style."""
-    out, rest = F.lit(""), value
-    for amount, letters in ROMAN:
-        times = F.floor(rest / amount).cast("int")
-        out, rest = F.concat(out, F.repeat(F.lit(letters), times)), rest - times * amount
+    step = F.array(*[F.struct(F.lit(amount).alias("amount"), F.lit(letters).alias("letters")) for amount, letters in ROMAN])
+    begin = F.struct(F.lit("").alias("out"), value.cast("int").alias("rest"))
+
+    def add(a, s):
+        times = F.floor(a["rest"] / s["amount"]).cast("int")
+        return F.struct(F.concat(a["out"], F.repeat(s["letters"], times)).alias("out"), (a["rest"] - times * s["amount"]).alias("rest"))
+
+    out = F.aggregate(step, begin, add)["out"]
     roman = F.when(style == "roman_upper", F.upper(out)).otherwise(out)
     return F.when(style.isin("roman_lower", "roman_upper") & (value > 0), roman).otherwise(value.cast("string"))
 

@@ -1,7 +1,8 @@
 """Rules read out of format guides, merged, normalised and validated.
 
-Guides are (guide_id, text). All extraction is column expressions over the flattened text, so a guide
-costs one narrow pass; only sentence classification explodes and regroups, by guide.
+Guides are (guide_id, text, flat), ``with_flat`` adding the flattened text once. All extraction is column
+expressions over it, so a guide costs one narrow pass; only sentence classification explodes and regroups,
+by guide.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ def flat(text: Column) -> Column:
     return T.flatten_guide_text(text)
 
 
+def with_flat(guides: DataFrame) -> DataFrame:
+    return guides.withColumn("flat", flat(F.col("text")))
+
+
 def guide_sentences(guides: DataFrame) -> DataFrame:
     """Sentences of 8 to 400 characters, cleaned, with their place."""
     parts = F.split("text", r"[.!?]+\s+|\n+")
@@ -64,13 +69,13 @@ def label_value(text: Column, label: str, stop: str = r"[.;]") -> Column:
 
 
 def extract_paper(text: Column) -> Column:
-    t = flat(text)
+    t = text
     name = T.parse_paper_size(F.regexp_extract(t, r"(?i)([^.]*(?:\.[0-9][^.]*)*\b(?:paper|bond)\b[^.]*(?:\.[0-9][^.]*)*)", 1))["name"]
     return F.struct(name.alias("paper"), F.when(t.rlike("(?i)portrait"), "portrait").when(t.rlike("(?i)landscape"), "landscape").alias("orientation"), T.spacing_landscape_options(t)["landscape"].alias("landscape_pages"))
 
 
 def extract_spacing_indent(text: Column) -> Column:
-    t = flat(text)
+    t = text
     labelled = label_value(t, "line spacing")
     said = F.regexp_extract(t, r"(?i)((?:double|single|one and a half|[0-9.]+)[ -]*(?:spaced|spacing|line))", 1)
     indent = F.regexp_extract(t, rf"(?i)indent[a-z]*[^.0-9½]*((?:{MEASURE})\s*(?:{UNIT}|tabs?))", 1)
@@ -79,13 +84,13 @@ def extract_spacing_indent(text: Column) -> Column:
 
 def uniform_mentions(text: Column) -> Column:
     """Margins said to hold on all sides, in order, in inches."""
-    found = F.regexp_extract_all(flat(text), F.lit(rf"(?i)margins?(?: of|:)?\s*((?:{MEASURE})\s*{UNIT}) on all sides"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)margins?(?: of|:)?\s*((?:{MEASURE})\s*{UNIT}) on all sides"), F.lit(1))
     return F.transform(found, lambda x: F.round(T.parse_length_inches(x), 2))
 
 
 def extract_margins(text: Column) -> Column:
     """map side -> inches: named sides over the last uniform value."""
-    t, all_ = flat(text), uniform_mentions(text)
+    t, all_ = text, uniform_mentions(text)
     last = F.try_element_at(all_, F.lit(-1))
     side = lambda s: F.round(T.parse_length_inches(F.nullif(F.regexp_extract(t, rf"(?i)\b{s} margin\s*[:=]?\s*((?:{MEASURE})\s*{UNIT})", 1), F.lit(""))), 2)
     full = F.map_from_arrays(F.array(*[F.lit(s) for s in ("left", "right", "top", "bottom")]), F.array(*[F.coalesce(side(s), last) for s in ("left", "right", "top", "bottom")]))
@@ -94,7 +99,7 @@ def extract_margins(text: Column) -> Column:
 
 def margin_conflicts(guides: DataFrame) -> DataFrame:
     """Guides with two or more distinct uniform margins: the later is chosen, the earlier rejected."""
-    m = uniform_mentions(F.col("text"))
+    m = uniform_mentions(F.col("flat"))
     return guides.withColumn("m", m).where(F.size(F.array_distinct("m")) >= 2).select(
         "guide_id", F.size("m").alias("n_mentions"), F.element_at("m", -1).alias("chosen"), F.element_at(F.filter("m", lambda v: v != F.element_at("m", -1)), -1).alias("rejected")
     )
@@ -106,15 +111,15 @@ def expand_margins(rules: DataFrame) -> DataFrame:
     return rules.select("guide_id", *sides)
 
 
-def extract_alignment(text: Column) -> Column:
-    t = flat(text)
+def extract_alignment(t: Column, text: Column) -> Column:
+    """From the flattened text, and overrides from the lines of the text."""
     said = F.regexp_extract(t, r"(?i)((?:justify|justified|align|flush)[^.]*)", 1)
     return F.struct(T.parse_alignment(F.nullif(said, F.lit(""))).alias("alignment"), T.alignment_overrides(text).alias("overrides"))
 
 
 def extract_fonts(text: Column) -> Column:
     """Families in order of appearance, body and heading sizes."""
-    t = flat(text)
+    t = text
     hits = F.filter(F.array(*[F.struct(F.instr(t, f).alias("at"), F.lit(f).alias("name")) for f in T.FONTS]), lambda x: x["at"] > 0)
     names = F.slice(F.transform(F.array_sort(hits), lambda x: x["name"]), 1, CAP)
     head = F.regexp_extract(t, r"(?i)headings?(?: [0-9])?[^.]*?([0-9]+)\s*pt", 1)
@@ -125,7 +130,7 @@ def extract_fonts(text: Column) -> Column:
 
 def body_size_candidates(guides: DataFrame) -> DataFrame:
     """Sizes named in a guide, scored by the words before them; the best, then the earliest, wins."""
-    parts = F.regexp_extract_all(flat(F.col("text")), F.lit(r"([^.;]{0,40}?[0-9]+\s*pt)"), F.lit(1))
+    parts = F.regexp_extract_all(F.col("flat"), F.lit(r"([^.;]{0,40}?[0-9]+\s*pt)"), F.lit(1))
     c = guides.select("guide_id", F.posexplode(parts).alias("at", "part"))
     low = F.lower("part")
     points = 1 + F.when(low.rlike("font|body|text"), 3).otherwise(0) + F.when(low.rlike("use"), 1).otherwise(0) - F.when(low.rlike("head|title|caption"), 4).otherwise(0)
@@ -136,40 +141,42 @@ def body_size_candidates(guides: DataFrame) -> DataFrame:
 
 def ambiguous_values(guides: DataFrame) -> DataFrame:
     """Alternatives such as "11 or 12 pt", each pair once a guide."""
-    found = F.regexp_extract_all(flat(F.col("text")), F.lit(r"([0-9]+(?:\.[0-9]+)? or [0-9]+(?:\.[0-9]+)?\s*pt)"), F.lit(1))
+    found = F.regexp_extract_all(F.col("flat"), F.lit(r"([0-9]+(?:\.[0-9]+)? or [0-9]+(?:\.[0-9]+)?\s*pt)"), F.lit(1))
     return guides.select("guide_id", F.explode(F.array_distinct(found)).alias("source"))
 
 
 def extract_pagination(text: Column) -> Column:
-    t = flat(text)
+    t = text
     said = F.nullif(F.regexp_extract(t, r"(?i)((?:no page numbers|page numbers?|numbers at)[^.;]*)", 1), F.lit(""))
-    o, p = T.pagination_options(t), T.page_position(said)
+    front = F.regexp_extract(t, r"(?i)([^.;]*\b(?:preliminary|numerals?)\b[^.;]*)", 1)
+    o, p = T.pagination_options(front), T.page_position(said)
     return F.struct(p["label"].alias("position"), o["preliminary"].alias("preliminary"), F.when(said.isNotNull(), p["no_numbers"]).alias("no_numbers"))
 
 
 def extract_heading_styles(text: Column, most: int = 3) -> Column:
     """map level -> style of "Heading n: ..." labels."""
-    t = flat(text)
+    t = text
     levels = F.array(*[F.struct(F.lit(i).alias("level"), label_value(t, rf"heading {i}").alias("said")) for i in range(1, most + 1)])
     return F.map_from_entries(F.transform(F.filter(levels, lambda x: x["said"].isNotNull()), lambda x: F.struct(x["level"], T.heading_style_from_text(x["said"]))))
 
 
 def extract_layout_rules(text: Column) -> Column:
     """Sentences on tables and figures, cut at 300 characters."""
-    one = lambda word: F.nullif(F.substring(F.trim(F.regexp_extract(flat(text), rf"(?i)([^.;]*\b{word}s?\b[^.;]*)", 1)), 1, 300), F.lit(""))
+    one = lambda word: F.nullif(F.substring(F.trim(F.regexp_extract(text, rf"(?i)([^.;]*\b{word}s?\b[^.;]*)", 1)), 1, 300), F.lit(""))
     return F.struct(one("table").alias("tables"), one("figure").alias("figures"))
 
 
 def extract_citation_style(text: Column) -> Column:
     """Only where a style is named as such."""
-    return F.nullif(F.regexp_extract(F.upper(flat(text)), r"\b(APA|MLA|IEEE)\b(?: STYLE|\.|$)|STYLE: (APA|MLA|IEEE)", 1), F.lit(""))
+    named = [F.nullif(F.regexp_extract(F.upper(text), p, 1), F.lit("")) for p in (r"\b(APA|MLA|IEEE) STYLE", r"STYLE: (APA|MLA|IEEE)\b")]
+    return F.coalesce(*named)
 
 
 def derive_rules(guides: DataFrame) -> DataFrame:
     """All of a guide's rules in one row."""
-    t = F.col("text")
+    t = F.col("flat")
     return guides.select(
-        "guide_id", extract_paper(t).alias("paper"), extract_spacing_indent(t).alias("spacing"), extract_margins(t).alias("margins"), extract_alignment(t).alias("alignment"),
+        "guide_id", extract_paper(t).alias("paper"), extract_spacing_indent(t).alias("spacing"), extract_margins(t).alias("margins"), extract_alignment(t, F.col("text")).alias("alignment"),
         extract_fonts(t).alias("font"), extract_pagination(t).alias("pagination"), extract_heading_styles(t).alias("headings"), extract_citation_style(t).alias("citation_style"),
     )
 
@@ -214,7 +221,7 @@ SCHEMA = (("Paper", "paper"), ("Spacing", "spac"), ("Margins", "margin"), ("Alig
 
 def validate_guide_schema(guides: DataFrame) -> DataFrame:
     """Fields of the fixed schema that a guide lacks, or has without a value."""
-    low = F.lower(flat(F.col("text")))
+    low = F.lower(F.col("flat"))
     rows = []
     for section, pattern in SCHEMA:
         sentence = F.regexp_extract(low, rf"([^.;]*(?:{pattern})[^.;]*)", 1)
@@ -241,7 +248,7 @@ ASSIST = (("visual_layout", "table|figure"), ("title_page", "title page"), ("ima
 
 def harvest_assist_items(guides: DataFrame) -> DataFrame:
     """Narrative requirements by pattern: one item per kind found, with the sentence that says it."""
-    t = flat(F.col("text"))
+    t = F.col("flat")
     rows = [F.when(F.lower(t).rlike(p), F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_extract(t, rf"(?i)([^.;]*(?:{p})[^.;]*)", 1)).alias("said"))) for k, p in ASSIST]
     return guides.select("guide_id", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
 

@@ -170,7 +170,7 @@ def view_sends(t):
     )
 
 
-SQL["sends"] = "SELECT user_id AS owner, CASE WHEN event_id % 2 = 0 THEN 'verify_email' ELSE 'reset_password' END AS purpose, epoch(ts)::BIGINT AS at, event_id FROM events"
+SQL["sends"] = "SELECT user_id AS owner, CASE WHEN event_id % 2 = 0 THEN 'verify_email' ELSE 'reset_password' END AS purpose, floor(epoch(ts))::BIGINT AS at, event_id FROM events"
 
 
 def view_metrics(t):

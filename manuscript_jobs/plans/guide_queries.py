@@ -34,7 +34,7 @@ def _at(i: int) -> str:
 
 def view_guides(t):
     said = F.concat_ws("\n", *[_pick(p, _index(i)) for i, p in enumerate(PARTS)])
-    return t.documents.select(F.col("doc_id").alias("guide_id"), F.concat(said, F.lit("\n"), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")).alias("text"))
+    return G.with_flat(t.documents.select(F.col("doc_id").alias("guide_id"), F.concat(said, F.lit("\n"), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")).alias("text")))
 
 
 fixtures.view_guides = view_guides
@@ -79,18 +79,18 @@ def predicted_rules(t):
 
 @query("label_value", f"SELECT guide_id, {_of(0, ('A4', None, None, None))} AS paper_size, {_of(1, (None, '1.5 lines', None, None))} AS line_spacing, {_of(4, ('Times New Roman, 12 pt', None, None, None))} AS font FROM gids")
 def label_value(t):
-    x = G.flat(F.col("text"))
+    x = F.col("flat")
     return t.guides.select("guide_id", G.label_value(x, "paper size").alias("paper_size"), G.label_value(x, "line spacing").alias("line_spacing"), G.label_value(x, "font").alias("font"))
 
 
 @query("extract_paper", f"SELECT guide_id, {_of(0, ('A4', 'LETTER', 'LEGAL', None))} AS paper, {_of(0, (None, 'portrait', 'landscape', None))} AS orientation FROM gids")
 def extract_paper(t):
-    return t.guides.select("guide_id", G.extract_paper(F.col("text")).alias("p")).select("guide_id", "p.paper", "p.orientation")
+    return t.guides.select("guide_id", G.extract_paper(F.col("flat")).alias("p")).select("guide_id", "p.paper", "p.orientation")
 
 
 @query("extract_spacing_indent", f"SELECT guide_id, {_of(1, (2.0, 1.5, 1.0, None))}::DOUBLE AS line_spacing, {_of(1, (None, None, 0.5, None))}::DOUBLE AS indent FROM gids")
 def extract_spacing_indent(t):
-    return t.guides.select("guide_id", G.extract_spacing_indent(F.col("text")).alias("p")).select("guide_id", "p.line_spacing", "p.indent")
+    return t.guides.select("guide_id", G.extract_spacing_indent(F.col("flat")).alias("p")).select("guide_id", "p.line_spacing", "p.indent")
 
 
 _M = [f'{_of(2, v)}::DOUBLE AS "{s}"' for s, v in (("left", (1.0, 1.5, 1.5, None)), ("right", (1.0, 1.0, 1.5, None)), ("top", (1.0, None, 1.5, None)), ("bottom", (1.0, None, 1.5, None)))]
@@ -99,7 +99,7 @@ _SIDES = ("left", "right", "top", "bottom")
 
 @query("extract_margins", f"SELECT guide_id, {', '.join(_M)} FROM gids")
 def extract_margins(t):
-    return t.guides.select("guide_id", G.extract_margins(F.col("text")).alias("m")).select("guide_id", *[F.try_element_at("m", F.lit(s)).alias(s) for s in _SIDES])
+    return t.guides.select("guide_id", G.extract_margins(F.col("flat")).alias("m")).select("guide_id", *[F.try_element_at("m", F.lit(s)).alias(s) for s in _SIDES])
 
 
 @query("margin_conflicts", f"SELECT guide_id, 2 AS n_mentions, 1.5::DOUBLE AS chosen, 1.0::DOUBLE AS rejected FROM gids WHERE {_at(2)} = 2")
@@ -112,14 +112,14 @@ _E = [f'{_of(2, v)}::DOUBLE AS "{s}"' for s, v in (("left", (1.0, 1.5, 9.0, None
 
 @query("expand_margins", f"SELECT guide_id, {', '.join(_E)} FROM gids")
 def expand_margins(t):
-    m = G.extract_margins(F.col("text"))
-    only_all = F.when(F.size(G.uniform_mentions(F.col("text"))) == 1, F.create_map(F.lit("all"), F.lit(1.0))).when(F.size(G.uniform_mentions(F.col("text"))) == 2, F.create_map(F.lit("all"), F.lit(9.0))).otherwise(m)
+    m = G.extract_margins(F.col("flat"))
+    only_all = F.when(F.size(G.uniform_mentions(F.col("flat"))) == 1, F.create_map(F.lit("all"), F.lit(1.0))).when(F.size(G.uniform_mentions(F.col("flat"))) == 2, F.create_map(F.lit("all"), F.lit(9.0))).otherwise(m)
     return G.expand_margins(t.guides.select("guide_id", only_all.alias("margins")))
 
 
 @query("extract_alignment", f"SELECT guide_id, {_of(3, ('justify', 'left', None, None))} AS alignment, {_of(3, (None, None, None, 'center'))} AS page_2 FROM gids")
 def extract_alignment(t):
-    return t.guides.select("guide_id", G.extract_alignment(F.col("text")).alias("a")).select("guide_id", "a.alignment", F.try_element_at("a.overrides", F.lit(2)).alias("page_2"))
+    return t.guides.select("guide_id", G.extract_alignment(F.col("flat"), F.col("text")).alias("a")).select("guide_id", "a.alignment", F.try_element_at("a.overrides", F.lit(2)).alias("page_2"))
 
 
 _FAMILIES = ("Times New Roman", "Arial", "Arial,Calibri", "")
@@ -127,7 +127,7 @@ _FAMILIES = ("Times New Roman", "Arial", "Arial,Calibri", "")
 
 @query("extract_fonts", f"SELECT guide_id, {_of(4, _FAMILIES)} AS families, {_of(4, (None, None, 14.0, None))}::DOUBLE AS heading_size FROM gids")
 def extract_fonts(t):
-    return t.guides.select("guide_id", G.extract_fonts(F.col("text")).alias("f")).select("guide_id", F.concat_ws(",", "f.families").alias("families"), "f.heading_size")
+    return t.guides.select("guide_id", G.extract_fonts(F.col("flat")).alias("f")).select("guide_id", F.concat_ws(",", "f.families").alias("families"), "f.heading_size")
 
 
 @query("body_size_candidates", f"SELECT guide_id, {_of(4, (12, 12, 11, 0))} AS size FROM gids WHERE {_at(4)} < 3")
@@ -142,23 +142,23 @@ def ambiguous_values(t):
 
 @query("extract_pagination", f"SELECT guide_id, {_of(5, ('Top right', 'No page numbers', 'Bottom center', None))} AS position, {_of(5, (None, None, 'roman', None))} AS preliminary FROM gids")
 def extract_pagination(t):
-    return t.guides.select("guide_id", G.extract_pagination(F.col("text")).alias("p")).select("guide_id", "p.position", "p.preliminary")
+    return t.guides.select("guide_id", G.extract_pagination(F.col("flat")).alias("p")).select("guide_id", "p.position", "p.preliminary")
 
 
 @query("extract_heading_styles", f"SELECT guide_id, {_of(7, ('upper', None, None, None))} AS case_1, {_of(7, ('left', None, None, None))} AS align_2 FROM gids")
 def extract_heading_styles(t):
-    m = G.extract_heading_styles(F.col("text"))
+    m = G.extract_heading_styles(F.col("flat"))
     return t.guides.select("guide_id", F.try_element_at(m, F.lit(1))["letter_case"].alias("case_1"), F.try_element_at(m, F.lit(2))["alignment"].alias("align_2"))
 
 
 @query("extract_layout_rules", f"SELECT guide_id, {_at(7)} = 2 AS has_tables FROM gids")
 def extract_layout_rules(t):
-    return t.guides.select("guide_id", G.extract_layout_rules(F.col("text"))["tables"].isNotNull().alias("has_tables"))
+    return t.guides.select("guide_id", G.extract_layout_rules(F.col("flat"))["tables"].isNotNull().alias("has_tables"))
 
 
 @query("extract_citation_style", f"SELECT guide_id, {_of(6, ('APA', 'MLA', 'IEEE', None))} AS style FROM gids")
 def extract_citation_style(t):
-    return t.guides.select("guide_id", G.extract_citation_style(F.col("text")).alias("style"))
+    return t.guides.select("guide_id", G.extract_citation_style(F.col("flat")).alias("style"))
 
 
 @query(
@@ -172,7 +172,7 @@ def derive_rules(t):
 
 @query("merge_fill", f"SELECT guide_id, coalesce({_of(3, ('justify', 'left', None, None))}, 'center') AS alignment, {_of(4, ('Times New Roman,Georgia', 'Arial,Georgia', 'Arial,Calibri,Georgia', 'Georgia'))} AS families FROM gids")
 def merge_fill(t):
-    base = t.guides.select("guide_id", G.extract_alignment(F.col("text"))["alignment"].alias("alignment"), G.extract_fonts(F.col("text"))["families"].alias("families"))
+    base = t.guides.select("guide_id", G.extract_alignment(F.col("flat"), F.col("text"))["alignment"].alias("alignment"), G.extract_fonts(F.col("flat"))["families"].alias("families"))
     extra = t.guides.select("guide_id", F.lit("center").alias("alignment"), F.array(F.lit("Georgia")).alias("families"))
     return G.merge_fill(base, extra, ["alignment"], ["families"]).withColumn("families", F.concat_ws(",", "families"))
 
@@ -259,5 +259,5 @@ def guide_kind(t):
         LEFT JOIN (SELECT doc_id, max_by(alignment, (c, alignment)) AS top FROM (SELECT doc_id, alignment, count(*) AS c FROM units GROUP BY 1, 2) GROUP BY 1) u ON u.doc_id = g.guide_id""",
 )
 def embodied_alignment(t):
-    rules = t.guides.select("guide_id", G.extract_alignment(F.col("text"))["alignment"].alias("alignment"))
+    rules = t.guides.select("guide_id", G.extract_alignment(F.col("flat"), F.col("text"))["alignment"].alias("alignment"))
     return G.embodied_alignment(t.units, rules)

@@ -12,11 +12,11 @@ from ..operators import layout as Y
 from . import fixtures
 from .registry import query
 
-_KIND = "(doc_id * 7 + n * 3) % 24"
+_KIND = "(doc_id * 7 + n * 5) % 24"
 
 
 def view_marked(t):
-    k, head, num = (F.col("doc_id") * 7 + F.col("n") * 3) % 24, F.substring("text", 1, 30), (F.col("n") % 9 + 1).cast("string")
+    k, head, num = (F.col("doc_id") * 7 + F.col("n") * 5) % 24, F.substring("text", 1, 30), (F.col("n") % 9 + 1).cast("string")
     c = F.concat
     text = (
         F.when(k == 0, c(F.lit("Table "), num, F.lit(". "), head)).when(k == 1, c(F.lit("Figure "), num, F.lit(" shows the values of "), head)).when(k == 2, c(F.lit("CHAPTER "), F.repeat(F.lit("I"), (F.col("n") % 3 + 1).cast("int"))))
