@@ -89,7 +89,7 @@ class WordTokens:
     under the word's 64-bit hash. The store is emptied at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -117,7 +117,7 @@ class WordTokens:
     def _tokenize(self, texts: list[str]) -> list[bytes]:
         plain = [bool(self.plain(w)) and "<|" not in w for w in texts]
         parts = [self.split(w.lower()) if p else None for w, p in zip(texts, plain)]
-        if len(self.pieces) > 300_000:
+        if len(self.pieces) > 100_000:
             self.pieces = {}
         fresh = list({p for q in parts if q for p in q}.difference(self.pieces))
         if fresh:
@@ -215,7 +215,7 @@ def pack(
         for batch in batches:
             keys = batch.column(0).to_pylist()
             data, offsets = H.text_bytes(batch.column(1))
-            for a, b in H.slices(offsets, 3_000_000):
+            for a, b in H.slices(offsets, 1_000_000):
                 ids, bounds = tokens.ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 whole = []
                 for d in range(b - a):

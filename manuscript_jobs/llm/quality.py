@@ -238,16 +238,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable, most: int = 4000, most_lines
 def score_documents(docs: DataFrame, crf: Crf, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``score`` of every row, in one pass without a shuffle."""
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
-        data, offsets = H.text_bytes(pa.array(texts, pa.large_string()))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        data, offsets = H.text_bytes(texts)
         out = []
-        for a, b in H.slices(offsets, 1_000_000):
+        for a, b in H.slices(offsets):
             x, lengths, bounds = line_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             out.append(crf.score(x, lengths, bounds))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return docs.select(*keep, scored(F.coalesce(F.col(text), F.lit(""))).alias("score"))
 

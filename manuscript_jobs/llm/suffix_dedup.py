@@ -113,14 +113,14 @@ def _runs(doc: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return doc[head], start[head], start[tail] + n
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, n: int, k: int, group: int, batch_bytes: int = 1_500_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, n: int, k: int, group: int, batch_bytes: int = 750_000) -> DataFrame:
     """(doc_id, begin, end) of bytes to remove, from (doc_id, text) with distinct ids; spans may overlap."""
 
     def found(batches):
         for batch in batches:
             ids = batch.column(0)
             data, offsets = H.text_bytes(batch.column(1))
-            for a, b in H.slices(offsets, 1_500_000):
+            for a, b in H.slices(offsets):
                 doc, first, shift, more, anchor, block = blocks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n, k)
                 yield pa.RecordBatch.from_arrays(
                     [
