@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,12 @@ class Scratch:
         for name in names:
             _delete(self.spark, f"{self.root}/{name}")
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now: it does so when the driver's collector
+        finds their plans unused, which else may be much later."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

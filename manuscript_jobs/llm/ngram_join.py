@@ -100,15 +100,16 @@ def join_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).alias("text"))
     tiles, itemise = Tiles(num, den), whole_texts(size)
     prep = scratch.cut(prepared(docs, itemise, lambda hashes, bounds: signatures(hashes, bounds, tiles)), "prepared")
+    rows = scratch.cut(prep.select("doc_id", "n", "key"), "rows")
     classes = classes_of(prep, scratch)
     # Rows of one id with different texts belong together.
-    several = prep.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("_top")).where("a <> _top")
-    several = prep.where("n > 0").select("doc_id", "key").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("key").alias("b"))
+    several = rows.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("_top")).where("a <> _top")
+    several = rows.where("n > 0").select("doc_id", "key").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("key").alias("b"))
     joined = components(prep, classes, docs, itemise, num, den, scratch, several)
     named = classes.select("key", "rep").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.cut(named.join(least, "component").select("key", "component_id"), "named")
     id_ = lambda c: F.nullif(c, F.lit(_LAST))
-    return prep.select("doc_id", "n", "key").join(named, "key", "left").select(
+    return rows.join(named, "key", "left").select(
         id_(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_(F.coalesce("component_id", "doc_id")).alias("component_id")
     )

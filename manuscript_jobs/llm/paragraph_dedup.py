@@ -83,9 +83,10 @@ def dedup_paragraphs(
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     itemise = paragraphs(size, min_words)
     prep = scratch.cut(prepared(docs, itemise, banded(bands, rows)), "prepared")
+    items = scratch.cut(prep.select("doc_id", "item", "key"), "items")
     classes = classes_of(prep, scratch)
     joined = components(prep, classes, docs, itemise, num, den, scratch)
-    places = prep.select("doc_id", "item", "key").distinct().join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    places = items.distinct().join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     firsts = places.groupBy("component").agg(F.min(F.struct("doc_id", "item")).alias("first"), F.count("*").alias("_n")).where("_n > 1")
     gone = places.join(firsts, "component").where("doc_id <> first.doc_id or item <> first.item")
     gone = gone.groupBy("doc_id").agg(

@@ -2,8 +2,8 @@
 
 Items with equal sets form a class, told by a 64-bit hash of the set; only classes meet, and only
 where they share a signature. In a signature's bucket every class is first held against one hub, then,
-after the first links are joined to components, against a few drawn by hash; a last round holds classes
-of different components in a bucket against each other, in blocks of bounded size. So a large group of copies never makes all its
+after the first links are joined to components, against the class of most copies; a last round holds
+classes of different components in a bucket against each other, in blocks of bounded size. So a large group of copies never makes all its
 pairs, yet every pair that shares a signature is decided. Pairs are bounded from above by hashed parity
 bitmaps - every bit that differs is a hash only one set has - and the rest is decided by intersecting
 the exact sorted arrays, read again from the texts of the documents concerned alone.
@@ -173,7 +173,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den
 
     links = placed.select("a", "chunk", "key", "member", "hashes").mapInArrow(compared, "a long, b long")
     links = scratch.cut(links, f"{name}-links")
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-pairs")
+    del pairs, need, marks, texts, sets, members, asked, placed
+    scratch.tidy()
     return links
 
 
@@ -190,23 +192,26 @@ def _cross(rows: DataFrame, num: int, den: int) -> DataFrame:
         keys, comps = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         sizes, block = np.array([r[3] for r in rows]), np.array([r[0] for r in rows])
         maps = [np.frombuffer(r[4], _U) for r in rows]
-        words = min(map(len, maps))
-        bits = np.array([fold(m, words) for m in maps])
+        lengths = np.array([len(m) for m in maps])
+        # A pair is bounded at the length of its shorter bitmap; sizes within the threshold differ by a factor
+        # of two at most there.
+        levels = {n: np.array([fold(m, n) if len(m) >= n else np.zeros(n, _U) for m in maps]) for n in sorted(set(lengths.tolist()))}
         inner = len(set(block.tolist())) == 1
         for i in range(len(rows)):
-            later = slice(i + 1, None) if inner else slice(None)
             if not inner and block[i] != block.min():
                 continue
-            good = comps[later] != comps[i]
-            if not inner:
-                good &= block[later] != block[i]
-            total = sizes[later] + sizes[i]
-            good &= np.minimum(sizes[later], sizes[i]) * den >= np.maximum(sizes[later], sizes[i]) * num
+            good = comps != comps[i]
+            if inner:
+                good[: i + 1] = False
+            else:
+                good &= block != block[i]
+            good &= np.minimum(sizes, sizes[i]) * den >= np.maximum(sizes, sizes[i]) * num
             at = np.flatnonzero(good)
-            if len(at):
-                off = np.bitwise_count(bits[later][at] ^ bits[i]).sum(1, dtype=np.int64)
-                at = at[(num + den) * off <= (den - num) * total[at]]
-                for k in keys[later][at].tolist():
+            shorter = np.minimum(lengths[at], lengths[i])
+            for n in set(shorter.tolist()):
+                some = at[shorter == n]
+                off = np.bitwise_count(levels[n][some] ^ levels[n][i]).sum(1, dtype=np.int64)
+                for k in keys[some[(num + den) * off <= (den - num) * (sizes[some] + sizes[i])]].tolist():
                     yield min(keys[i], k), max(keys[i], k)
 
     def crossed(batches):
@@ -229,17 +234,26 @@ def _cross(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def classes_of(prep: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, rep, n, bits): each class with its smallest document."""
-    grouped = prep.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    """(key, rep, n, bits, copies): each class with its smallest document and the count of its items."""
+    grouped = prep.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies"))
     return scratch.cut(grouped, "classes")
 
 
 def components(prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den: int, scratch: Scratch, extra: DataFrame | None = None) -> DataFrame:
     """(key, component) of each class with a partner: classes link when den * |intersection| >= num * |union|;
-    ``extra`` (a, b) are further links. A component is named by its smallest key."""
+    ``extra`` (a, b) are further links. A component is named by its smallest key. The table "prepared" of the
+    scratch folder, which ``prep`` reads, is deleted once signatures have met."""
     bucket = Window.partitionBy("sig")
-    shared = prep.select("key", F.explode("sigs").alias("sig")).select("sig", "key", F.min("key").over(bucket).alias("hub"), F.max("key").over(bucket).alias("_top"))
-    shared = scratch.cut(shared.where("hub <> _top").select("sig", "key", "hub"), "shared")
+    met = prep.select("key", F.explode("sigs").alias("sig")).select("sig", "key", F.min("key").over(bucket).alias("_low"), F.max("key").over(bucket).alias("_top"))
+    met = met.where("_low <> _top").select("sig", "key").distinct()
+    # Near copies share most of their signatures: buckets of the same members are one, named by a hash of them.
+    # (Should two names be equal, their members meet as well.)
+    members = F.xxhash64(*[F.bit_xor(F.xxhash64("key", F.lit(i))).over(bucket) for i in (1, 2)], F.count("*").over(bucket))
+    shared = met.select(members.alias("sig"), "key").distinct().withColumn("hub", F.min("key").over(bucket))
+    shared = scratch.cut(shared, "shared")
+    del met
+    scratch.drop("prepared")
+    scratch.tidy()
     star = shared.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     links = _verified(_bounded(star, classes, num, den), docs, itemise, num, den, scratch, "star")
     first = connected_components(links, scratch, "first")
@@ -251,9 +265,11 @@ def components(prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: It
         spread = known.withColumn("_low", F.min("component").over(bucket)).withColumn("_top", F.max("component").over(bucket))
         return scratch.cut(spread.where("_low <> _top").select("sig", "key", "component"), name)
 
-    # A few further hubs, drawn by hash from each bucket, join most of what the first hub left apart.
-    draw = F.struct(F.xxhash64("key", F.col("sig").bitwiseAND(3)), "key", "component")
-    drawn = mixed(first, "mixed-1").withColumn("_hub", F.min(draw).over(bucket)).where("_hub.component <> component")
+    # A further hub of each bucket joins most of what the first left apart: the class of most copies (edited
+    # copies are nearer to what was copied than to each other), of equals one of a few drawn by hash.
+    draw = F.struct("copies", F.xxhash64("key", F.col("sig").bitwiseAND(3)), "key", "component")
+    known = mixed(first, "mixed-1").join(classes.select("key", "copies"), "key")
+    drawn = known.withColumn("_hub", F.max(draw).over(bucket)).where("_hub.component <> component")
     drawn = drawn.select(F.col("_hub.key").alias("a"), F.col("key").alias("b")).distinct()
     links = scratch.cut(links.union(_verified(_bounded(drawn, classes, num, den), docs, itemise, num, den, scratch, "drawn")), "links")
     second = connected_components(links, scratch, "second")
