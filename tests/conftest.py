@@ -14,7 +14,7 @@ def spark():
 
     s = (
         SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[4]"))
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
