@@ -1,8 +1,9 @@
 """Substring dedup: near-identical paragraphs across a corpus, found by MinHash banding.
 
-A paragraph is a line of the text. Paragraphs of at least ``min_words`` words are sets of word shingles;
-``bands`` bands of ``rows`` MinHashes each bring similar ones together (at a Jaccard similarity of 0.8,
-12 bands of 3 miss 2 pairs in 10,000), exact Jaccard decides, and components of links are clusters. The
+A paragraph is a line of the text. Paragraphs of at least ``min_words`` words, by default all that can
+form a shingle, are sets of word shingles; ``bands`` bands of ``rows`` MinHashes each bring similar ones
+together (at a Jaccard similarity of 0.8, 12 bands of 3 miss 2 pairs in 10,000), exact Jaccard decides, and
+components of links are clusters. Sets too small to link with any other are told by their class alone. The
 first paragraph of a cluster, by (document id, place), stays; the others are removed.
 
 Null and empty texts have no paragraphs to remove. Rows that share an id are each judged (of repeated
@@ -47,13 +48,19 @@ def paragraphs(size: int, min_words: int):
     return itemise
 
 
-def banded(bands: int, rows: int):
-    """(item, signature): each band's combined MinHashes."""
+def banded(bands: int, rows: int, num: int, den: int):
+    """(item, signature): each band's combined MinHashes. A set of n hashes has at most n / (n + 1) in common
+    with another; where that is below num / den it needs none."""
 
     def sign(hashes, bounds):
-        n = len(bounds) - 1
-        if not len(hashes):
+        size = np.diff(bounds)
+        use = size * den >= num * (size + 1)
+        items, hashes = np.flatnonzero(use), hashes[np.repeat(use, size)]
+        n = len(items)
+        if not n:
             return np.zeros(0, np.int64), np.zeros(0, _U)
+        bounds = np.zeros(n + 1, np.int64)
+        np.cumsum(size[items], out=bounds[1:])
         turns = H.constants(bands * rows, 11)
         out = np.zeros((bands, n), _U)
         for b in range(bands):
@@ -61,7 +68,7 @@ def banded(bands: int, rows: int):
                 least = np.minimum.reduceat(hashes * turns[b * rows + r], bounds[:-1])
                 out[b] = H.mix(out[b] + least * _U(2 * r + 3))
             out[b] = H.mix(out[b] + _U(b + 1))
-        return np.tile(np.arange(n), bands), out.ravel()
+        return np.tile(items, bands), out.ravel()
 
     return sign
 
@@ -73,7 +80,7 @@ def dedup_paragraphs(
     den: int = 100,
     bands: int = 12,
     rows: int = 3,
-    min_words: int = 20,
+    min_words: int = 5,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -82,7 +89,7 @@ def dedup_paragraphs(
     scratch = Scratch(docs.sparkSession, "paragraphs")
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     itemise = paragraphs(size, min_words)
-    prep = scratch.cut(prepared(docs, itemise, banded(bands, rows)), "prepared")
+    prep = scratch.cut(prepared(docs, itemise, banded(bands, rows, num, den)), "prepared")
     items = scratch.cut(prep.select("doc_id", "item", "key"), "items")
     classes = classes_of(prep, scratch)
     joined = components(prep, classes, docs, itemise, num, den, scratch)

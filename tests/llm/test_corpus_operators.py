@@ -241,6 +241,22 @@ def test_paragraph_dedup(spark):
     assert dedup_paragraphs(empty(spark)).count() == 0
 
 
+def test_paragraph_dedup_short_lines(spark):
+    """A line of five words and more goes where it repeats, near copies among them; one of four stays."""
+    from manuscript_jobs.llm.paragraph_dedup import dedup_paragraphs
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(2000)]
+    five, eight, long = ([r.choice(words) for _ in range(n)] for n in (5, 8, 19))
+    near = " ".join([*long, "more"])
+    docs = {
+        1: "\n".join(" ".join(p) for p in (five, eight, long)), 2: " ".join(five) + "\nfour words stay here\n" + near,
+        3: "four words stay here\n" + " ".join(eight).upper() + "\n" + " ".join(five[:4] + ["other"]), 4: " ".join(eight[:7]),
+    }
+    got = {x.doc_id: [tuple(y) for y in x.removed] for x in dedup_paragraphs(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 1, 0), (2, 1, 2)], 3: [(1, 1, 1)], 4: []}
+
+
 def test_mixing(spark):
     from manuscript_jobs.llm.mixing import mix
 
