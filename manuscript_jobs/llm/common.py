@@ -94,6 +94,23 @@ def global_rank(df: DataFrame, order: list[str], scratch: Scratch, name: str, ou
     )
 
 
+def own_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ``_own``, a number for each distinct (doc_id, text) in the order of ids (null last) and text
+    hashes, and (_own, doc_id) of each. Where ids are unique and none is null, ``_own`` is the id itself and there
+    is no second table."""
+    last = 2**63 - 1
+    counts = docs.groupBy("doc_id").count()
+    row = counts.agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull() | (F.col("doc_id") == last)).alias("odd")).first()
+    if (row.most or 0) <= 1 and not row.odd:
+        return docs.withColumn("_own", F.col("doc_id").cast("long")), None
+    own = docs.withColumn("_hash", F.xxhash64(F.col("text").isNull(), "text"))
+    pairs = own.select(F.col("doc_id").isNull().alias("_null"), "doc_id", "_hash").distinct()
+    pairs = scratch.cut(global_rank(pairs, ["_null", "doc_id", "_hash"], scratch, "own-dealt", "_own"), "own-keys")
+    named = pairs.select(F.col("doc_id").alias("_p"), F.col("_hash").alias("_h"), "_own")
+    keyed = own.join(named, F.col("doc_id").eqNullSafe(F.col("_p")) & (F.col("_hash") == F.col("_h"))).drop("_p", "_h", "_hash")
+    return scratch.cut(keyed, "own-texts"), pairs.select("_own", "doc_id")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b) links to (node, component): each linked node with the smallest node it reaches.
 

@@ -6,9 +6,9 @@ together (at a Jaccard similarity of 0.8, 12 bands of 3 miss 2 pairs in 10,000),
 components of links are clusters. Sets too small to link with any other are told by their class alone. The
 first paragraph of a cluster, by (document id, place), stays; the others are removed.
 
-Null and empty texts have no paragraphs to remove. Rows that share an id are each judged (of repeated
-rows the paragraphs get the same result, the first place among them staying); a null id stands after
-all others. An empty table gives no rows. Only ids and texts are read.
+Null and empty texts have no paragraphs to remove. Rows that share an id are each judged: distinct (id, text)
+pairs are ordered by id and text hash, a null id after all others, and repeated rows are one document and
+get its result each. An empty table gives no rows. Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import Scratch
+from .common import Scratch, own_keys
 from .similarity import MARKS, classes_of, components, prepared
 
 _U = np.uint64
-_LAST = 2**63 - 1
 
 
 def paragraphs(size: int, min_words: int):
@@ -87,25 +86,30 @@ def dedup_paragraphs(
     """(doc_id, n_paragraphs, removed, kept): ``removed`` lists the removed paragraphs' numbers with the
     document and number of the one that stays; ``kept`` is the text of the other lines."""
     scratch = Scratch(docs.sparkSession, "paragraphs")
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed, names = own_keys(base, scratch)
+    keyed = keyed.select(F.col("doc_id").alias("_id"), F.col("_own").alias("doc_id"), "text")
+    docs = keyed.select("doc_id", "text") if names is None else keyed.select("doc_id", "text").dropDuplicates(["doc_id"])
     itemise = paragraphs(size, min_words)
     prep = scratch.cut(prepared(docs, itemise, banded(bands, rows, num, den)), "prepared")
     items = scratch.cut(prep.select("doc_id", "item", "key"), "items")
     classes = classes_of(prep, scratch)
     joined = components(prep, classes, docs, itemise, num, den, scratch)
-    places = items.distinct().join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    places = items.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     firsts = places.groupBy("component").agg(F.min(F.struct("doc_id", "item")).alias("first"), F.count("*").alias("_n")).where("_n > 1")
     gone = places.join(firsts, "component").where("doc_id <> first.doc_id or item <> first.item")
-    gone = gone.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("item", F.col("first.doc_id").alias("first_doc_id"), F.col("first.item").alias("first_item")))).alias("removed")
-    )  # at most a document's lines
+    gone = gone.select("doc_id", "item", F.col("first.doc_id").alias("first_doc_id"), F.col("first.item").alias("first_item"))
+    if names is not None:
+        gone = gone.join(names.select(F.col("_own").alias("first_doc_id"), F.col("doc_id").alias("_name")), "first_doc_id")
+        gone = gone.withColumn("first_doc_id", F.col("_name"))
+    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("item", "first_doc_id", "first_item"))).alias("removed"))  # at most a document's lines
     gone = scratch.cut(gone, "gone")
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
     marks = F.broadcast(gone.select(mark.alias("_mark")).distinct())
-    marked = docs.withColumn("_mark", mark)
+    marked = keyed.withColumn("_mark", mark)
     lines = F.split("text", "\n")
     count = F.when(F.col("text") == "", 0).otherwise(F.size(lines)).alias("n_paragraphs")
-    id_ = F.nullif(F.col("doc_id"), F.lit(_LAST)).alias("doc_id")
+    id_ = F.col("_id").alias("doc_id")
     nothing = F.array().cast("array<struct<item:int,first_doc_id:bigint,first_item:int>>")
     alone = marked.join(marks, "_mark", "left_anti").select(id_, count, nothing.alias("removed"), F.col("text").alias("kept"))
     numbers = F.transform("removed", lambda r: r["item"])

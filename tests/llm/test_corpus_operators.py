@@ -257,6 +257,21 @@ def test_paragraph_dedup_short_lines(spark):
     assert got == {1: [], 2: [(0, 1, 0), (2, 1, 2)], 3: [(1, 1, 1)], 4: []}
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_paragraph_dedup_shared_ids(spark, shared):
+    """Texts under one id, or none, lose their own repeats and not each other's."""
+    from manuscript_jobs.llm.paragraph_dedup import dedup_paragraphs
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(2000)]
+    line = [" ".join(r.choice(words) for _ in range(30)) for _ in range(6)]
+    rows = [(1, line[0] + "\n" + line[1]), (shared, line[2] + "\n" + line[0]), (shared, line[3] + "\n" + line[4]), (shared, line[1] + "\n" + line[5])]
+    rows.append(rows[1])
+    got = dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, [], rows[0][1]), (shared, [(1, 1, 0)], line[2]), (shared, [], rows[2][1]), (shared, [(0, 1, 1)], line[5]), (shared, [(1, 1, 0)], line[2])]
+    assert sorted(map(str, ((x.doc_id, [tuple(y) for y in x.removed], x.kept) for x in got))) == sorted(map(str, want))
+
+
 def test_mixing(spark):
     from manuscript_jobs.llm.mixing import mix
 
