@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manuscript_jobs.llm.common import Scratch
+from manuscript_jobs.llm.common import Scratch, own_keys
 from manuscript_jobs.llm.mixing import WORD, mix
 from manuscript_jobs.llm.ngram_join import join_components
 from manuscript_jobs.llm.packing import pack
@@ -32,19 +32,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8, the document of the smallest id stays.
 
-    Only documents whose id's hash value is that of one to go are shuffled.
+    Distinct (id, text) pairs are documents of their own, in the order of ids (null last) and text hashes, so
+    texts that share an id or have none only go for a link of theirs. Equal rows collapse, and rows of one id
+    and text do where the text has words. Only documents whose key's hash value is that of one to go are shuffled.
     """
-    groups = join_components(docs, size=5, num=80, den=100)
-    gone = groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id")
-    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     table = Scratch(spark, "near-duplicates")
-    gone = table.cut(gone.withColumn("goes", F.lit(1)).union(again.withColumn("goes", F.lit(0))).groupBy("doc_id").agg(F.max("goes").alias("goes")), "gone")
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    keyed, names = own_keys(docs.select(*COLUMNS), table)
+    groups = join_components(keyed, size=5, num=80, den=100, doc_id="_own").withColumnRenamed("doc_id", "_own")
+    gone = groups.where("_own <> component_id").select("_own", F.lit(1).alias("goes"))
+    if names is not None:
+        gone = gone.union(groups.groupBy("_own").count().where("count > 1").select("_own", F.lit(0)))
+    gone = table.cut(gone.groupBy("_own").agg(F.max("goes").alias("goes")), "gone")
+    mark = F.pmod(F.xxhash64("_own"), F.lit(MARKS))
     marks = F.broadcast(gone.select(mark.alias("_mark")).distinct())
-    marked = docs.select(*COLUMNS).withColumn("_mark", mark)
-    rest = marked.join(marks, "_mark", "left_semi").join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    marked = keyed.select("_own", *COLUMNS).withColumn("_mark", mark)
+    rest = marked.join(marks, "_mark", "left_semi").join(gone, "_own", "left")
     single = rest.where("goes is null").select(*COLUMNS)
-    repeated = rest.where("goes = 0").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    others = F.struct("doc_id", "text", "lang", "source", "n_chars")
+    wordless = F.when(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)), others)
+    repeated = rest.where("goes = 0").groupBy("_own", wordless.alias("_row")).agg(F.min(others).alias("r")).select("r.*")
     return marked.join(marks, "_mark", "left_anti").select(*COLUMNS).union(single).union(repeated)
 
 
@@ -59,8 +65,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as its source's target takes it; the part of a repetition that a
     target still takes is the document's first words, joined by spaces."""
-    taken = mix(docs.select("doc_id", "text", "source")).select(F.col("doc_id").alias("_id"), "size", "taken").where("taken > 0")
-    both = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    scratch = Scratch(spark, "mixing")
+    docs, names = own_keys(docs.select(*COLUMNS), scratch)
+    if names is not None:  # rows may be equal: each is numbered in the written table
+        docs = scratch.cut(docs.withColumn("_own", F.monotonically_increasing_id()), "numbered")
+    taken = mix(docs, doc_id="_own").select(F.col("doc_id").alias("_id"), "size", "taken").where("taken > 0")
+    both = docs.join(taken, F.col("_own") == F.col("_id"))
     whole = F.expr("taken div size")
     parts = F.transform(F.sequence(F.lit(1).cast("long"), F.expr("taken div size + if(taken % size > 0, 1, 0)")), lambda i: i <= whole)
     both = both.withColumn("_whole", F.explode(parts))

@@ -469,3 +469,21 @@ def test_pipeline(spark, tmp_path):
     none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_shared_ids(spark):
+    """Different texts without an id, or under one, stay unless they are near copies themselves; mixing counts each row."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from manuscript_jobs.llm.mixing import mix
+
+    r = random.Random(13)
+    words = [f"w{i}" for i in range(2000)]
+    t = [" ".join(r.choice(words) for _ in range(60)) for _ in range(6)]
+    rows = [(1, t[0]), (2, t[1]), (None, t[0] + " end"), (None, t[1] + " end"), (None, t[2]), (None, t[3]), (None, t[3]), (9, t[4]), (9, t[5]), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_duplicates"](spark, docs, "").collect()
+    want = [(1, t[0]), (2, t[1]), (None, t[2]), (None, t[3]), (9, t[4]), (9, t[5]), (None, "")]
+    assert sorted(str((x.doc_id, x.text)) for x in near) == sorted(map(str, want))
+    total = sum(len(WORDS.findall(x.text.encode())) for x in stages["mixing"](spark, docs, "").collect())
+    assert total == mix(docs).selectExpr("sum(taken)").first()[0]
