@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
+#: Rows of a sieve at most, 64 bits each.
+SIEVE = 1 << 18
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own on a single
+    machine, as in tests; on a cluster an error, since executors would write to their own disks."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -22,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = _OWN.get(sc.applicationId)
         if not found:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             found = _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="manuscript-jobs-")
             sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,6 +70,22 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def sieve(ids: DataFrame, column: str) -> DataFrame:
+    """(_word, _bits): 2^24 bits, set by hash of ``column``. It has SIEVE rows at most whatever the input, so it
+    may be broadcast; it lets through every id of ``ids`` and, up to some millions of ids, few others."""
+    slot = F.pmod(F.xxhash64(column), F.lit(64 * SIEVE)).alias("_slot")
+    word = F.expr("_slot div 64").alias("_word")
+    return ids.select(slot).groupBy(word).agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_bits"))
+
+
+def sifted(df: DataFrame, column: str, sieve: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows that the sieve lets through (``left_semi``) or that it holds back for sure (``left_anti``)."""
+    slot = F.pmod(F.xxhash64(column), F.lit(64 * SIEVE))
+    some = df.withColumn("_slot", slot)
+    hit = (F.expr("_slot div 64") == F.col("_word")) & (F.getbit("_bits", F.col("_slot") % 64) == 1)
+    return some.join(F.broadcast(sieve), hit, how).drop("_slot")
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -137,6 +160,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         if mark == tuple(row):
             break
         mark = tuple(row)
+    else:
+        raise RuntimeError("components did not settle in 99 rounds")
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )

@@ -123,9 +123,13 @@ def shingles(hashed: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
         # Documents shorter than a shingle lose all their starts.
         mask = np.repeat(long, made)
         result[mask] = total[keep]
-    for d in np.flatnonzero((count > 0) & ~long):
-        s, e = bounds[d], bounds[d + 1]
-        result[out[d]] = (hashed[s:e] * ks[: e - s]).sum(dtype=_U) + ks[size] * _U(e - s)
+    short = np.flatnonzero((count > 0) & ~long)
+    if len(short):
+        total = np.zeros(len(short), _U)
+        for j in range(size - 1):
+            has = count[short] > j
+            total[has] += hashed[bounds[short[has]] + j] * ks[j]
+        result[out[short]] = total + ks[size] * count[short].astype(_U)
     return mix(result), out
 
 

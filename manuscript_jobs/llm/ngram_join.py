@@ -1,10 +1,10 @@
 """N-gram Jaccard join: groups of documents linked by a similarity of their word-shingle sets.
 
-Sizes are divided into bands; a tile pairs a band with the sizes that can link to it. Two sets of a tile
-that link differ in at most d hashes, so when the hash range is cut into more than d parts, some part
-holds the same hashes in both: sets meet where a part's combined hash is equal (equal empty parts are
-left out unless a set has so few full parts that they may be the only equal ones). What meets is bounded
-by hashed bitmaps and decided by exact sorted-array intersection (``similarity``). No link is lost.
+Sizes are divided into bands; a tile pairs a band with the sizes that can link to it. Hashes have one order
+for all sets: those that a count sketch of fixed size finds frequent come last. A set of n hashes shows the
+first n - ceil(t * n) + 1 of them in each of its tiles; two sets that link at similarity t have one of these in
+common, since otherwise too few are left to share. What meets is bounded from above by hashed bitmaps and
+decided by exact sorted-array intersection (``similarity``). No link is lost.
 """
 
 from __future__ import annotations
@@ -15,67 +15,56 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .common import Scratch
-from .similarity import classes_of, components, prepared
+from .similarity import COUNTERS, classes_of, components, levels, prepared
 
 _U = np.uint64
 _LAST = 2**63 - 1
 
 
 class Tiles:
-    """Bands of sizes and, for each tile, the most hashes two linked sets differ in and the parts."""
+    """Bands of set sizes, each ``step`` times as wide as the one below, and how far a tile reaches above its band."""
 
-    def __init__(self, num: int, den: int, most: int = 1 << 40):
-        step = (den / num) ** 2.5
+    def __init__(self, num: int, den: int, step: int = 3, most: int = 1 << 40):
+        self.num, self.den = num, den
         low = [1]
         while low[-1] < most:
-            low.append(max(low[-1] + 1, int(low[-1] * step)))
+            low.append(low[-1] * step)
         self.low = np.array(low, np.int64)
-        last = self.low[1:] - 1  # the largest size whose pairs a tile owns
-        self.reach = last * den // num  # the largest partner
-        self.differ = (den - num) * (last + self.reach) // (den + num)
-        self.parts = self.differ + 1 + self.differ // 16
+        self.reach = (self.low[1:] - 1) * den // num  # the largest partner of a set of the band
 
-    def of(self, size: np.ndarray) -> list[np.ndarray]:
-        """Tile numbers of each size: its own and those below that reach it; -1 where there are no more."""
+    def of(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The band of each size, and whether the tile of the band below reaches it."""
         own = np.searchsorted(self.low, size, "right") - 1
-        out, now = [], own
-        while (now >= 0).any():
-            out.append(now)
-            below = now - 1
-            now = np.where((below >= 0) & (now >= 0) & (size <= self.reach[np.maximum(below, 0)]), below, -1)
-        return out
+        return own, (own > 0) & (size <= self.reach[np.maximum(own - 1, 0)])
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray, tiles: Tiles) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) for every part of every tile of every set."""
+def shown(hashes: np.ndarray, bounds: np.ndarray, tiles: Tiles, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, hash): the first hashes of each set by (level, hash), as many as a link needs. A set that no other
+    can link with shows none."""
     size = np.diff(bounds)
-    docs, sigs = [], []
-    mixed = H.mix(hashes + _U(0x2545F4914F6CDD1D))
-    for tile in tiles.of(np.maximum(size, 1)):
-        use = (tile >= 0) & (size > 0) & (tiles.differ[np.maximum(tile, 0)] > 0)
-        parts = np.where(use, tiles.parts[np.maximum(tile, 0)], 0)
-        base = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(parts, out=base[1:])
-        if not base[-1]:
-            continue
-        inside = np.repeat(use, size)
-        of = np.repeat(np.arange(len(size)), size)[inside]
-        part = ((hashes[inside] >> _U(32)) * parts[of].astype(_U) >> _U(32)).astype(np.int64)
-        key = base[of] + part
-        total = np.zeros(int(base[-1]), _U)
-        np.add.at(total, key, mixed[inside])
-        full = np.zeros(int(base[-1]), bool)
-        full[key] = True
-        doc = np.repeat(np.arange(len(size)), parts)
-        number = np.arange(int(base[-1])) - base[doc]
-        empty = parts - np.bincount(doc[full], minlength=len(size))
-        keep = full | (empty >= parts - tiles.differ[np.maximum(tile, 0)])[doc]
-        sig = H.mix(total + H.mix(tile[doc].astype(_U) * _U(0xD6E8FEB86659FD93) + number.astype(_U)))
-        docs.append(doc[keep])
-        sigs.append(sig[keep])
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate(docs), np.concatenate(sigs)
+    need = np.where(size * tiles.den >= tiles.num * (size + 1), size + (-size * tiles.num) // tiles.den + 1, 0)
+    of = np.repeat(np.arange(len(size)), size)
+    rank = level[(hashes & _U(COUNTERS - 1)).astype(np.int64)]
+    cold = rank == 0
+    upto = np.zeros(len(hashes) + 1, np.int64)
+    np.cumsum(cold, out=upto[1:])
+    take = cold & (upto[:-1] - upto[bounds[:-1]][of] < need[of])  # hashes of a set are in ascending order
+    for i in np.flatnonzero(upto[bounds[1:]] - upto[bounds[:-1]] < need).tolist():
+        s, e = bounds[i], bounds[i + 1]
+        hot = np.flatnonzero(~cold[s:e]) + s
+        short = need[i] - (e - s - len(hot))
+        take[hot[np.argsort(rank[hot], kind="stable")[:short]]] = True
+    return of[take], hashes[take]
+
+
+def signatures(hashes: np.ndarray, bounds: np.ndarray, tiles: Tiles, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature): each shown hash in each tile of its set."""
+    of, some = shown(hashes, bounds, tiles, level)
+    own, below = tiles.of(np.maximum(np.diff(bounds), 1))
+    tile = lambda number: H.mix((number + 2).astype(_U) * _U(0xD6E8FEB86659FD93))
+    low = below[of]
+    sigs = np.concatenate([H.mix(some + tile(own)[of]), H.mix(some[low] + tile(own - 1)[of[low]])])
+    return np.concatenate([of, of[low]]), sigs
 
 
 def whole_texts(size: int):
@@ -99,9 +88,10 @@ def join_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).alias("text"))
     tiles, itemise = Tiles(num, den), whole_texts(size)
-    prep = scratch.cut(prepared(docs, itemise, lambda hashes, bounds: signatures(hashes, bounds, tiles)), "prepared")
+    level = levels(docs, itemise)
+    prep = scratch.cut(prepared(docs, itemise, lambda _, hashes, bounds: signatures(hashes, bounds, tiles, level)), "prepared")
+    prep, classes = classes_of(prep, scratch)
     rows = scratch.cut(prep.select("doc_id", "n", "key"), "rows")
-    classes = classes_of(prep, scratch)
     # Rows of one id with different texts belong together.
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("_top")).where("a <> _top")
     several = rows.where("n > 0").select("doc_id", "key").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("key").alias("b"))

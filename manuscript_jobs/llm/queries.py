@@ -35,14 +35,13 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, which of them are repeats of which earlier document's, and what stays."""
+    """Per document: the words that lie in repeated paragraphs, their runs, where they stand first, and what stays."""
     from .paragraph_dedup import dedup_paragraphs
 
     return dedup_paragraphs(_table(spark, sf_dir, "documents")).select(
         "doc_id",
-        F.col("n_paragraphs").cast("long").alias("n_paragraphs"),
-        F.size("removed").cast("long").alias("n_removed"),
-        F.transform("removed", lambda r: r["item"].cast("long")).alias("removed"),
+        "n_removed",
+        "n_spans",
         F.array_sort(F.array_distinct(F.transform("removed", lambda r: r["first_doc_id"]))).alias("first_doc_ids"),
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
     )

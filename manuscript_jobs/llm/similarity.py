@@ -1,7 +1,7 @@
 """Components of items (texts or parts of texts) under an exact Jaccard threshold of their hash sets.
 
-Items with equal sets form a class, told by a 64-bit hash of the set; only classes meet, and only
-where they share a signature. In a signature's bucket every class is first held against one hub, then,
+Items with equal sets form a class, told by two 64-bit hashes of the set (``key``, or one made of both where
+two sets have the same ``key``); only classes meet, and only where they share a signature. In a signature's bucket every class is first held against one hub, then,
 after the first links are joined to components, against the class of most copies; a last round holds
 classes of different components in a bucket against each other, in blocks of bounded size. So a large group of copies never makes all its
 pairs, yet every pair that shares a signature is decided. Pairs are bounded from above by hashed parity
@@ -19,27 +19,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, sieve, sifted
 
 _U = np.uint64
-BLOCK = 512
+BLOCK = 1024
+BLOCK_BYTES = 1 << 20
 CHUNK = 256
-MARKS = 1 << 18
+MOST_BITS = 1 << 15
+COUNTERS = 1 << 20
 
 #: (bytes, offsets) -> (document of each item, item's number in it, hashes, bounds of each item's sorted distinct hashes)
 Itemise = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def set_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set."""
-    upto = np.zeros(len(hashes) + 1, _U)
-    np.cumsum(H.mix(hashes ^ _U(0x5851F42D4C957F2D)), out=upto[1:])
-    return H.mix(upto[bounds[1:]] - upto[bounds[:-1]] + np.diff(bounds).astype(_U) * _U(0x9E3779B97F4A7C15))
+def set_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set: sums of differently mixed members, so independent of each other."""
+    out = []
+    for salt, odd in ((0x5851F42D4C957F2D, 0x9E3779B97F4A7C15), (0x14057B7EF767814F, 0xD1342543DE82EF95)):
+        upto = np.zeros(len(hashes) + 1, _U)
+        np.cumsum(H.mix(hashes ^ _U(salt)), out=upto[1:])
+        out.append(H.mix(upto[bounds[1:]] - upto[bounds[:-1]] + np.diff(bounds).astype(_U) * _U(odd)))
+    return out[0], out[1]
+
+
+def other_key(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The key of a set whose ``key`` another set has as well."""
+    return H.mix(key * _U(3) ^ check)
+
+
+def levels(docs: DataFrame, itemise: Itemise) -> np.ndarray:
+    """For each of COUNTERS hash values, 0 or, where far more hashes than the mean fall on it, the logarithm of
+    their number: a count sketch of fixed size. It only orders hashes; any order gives the same result."""
+
+    def counted(batches):
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            data, offsets = H.text_bytes(batch.column(0))
+            for a, b in H.slices(offsets):
+                _, _, hashes, _ = itemise(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                np.add.at(seen, (hashes & _U(COUNTERS - 1)).astype(np.int64), 1)
+        mean = seen.mean()
+        hot = np.flatnonzero(seen > mean + 4 * np.sqrt(mean) + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(seen[hot])], ["slot", "n"])
+
+    rows = docs.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in rows.collect():  # COUNTERS rows at most
+        out[r.slot] = r.level + 1
+    return out
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity bits of the hashes modulo a power of two of at least twice their number."""
-    bits = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    """Parity bits of the hashes modulo a power of two of at least twice their number, up to MOST_BITS."""
+    bits = min(1 << max(6, (2 * len(hashes) - 1).bit_length()), MOST_BITS)
     odd = np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -63,8 +95,9 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def prepared(docs: DataFrame, itemise: Itemise, sign: Callable) -> DataFrame:
-    """A row for each item of (doc_id, text): doc_id, item, n (set size), key (of its class, null for an
-    empty set), sigs and bits. A class gives its signatures and bitmap once in a task."""
+    """A row for each item of (doc_id, text): doc_id, item, n (set size), key and check (of its class, null for
+    an empty set), sigs and bits. A class gives its signatures and bitmap once in a task; ``sign`` takes the
+    numbers, hashes and bounds of the items that do."""
 
     def made(batches):
         seen = set()
@@ -73,35 +106,36 @@ def prepared(docs: DataFrame, itemise: Itemise, sign: Callable) -> DataFrame:
             data, offsets = H.text_bytes(batch.column(1))
             for a, b in H.slices(offsets):
                 doc, item, hashes, bounds = itemise(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                keys, n = set_keys(hashes, bounds), np.diff(bounds)
+                (keys, checks), n = set_keys(hashes, bounds), np.diff(bounds)
                 fresh = np.zeros(len(n), bool)
-                for i, key in enumerate(keys.tolist()):
+                for i, key in enumerate(zip(keys.tolist(), checks.tolist())):
                     if n[i] and key not in seen:
                         seen.add(key)
                         fresh[i] = True
                 mine = np.flatnonzero(fresh)
                 some = np.zeros(len(mine) + 1, np.int64)
                 np.cumsum(n[mine], out=some[1:])
-                of, sig = sign(hashes[np.repeat(fresh, n)], some)
+                of, sig = sign(item[mine], hashes[np.repeat(fresh, n)], some)
                 order = np.argsort(of, kind="stable")
                 counts = np.zeros(len(n), np.int64)
                 counts[mine] = np.bincount(of, minlength=len(mine))
                 upto = np.zeros(len(n) + 1, np.int32)
                 np.cumsum(counts, out=upto[1:])
-                bits = [bitmap(hashes[bounds[i] : bounds[i + 1]]) if fresh[i] else None for i in range(len(n))]
+                bits = [bitmap(hashes[bounds[i] : bounds[i + 1]]) if counts[i] else None for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(doc + a)),
-                        pa.array(item.astype(np.int32)),
+                        pa.array(item.astype(np.int64)),
                         pa.array(n),
                         pa.array(keys.view(np.int64), mask=n == 0),
+                        pa.array(checks.view(np.int64), mask=n == 0),
                         pa.ListArray.from_arrays(pa.array(upto), _long(sig[order])),
                         pa.array(bits, pa.binary()),
                     ],
-                    ["doc_id", "item", "n", "key", "sigs", "bits"],
+                    ["doc_id", "item", "n", "key", "check", "sigs", "bits"],
                 )
 
-    return docs.mapInArrow(made, "doc_id long, item int, n long, key long, sigs array<long>, bits binary")
+    return docs.mapInArrow(made, "doc_id long, item long, n long, key long, check long, sigs array<long>, bits binary")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -121,16 +155,14 @@ def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
 def _verified(pairs: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose exact sets link.
 
-    Texts of the documents that stand for the pairs' classes are read again; a set of at most MARKS
-    hash values of their ids is broadcast to leave out most other texts before the exact join. A hub's
-    partners go to chunks of about CHUNK, each with the hub's set.
+    Texts of the documents that stand for the pairs' classes are read again; a sieve of their ids is broadcast
+    to leave out other texts before the exact join. A hub's partners go to chunks of about CHUNK, each with the
+    hub's set.
     """
     pairs = scratch.cut(pairs, f"{name}-pairs")
     need = pairs.select(F.col("a").alias("key"), F.col("rep_a").alias("doc_id")).union(pairs.select("b", "rep_b")).distinct()
     need = need.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most a document's items
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
-    marks = need.select(mark.alias("_mark")).distinct()
-    texts = docs.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
+    texts = sifted(docs, "doc_id", sieve(need, "doc_id"))
 
     def hashed(batches):
         for batch in batches:
@@ -138,16 +170,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den
             data, offsets = H.text_bytes(batch.column(1))
             for a, b in H.slices(offsets):
                 doc, _, hashes, bounds = itemise(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                keys = set_keys(hashes, bounds).view(np.int64).tolist()
+                key, check = set_keys(hashes, bounds)
+                keys, others = key.view(np.int64).tolist(), other_key(key, check).view(np.int64).tolist()
                 asked = [set(w) for w in wanted[a:b]]
-                good = [i for i, (d, key) in enumerate(zip(doc.tolist(), keys)) if key in asked[d]]
+                named = [k if k in asked[d] else o if o in asked[d] else None for d, k, o in zip(doc.tolist(), keys, others)]
+                good = [i for i, k in enumerate(named) if k is not None]
                 sets = [hashes[bounds[i] : bounds[i + 1]].tobytes() for i in good]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in good], pa.int64()), pa.array(sets, pa.binary())], ["key", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([named[i] for i in good], pa.int64()), pa.array(sets, pa.binary())], ["key", "hashes"])
 
     sets = need.join(texts, "doc_id").select("keys", "text").mapInArrow(hashed, "key long, hashes binary").dropDuplicates(["key"])
     sets = scratch.cut(sets, f"{name}-sets")
-    count = F.count("*").over(Window.partitionBy("a"))
-    members = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(count / CHUNK)).alias("chunk"))
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    members = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
     asked = members.select("a", "chunk", F.col("b").alias("key"), F.lit(1).alias("member")).union(
         members.select("a", "chunk", F.col("a").alias("key"), F.lit(0).alias("member")).distinct()
     )
@@ -174,16 +208,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den
     links = placed.select("a", "chunk", "key", "member", "hashes").mapInArrow(compared, "a long, b long")
     links = scratch.cut(links, f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-pairs")
-    del pairs, need, marks, texts, sets, members, asked, placed
+    del pairs, need, texts, sets, chunks, members, asked, placed
     scratch.tidy()
     return links
 
 
 def _cross(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes of different components within a bucket that bitmaps allow. Buckets over BLOCK
-    rows are cut into blocks; each pair of blocks is a group, so a group has 2 * BLOCK rows or so."""
-    count = F.count("*").over(Window.partitionBy("sig"))
-    cut = rows.withColumn("_blocks", F.ceil(count / BLOCK)).withColumn("_block", F.pmod(F.xxhash64("key"), "_blocks"))
+    """Pairs of classes of different components within a bucket that bitmaps allow. A bucket of over BLOCK
+    rows or BLOCK_BYTES of bitmaps is cut into blocks; each pair of blocks is a group of bounded size."""
+    bucket = Window.partitionBy("sig")
+    blocks = F.ceil(F.greatest(F.count("*").over(bucket) / BLOCK, F.sum(F.length("bits")).over(bucket) / BLOCK_BYTES))
+    cut = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("key"), "_blocks"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     cut = cut.select("sig", F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"), "_block", "key", "component", "n", "bits")
     placed = cut.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
@@ -233,16 +268,32 @@ def _cross(rows: DataFrame, num: int, den: int) -> DataFrame:
     return placed.mapInArrow(crossed, "a long, b long").distinct()
 
 
-def classes_of(prep: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, rep, n, bits, copies): each class with its smallest document and the count of its items."""
-    grouped = prep.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies"))
-    return scratch.cut(grouped, "classes")
+def classes_of(prep: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(``prep``, classes): classes are (key, rep, n, bits, copies), each with its smallest document and the count
+    of its items. Where sets that differ have one key (two in 2^64 do), both get ``other_key`` in either table."""
+    aggs = (F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies"))
+    classes = scratch.cut(prep.where("n > 0").groupBy("key", "check").agg(*aggs), "classes")
+    twice = classes.groupBy("key").agg(F.count("*").alias("_sets")).where("_sets > 1")
+    if twice.isEmpty():
+        return prep, classes.drop("check")
+
+    @F.arrow_udf("long")
+    def other(key: pa.Array, check: pa.Array) -> pa.Array:
+        return _long(other_key(*(x.fill_null(0).to_numpy(zero_copy_only=False).view(_U) for x in (key, check))))
+
+    def renamed(df):
+        both = df.join(twice, "key", "left")
+        return both.withColumn("key", F.when(F.col("_sets").isNull(), F.col("key")).otherwise(other("key", "check"))).select(df.columns)
+
+    return renamed(prep), scratch.cut(renamed(classes).drop("check"), "classes-named")
 
 
-def components(prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den: int, scratch: Scratch, extra: DataFrame | None = None) -> DataFrame:
+def components(
+    prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den: int, scratch: Scratch, extra: DataFrame | None = None, used: tuple = ("prepared",)
+) -> DataFrame:
     """(key, component) of each class with a partner: classes link when den * |intersection| >= num * |union|;
-    ``extra`` (a, b) are further links. A component is named by its smallest key. The table "prepared" of the
-    scratch folder, which ``prep`` reads, is deleted once signatures have met."""
+    ``extra`` (a, b) are further links. A component is named by its smallest key. The tables ``used`` of the
+    scratch folder, which ``prep`` reads, are deleted once signatures have met."""
     bucket = Window.partitionBy("sig")
     met = prep.select("key", F.explode("sigs").alias("sig")).select("sig", "key", F.min("key").over(bucket).alias("_low"), F.max("key").over(bucket).alias("_top"))
     met = met.where("_low <> _top").select("sig", "key").distinct()
@@ -252,7 +303,7 @@ def components(prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: It
     shared = met.select(members.alias("sig"), "key").distinct().withColumn("hub", F.min("key").over(bucket))
     shared = scratch.cut(shared, "shared")
     del met
-    scratch.drop("prepared")
+    scratch.drop(*used)
     scratch.tidy()
     star = shared.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     links = _verified(_bounded(star, classes, num, den), docs, itemise, num, den, scratch, "star")
@@ -271,8 +322,9 @@ def components(prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: It
     known = mixed(first, "mixed-1").join(classes.select("key", "copies"), "key")
     drawn = known.withColumn("_hub", F.max(draw).over(bucket)).where("_hub.component <> component")
     drawn = drawn.select(F.col("_hub.key").alias("a"), F.col("key").alias("b")).distinct()
-    links = scratch.cut(links.union(_verified(_bounded(drawn, classes, num, den), docs, itemise, num, den, scratch, "drawn")), "links")
+    links = links.union(_verified(_bounded(drawn, classes, num, den), docs, itemise, num, den, scratch, "drawn"))
     second = connected_components(links, scratch, "second")
+    scratch.drop("mixed-1")
     # Last, all that share a bucket but no component yet.
     rest = mixed(second, "mixed-2").join(classes.select("key", "n", "bits"), "key")
     crossed = _cross(rest.select("sig", "key", "component", "n", "bits"), num, den)
@@ -280,5 +332,5 @@ def components(prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: It
     more = _verified(_bounded(crossed, classes, num, den), docs, itemise, num, den, scratch, "cross")
     every = links.union(more)
     joined = connected_components(every if extra is None else every.union(extra), scratch, "all")
-    scratch.drop("shared")
+    scratch.drop("shared", "mixed-2", "star-links", "drawn-links", "cross-links")
     return joined.withColumnRenamed("node", "key")

@@ -215,32 +215,100 @@ def test_fingerprints(spark):
     assert abs(P.distinct_count(a) - 3996) < 600 and abs(P.containment(a, b) - 0.75) < 0.15
 
 
+def brute_paragraphs(rows, radius=6):
+    """removed of each (key, text), keys ascending: lines and pieces told apart by loops."""
+    from manuscript_jobs.llm import hashing as H
+
+    lines, pieces = [], []
+    for key, t in rows:
+        w = [m.span() for m in WORDS.finditer((t or "").encode())]
+        words = WORDS.findall((t or "").encode().translate(LOWER))
+        n = len(w)
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        h = [int(x) for x in H.words(raw, np.array([0, len(raw)]))[0]]
+        mask = (1 << 64) - 1
+        mixed = lambda x: int(H.mix(np.array([x & mask], np.uint64))[0]) >> 1
+        pair = [mixed(h[i] * 3 + h[i + 1] * 7) if i + 1 < n else mixed(h[i]) for i in range(n)]
+        edges = [i for i in range(n) if not i or (all(pair[i] < x for x in pair[max(0, i - radius) : i]) and all(pair[i] <= x for x in pair[i : i + radius + 1]))] + [n]
+        pieces += [(key, s, e, shingle_set(b" ".join(words[s:e]).decode(), 5)) for s, e in zip(edges, edges[1:]) if e - s >= 5]
+        at = 0
+        for line in (t or "").split("\n"):
+            k = len(WORDS.findall(line.encode()))
+            if k >= 5:
+                lines.append((key, at, at + k, shingle_set(line, 5)))
+            at += k
+    out = {key: set() for key, _ in rows}
+    for items, link in ((lines, lambda a, b: 100 * len(a & b) >= 80 * len(a | b)), (pieces, lambda a, b: a == b)):
+        items.sort(key=lambda x: x[:3])
+        links = [(a, b) for a in range(len(items)) for b in range(a) if link(items[a][3], items[b][3])]
+        for i, root in enumerate(roots(len(items), links)):
+            (d, s, e, _), (fd, fs, fe, _) = items[i], items[root]
+            if i != root and (d != fd or s >= fe):
+                out[d].add((s, e, fd, fs))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def without(t, removed):
+    """(n_removed, n_spans, kept) by loops over words."""
+    raw = (t or "").encode()
+    w = [m.span() for m in WORDS.finditer(raw)]
+    gone = [any(s <= i < e for s, e, *_ in removed) for i in range(len(w))]
+    runs = [len(list(g)) for k, g in itertools.groupby(gone) if k]
+    kept, at, i = b"", 0, 0
+    while i < len(w):
+        if gone[i]:
+            kept += raw[at : w[i][0]]
+            while i < len(w) and gone[i]:
+                i += 1
+            at = w[i - 1][1]
+        else:
+            i += 1
+    return sum(gone), len(runs), (kept + raw[at:]).decode()
+
+
 def test_paragraph_dedup(spark):
     from manuscript_jobs.llm.paragraph_dedup import dedup_paragraphs
 
+    df, texts = corpus(spark, 4)
     r = random.Random(4)
     long = [text(r, n) for n in (60, 70, 90)]
     near = long[0].split(" ")
     near[30] = "changed"
-    docs = {
-        0: long[0] + "\nshort line\n" + text(r, 40), 1: "short line\n" + " ".join(near), 2: long[1] + "\n" + long[1], 3: None, 4: "",
-        5: text(r, 50) + "\n\n" + long[1] + "\n", 6: long[2], 7: long[2], 8: "short line",
+    more = {
+        900: long[0] + "\nshort line\n" + text(r, 40), 901: "short line\n" + " ".join(near), 902: long[1] + "\n" + long[1],
+        905: text(r, 50) + "\n\n" + long[1] + "\n", 906: long[2], 907: long[2], 908: "short line", 909: "\n" * 50 + long[2].replace(" ", "\n"),
+        910: " ".join(f"u{i % 7000}" for i in range(15000)),
     }
-    df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs.items()], "doc_id long, text string, item int, key long")
-    items = [(d, i, shingle_set(p, 5)) for d, t in docs.items() if t for i, p in enumerate(t.split("\n")) if len(p.split()) >= 20]
-    links = [(a, b) for a in range(len(items)) for b in range(a) if 100 * len(items[a][2] & items[b][2]) >= 80 * len(items[a][2] | items[b][2])]
-    want = {d: [] for d in docs}
-    for i, root in enumerate(roots(len(items), links)):
-        if root != i:
-            want[items[i][0]].append((items[i][1], *items[root][:2]))
+    df = df.select("doc_id", "text", "n", "key").union(spark.createDataFrame([(i, t, 1, 2) for i, t in more.items()], "doc_id long, text string, n long, key long"))
+    texts = texts | more
+    want = brute_paragraphs(sorted(texts.items()))
     got = {x.doc_id: x for x in dedup_paragraphs(df).collect()}
-    assert {d: [tuple(x) for x in g.removed] for d, g in got.items()} == want
-    for d, t in docs.items():
-        gone = {i for i, *_ in want[d]}
-        assert got[d].kept == "\n".join(p for i, p in enumerate((t or "").split("\n")) if i not in gone)
+    assert {d: [tuple(x) for x in g.removed] for d, g in got.items()} == want and sum(map(len, want.values())) > 50
+    for d, t in texts.items():
+        assert (got[d].n_removed, got[d].n_spans, got[d].kept) == without(t, want[d]), d
     assert dedup_paragraphs(empty(spark)).count() == 0
 
 
+def test_paragraphs_inside_lines(spark):
+    """Passages of 55 words and more are found in the middle of other lines and wrapped anew; other texts stay whole."""
+    from manuscript_jobs.llm.paragraph_dedup import dedup_paragraphs
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    rows, k = [], 0
+    for _ in range(120):
+        passage = some(r.choice([55, 60, 80, 120]))
+        rows.append((k, " ".join(some(r.randrange(20, 100)) + passage + some(r.randrange(20, 100)))))
+        wrapped = some(r.randrange(20, 100)) + passage + some(r.randrange(20, 100))
+        rows.append((k + 1, "\n".join(" ".join(wrapped[i : i + 13]) for i in range(0, len(wrapped), 13)) if k % 4 else " ".join(wrapped).upper()))
+        k += 2
+    clean = [(k + i, " ".join(some(200))) for i in range(100)]
+    got = {x.doc_id: x.n_removed for x in dedup_paragraphs(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i, _ in rows[1::2]) >= 114
+    assert not any(got[i] for i, _ in rows[::2] + clean)
+
+
 def test_paragraph_dedup_short_lines(spark):
     """A line of five words and more goes where it repeats, near copies among them; one of four stays."""
     from manuscript_jobs.llm.paragraph_dedup import dedup_paragraphs
@@ -253,8 +321,9 @@ def test_paragraph_dedup_short_lines(spark):
         1: "\n".join(" ".join(p) for p in (five, eight, long)), 2: " ".join(five) + "\nfour words stay here\n" + near,
         3: "four words stay here\n" + " ".join(eight).upper() + "\n" + " ".join(five[:4] + ["other"]), 4: " ".join(eight[:7]),
     }
-    got = {x.doc_id: [tuple(y) for y in x.removed] for x in dedup_paragraphs(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
-    assert got == {1: [], 2: [(0, 1, 0), (2, 1, 2)], 3: [(1, 1, 1)], 4: []}
+    got = {x.doc_id: {tuple(y) for y in x.removed} for x in dedup_paragraphs(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert {d: [tuple(y) for y in v] for d, v in brute_paragraphs(list(docs.items())).items()} == {d: sorted(v) for d, v in got.items()}
+    assert {(0, 5, 1, 0), (9, 29, 1, 13)} <= got[2] and (4, 12, 1, 5) in got[3] and not got[1] | got[4]
 
 
 @pytest.mark.parametrize("shared", [None, 7])
@@ -268,8 +337,9 @@ def test_paragraph_dedup_shared_ids(spark, shared):
     rows = [(1, line[0] + "\n" + line[1]), (shared, line[2] + "\n" + line[0]), (shared, line[3] + "\n" + line[4]), (shared, line[1] + "\n" + line[5])]
     rows.append(rows[1])
     got = dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = [(1, [], rows[0][1]), (shared, [(1, 1, 0)], line[2]), (shared, [], rows[2][1]), (shared, [(0, 1, 1)], line[5]), (shared, [(1, 1, 0)], line[2])]
-    assert sorted(map(str, ((x.doc_id, [tuple(y) for y in x.removed], x.kept) for x in got))) == sorted(map(str, want))
+    want = [(1, 0, rows[0][1]), (shared, 30, line[2] + "\n"), (shared, 0, rows[2][1]), (shared, 30, "\n" + line[5]), (shared, 30, line[2] + "\n")]
+    assert sorted(map(str, ((x.doc_id, x.n_removed, x.kept) for x in got))) == sorted(map(str, want))
+    assert {(y.first_doc_id, y.first_begin) for x in got for y in x.removed if y.end - y.begin == 30} == {(1, 0), (1, 30)}
 
 
 def test_mixing(spark):
