@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manuscript_jobs.llm.common import Scratch, own_keys
+from manuscript_jobs.llm.common import Scratch, own_keys, sieve, sifted
 from manuscript_jobs.llm.mixing import WORD, mix
 from manuscript_jobs.llm.ngram_join import join_components
 from manuscript_jobs.llm.packing import pack
 from manuscript_jobs.llm.quality import fit, held_out, score_documents
-from manuscript_jobs.llm.similarity import MARKS
 from manuscript_jobs.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,7 +22,9 @@ REJECT_BELOW = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field scores below REJECT_BELOW go."""
+    """Documents that the line field scores below REJECT_BELOW go. Null and empty texts are one empty line and
+    scored as such; rows that share an id, repeated rows and rows of a null id are scored each, equal rows alike.
+    Without labels of both kinds every score is 0.5 and all stay. An empty table gives none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     crf = fit(docs, labels, lambda i: ~held_out(i))
     return score_documents(docs, crf, COLUMNS).where(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
@@ -34,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Distinct (id, text) pairs are documents of their own, in the order of ids (null last) and text hashes, so
     texts that share an id or have none only go for a link of theirs. Equal rows collapse, and rows of one id
-    and text do where the text has words. Only documents whose key's hash value is that of one to go are shuffled.
+    and text do where the text has words. Null and empty texts, and texts without words, stay. Only documents that
+    a sieve of the keys to go lets through are shuffled. An empty table gives none; other columns are dropped.
     """
     table = Scratch(spark, "near-duplicates")
     keyed, names = own_keys(docs.select(*COLUMNS), table)
@@ -43,15 +45,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if names is not None:
         gone = gone.union(groups.groupBy("_own").count().where("count > 1").select("_own", F.lit(0)))
     gone = table.cut(gone.groupBy("_own").agg(F.max("goes").alias("goes")), "gone")
-    mark = F.pmod(F.xxhash64("_own"), F.lit(MARKS))
-    marks = F.broadcast(gone.select(mark.alias("_mark")).distinct())
-    marked = keyed.select("_own", *COLUMNS).withColumn("_mark", mark)
-    rest = marked.join(marks, "_mark", "left_semi").join(gone, "_own", "left")
+    marks, keyed = sieve(gone, "_own"), keyed.select("_own", *COLUMNS)
+    rest = sifted(keyed, "_own", marks).join(gone, "_own", "left")
     single = rest.where("goes is null").select(*COLUMNS)
     others = F.struct("doc_id", "text", "lang", "source", "n_chars")
     wordless = F.when(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)), others)
     repeated = rest.where("goes = 0").groupBy("_own", wordless.alias("_row")).agg(F.min(others).alias("r")).select("r.*")
-    return marked.join(marks, "_mark", "left_anti").select(*COLUMNS).union(single).union(repeated)
+    return sifted(keyed, "_own", marks, "left_anti").select(*COLUMNS).union(single).union(repeated)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as its source's target takes it; the part of a repetition that a
-    target still takes is the document's first words, joined by spaces."""
+    target still takes is the document's first words, joined by spaces. Documents without words (null and empty
+    texts) take no part and go. Rows that share an id, have none or are equal are mixed each by itself; ties are
+    broken by the order of keys. An empty table gives none."""
     scratch = Scratch(spark, "mixing")
     docs, names = own_keys(docs.select(*COLUMNS), scratch)
     if names is not None:  # rows may be equal: each is numbered in the written table
@@ -80,7 +82,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of 2048 by best fit decreasing."""
+    """Token windows of 2048 by best fit decreasing: a row a piece. A null or empty text is its end token alone;
+    rows that share an id, have none or are equal are packed each. An empty table gives none."""
     return pack(docs)
 
 
