@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 #: Rows of a sieve at most, 64 bits each.
 SIEVE = 1 << 18
 
@@ -86,6 +88,15 @@ def sifted(df: DataFrame, column: str, sieve: DataFrame, how: str = "left_semi")
     return some.join(F.broadcast(sieve), hit, how).drop("_slot")
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, for a Python step over texts: Spark's default of 10,000 rows an Arrow batch is too much for whole
+    documents, so a session that has it gets BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

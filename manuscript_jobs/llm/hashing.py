@@ -62,7 +62,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 300_000) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``most`` bytes each, one document at least."""
     i, n = 0, len(offsets) - 1
     while i < n:

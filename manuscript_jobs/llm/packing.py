@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import hashing as H
+from .common import text_batches
 
 TOKENIZER = "word_bpe_49k.json"
 PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -215,7 +216,7 @@ def pack(
         for batch in batches:
             keys = batch.column(0).to_pylist()
             data, offsets = H.text_bytes(batch.column(1))
-            for a, b in H.slices(offsets, 1_000_000):
+            for a, b in H.slices(offsets, 500_000):
                 ids, bounds = tokens.ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 whole = []
                 for d in range(b - a):
@@ -240,4 +241,4 @@ def pack(
             yield flush()
 
     schema = f"{doc_id} long, {PIECE_SCHEMA}" + ", ids array<int>" * keep_ids
-    return docs.selectExpr(f"cast(`{doc_id}` as long) `{doc_id}`", f"`{text}` _text").mapInArrow(packed, schema)
+    return text_batches(docs).selectExpr(f"cast(`{doc_id}` as long) `{doc_id}`", f"`{text}` _text").mapInArrow(packed, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .common import text_batches
 
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _OWN = 14 + len(MARKS)
@@ -208,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, most: int = 4000, most_lines
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label")
         .limit(most)
     )
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def features(batches):
         for batch in batches:
@@ -247,7 +248,7 @@ def score_documents(docs: DataFrame, crf: Crf, keep: tuple = ("doc_id",), text:
             out.append(crf.score(x, lengths, bounds))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    return docs.select(*keep, scored(F.coalesce(F.col(text), F.lit(""))).alias("score"))
+    return text_batches(docs).select(*keep, scored(F.coalesce(F.col(text), F.lit(""))).alias("score"))
 
 
 def held_out(doc_id, modulus: int = 4, rest: int = 2):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import Scratch, connected_components, sieve, sifted
+from .common import Scratch, connected_components, sieve, sifted, text_batches
 
 _U = np.uint64
 BLOCK = 1024
@@ -62,7 +62,7 @@ def levels(docs: DataFrame, itemise: Itemise) -> np.ndarray:
         hot = np.flatnonzero(seen > mean + 4 * np.sqrt(mean) + 2)
         yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(seen[hot])], ["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
+    rows = text_batches(docs).select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
     out = np.zeros(COUNTERS, np.uint8)
     for r in rows.collect():  # COUNTERS rows at most
         out[r.slot] = r.level + 1
@@ -135,7 +135,7 @@ def prepared(docs: DataFrame, itemise: Itemise, sign: Callable) -> DataFrame:
                     ["doc_id", "item", "n", "key", "check", "sigs", "bits"],
                 )
 
-    return docs.mapInArrow(made, "doc_id long, item long, n long, key long, check long, sigs array<long>, bits binary")
+    return text_batches(docs).mapInArrow(made, "doc_id long, item long, n long, key long, check long, sigs array<long>, bits binary")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:

@@ -389,6 +389,26 @@ def removed_bytes(texts, n):
     return out
 
 
+def test_longest_previous_factor():
+    from manuscript_jobs.llm.suffix_dedup import longest_previous_factor, previous_smaller
+
+    r = random.Random(7)
+    for _ in range(200):
+        v = np.array(r.sample(range(1000), r.randrange(1, 40)))
+        want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(len(v))]
+        assert previous_smaller(v).tolist() == want
+    for n in (8, 9, 16, 20, 100):
+        for alphabet in (b"a", b"ab", b"abcd", bytes(range(256))):
+            raw = bytes(r.choice(alphabet) for _ in range(400))
+            raw += raw[50:200] + bytes(r.choice(alphabet) for _ in range(50)) + raw[10:160]
+            starts = np.array(sorted(r.sample(range(len(raw) - n + 1), 150)))
+            order = np.array(r.sample(range(10_000), 150))
+            got = longest_previous_factor(np.frombuffer(raw, np.uint8), starts, order, n)
+            common = lambda a, b: next((i for i in range(n) if raw[a + i] != raw[b + i]), n)  # noqa: B023, E731
+            want = [max((common(s, t) for t, p in zip(starts, order) if p < o), default=0) for s, o in zip(starts, order)]
+            assert got.tolist() == want
+
+
 @pytest.mark.parametrize("group", [8192, 1])
 def test_suffix_dedup(spark, group):
     from manuscript_jobs.llm.suffix_dedup import remove_repeats
@@ -408,6 +428,8 @@ def test_suffix_dedup(spark, group):
     odd = spark.createDataFrame([(1, t), (1, t), (1, t + " more"), (None, "x" + t), (None, None)], "doc_id long, text string")
     rows = remove_repeats(odd).collect()
     assert len(rows) == 5 and all((sum(s.end - s.begin for s in r.spans) > 0) == (r.doc_id == 1) for r in rows)
+    with pytest.raises(ValueError):
+        remove_repeats(df, n=2000)
     whole = {r.doc_id: bytes(r.kept).decode() for r in remove_repeats(df, whole_chars=True).collect()}
     assert all(len(whole[i].encode()) >= len(got[i].kept) for i in whole)
 
