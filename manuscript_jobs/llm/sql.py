@@ -13,15 +13,16 @@ def _op1() -> str:
     action = "CASE " + " ".join(f"WHEN {c} THEN '{a}'" for c, (a, _, _) in zip(fits, ordered)) + " END"
     bounded = "(^|[^a-z0-9]){}([^a-z0-9]|$)"
     soft = " + ".join(f"{w} * regexp_matches(low, '{bounded.format(t)}')::INT" for t, w in SOFT)
+    softs = " + ".join(f"regexp_matches(low, '{bounded.format(t)}')::INT" for t, _ in SOFT)
     strict = " + ".join(f"regexp_matches(low, '{bounded.format(t)}')::INT" for t in STRICT)
     return f"""
     WITH a AS (SELECT page_id, {lower.format("coalesce(url, '')")} AS low,
                       CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     b AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM a),
     c AS (SELECT *, {lower.format("raw_host")} AS host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM b),
-    d AS (SELECT *, {rule} AS rule, {action} AS action, ({strict})::INT AS strict_hits, ({soft})::INT AS soft_weight FROM c)
-    SELECT page_id, host, path, rule, coalesce(action, CASE WHEN strict_hits >= 1 OR soft_weight >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
-           strict_hits, soft_weight FROM d"""
+    d AS (SELECT *, {rule} AS rule, {action} AS action, ({strict})::INT AS strict_hits, ({softs})::INT AS soft_hits, ({soft})::INT AS soft_weight FROM c)
+    SELECT page_id, host, path, rule, coalesce(action, CASE WHEN strict_hits >= 1 OR (soft_hits >= 2 AND soft_weight >= 2) THEN 'block' ELSE 'allow' END) AS verdict,
+           strict_hits, soft_hits, soft_weight FROM d"""
 
 
 #: Targets by the closed form of the water level; a document's place by sums in its source's seeded order.

@@ -1,15 +1,19 @@
 """Exact top-k by inner product, over KD-trees of shards of the vectors.
 
 Components are quantised to floor(256 * x) as double. Vectors fall into shards of bounded size by a
-hash of their id, queries into blocks; each (shard, block) pair is one task's work. A shard's tree
+hash of their rows, queries into blocks; each (shard, block) pair is one task's work. A shard's tree
 splits at the median of its widest component, with tight bounding boxes. The inner product of a query
 with any vector in a box is at most the sum of its products with the box's better corner; nodes are
-visited best bound first until no bound reaches the k-th score. The k-th score found in the first
-shard is handed on to all the others as a floor.
+visited best bound first until no bound reaches the k-th score. Shards are searched in rounds of one, two, four and
+so on; the k-th score that the rounds before have found is handed on as a floor.
 
-Vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
-only vectors of equal length meet. A candidate with the query's own id is left out. Ties go to the
-smaller id. Repeated ids are candidates each, and are asked each as one query per id.
+Every query meets every shard, so rows shuffled are vectors x query blocks + queries x shards: for a query set in
+proportion to the vectors the work is quadratic, as an exact search without pruning is.
+
+Vectors that are null or hold null or non-finite components take no part, nor do rows without an id, nor those
+whose components are so large (max^2 * length of 2^63 or more) that a score has no 64-bit value; only vectors of
+equal length meet. Scores beyond 2^53 are summed as 64-bit integers. A query's own row is left out, other rows of
+its id are not. Ties go to the smaller id. Each row of a repeated id is a candidate, and a query where chosen.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ LEAF = 256
 
 
 class KdTree:
-    """Median splits over int64 vectors; boxes are tight. Nodes are (low, high, begin, end, left, right)."""
+    """Median splits over int64 vectors; boxes are tight. ``ids`` and ``rows`` name the vectors."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
         order = np.arange(len(ids))
         lows, highs, spans, kids = [], [], [], []
         todo = [(0, len(ids), -1, 0)]
@@ -46,17 +50,27 @@ class KdTree:
                 mid = (e - s) // 2
                 order[s:e] = order[s:e][np.argpartition(own[:, axis], mid)]
                 todo += [(s, s + mid, at, 0), (s + mid, e, at, 1)]
-        self.vectors, self.ids = vectors[order].astype(np.float64), ids[order]
+        self.most = int(np.abs(vectors).max(initial=0))
+        self.whole, self.vectors = vectors[order], vectors[order].astype(np.float64)
+        self.ids, self.rows = ids[order], rows[order]
         self.low, self.high = np.array(lows, np.float64), np.array(highs, np.float64)
         self.spans, self.kids = spans, kids
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: float, bound: np.ndarray) -> list[tuple[int, int]]:
-        """Up to k (score, id) with score >= floor, best first. ``bound`` has each node's bound for the query."""
-        best: list[tuple[float, int]] = []  # a heap, worst first: (score, -id)
+    def scores(self, s: int, e: int, query: np.ndarray) -> np.ndarray:
+        """Exact inner products: in float64 where no sum can pass 2^53, in int64 else."""
+        if self.most * int(np.abs(query).max(initial=0)) * len(query) < 1 << 53:
+            return (self.vectors[s:e] @ query.astype(np.float64)).astype(np.int64)
+        return self.whole[s:e] @ query
+
+    def search(self, query: np.ndarray, own: int, k: int, floor: int | None, bound: np.ndarray) -> list[tuple[int, int, int]]:
+        """Up to k (score, id, row) with score >= floor, best first. ``bound`` has each node's bound for the query."""
+        best: list[tuple[int, int, int]] = []  # a heap, worst first: (score, -id, -row)
         todo = [(-bound[0], 0)]
+        floor = -(1 << 63) if floor is None else floor
         while todo:
             reach, node = heapq.heappop(todo)
-            if -reach < (max(floor, best[0][0]) if len(best) == k else floor):
+            least = max(floor, best[0][0]) if len(best) == k else floor
+            if -reach < least:
                 break  # a bound equal to the k-th score may still hold a smaller id
             left, right = self.kids[node]
             if left >= 0:
@@ -64,23 +78,24 @@ class KdTree:
                 heapq.heappush(todo, (-bound[right], right))
                 continue
             s, e = self.spans[node]
-            scores = self.vectors[s:e] @ query
-            least = max(floor, best[0][0]) if len(best) == k else floor
-            good = np.flatnonzero((scores >= least) & (self.ids[s:e] != own))
+            scores = self.scores(s, e, query)
+            good = np.flatnonzero((scores >= least) & (self.rows[s:e] != own))
             if len(good) > k:  # of many, those up to the k-th and its ties
                 cut = np.partition(scores[good], len(good) - k)[len(good) - k]
                 good = good[scores[good] >= cut]
             for i in good.tolist():
-                item = (float(scores[i]), -int(self.ids[s + i]))
+                item = (int(scores[i]), -int(self.ids[s + i]), -int(self.rows[s + i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
                     heapq.heapreplace(best, item)
-        return [(int(s), -i) for s, i in sorted(best, reverse=True)]
+        return [(s, -i, -r) for s, i, r in sorted(best, reverse=True)]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Of each query and node: no vector in the node's box has a higher inner product."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        """Of each query and node: no vector in the node's box has a higher inner product. Rounding is made up for."""
+        x = queries.astype(np.float64)
+        bound = np.maximum(x, 0) @ self.high.T + np.minimum(x, 0) @ self.low.T
+        return bound + (np.abs(x) @ np.maximum(np.abs(self.low), np.abs(self.high)).T) * 2.0**-40
 
 
 def _matrix(column) -> np.ndarray:
@@ -92,18 +107,18 @@ def _search_pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Cogroups (shard, block, dim) parts; queries carry a floor."""
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        found = []
         if left.num_rows and right.num_rows:
-            tree = KdTree(_matrix(left["v"]), left["id"].to_numpy())
-            asked = _matrix(right["v"]).astype(np.float64)
+            tree = KdTree(_matrix(left["v"]), left["id"].to_numpy(), left["row"].to_numpy())
+            asked = _matrix(right["v"])
             bound = tree.bounds(asked)
-            for i, (own, floor) in enumerate(zip(right["id"].to_pylist(), right["floor"].to_pylist())):
-                rows += [(own, i2, s) for s, i2 in tree.search(asked[i], own, k, -np.inf if floor is None else floor, bound[i])]
-        cols = list(zip(*rows)) or [[], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
+            for i, (own, floor) in enumerate(zip(right["row"].to_pylist(), right["floor"].to_pylist())):
+                found += [(own, *x) for x in tree.search(asked[i], own, k, floor, bound[i])]
+        cols = list(zip(*found)) or [[], [], [], []]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_row", "score", "vec_id", "vec_row"), cols)})
 
     keys = ("shard", "block", "dim")
-    return vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+    return vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "query_row long, score long, vec_id long, vec_row long")
 
 
 def top_k(vectors: DataFrame, queries, k: int = 5, shard_rows: int = 8192, block_rows: int = 4096, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -115,25 +130,28 @@ def top_k(vectors: DataFrame, queries, k: int = 5, shard_rows: int = 8192, block
     scratch = Scratch(vectors.sparkSession, "topk")
     x = F.col(embedding)
     fine = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    whole = vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine).select(
-        F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256)).alias("v"), F.size(x).alias("dim")
-    )
+    most = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))) * 256 + 1
+    small = most * most * F.size(x) < float(1 << 63)
+    whole = vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine & small).select(
+        F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256)).alias("v"), F.size(x).alias("dim"), F.monotonically_increasing_id().alias("row")
+    )  # rows are numbered as they are written
     whole = scratch.cut(whole, "vectors")
     asked = scratch.read("vectors", whole.schema).where(queries(F.col("id")))
-    n, q = whole.count(), asked.select("id").distinct().count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_rows))
-    asked = asked.dropDuplicates(["id", "dim"]) if q < asked.count() else asked
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    placed = whole.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)))
-    spread = lambda d: d.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    first = scratch.cut(
-        _search_pairs(spread(placed.where("shard = 0")), asked.withColumn("shard", F.lit(0).cast("long")).withColumn("floor", F.lit(None).cast("double")), k), "first"
-    )
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") >= k)
-    handed = asked.join(kth.select(F.col("query_id").alias("id"), "floor"), "id", "left")
-    found = first
-    if shards > 1:
-        rest = handed.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-        found = first.union(_search_pairs(spread(placed.where("shard > 0")), rest, k))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    shards, blocks = max(1, -(-whole.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    placed = whole.withColumn("shard", F.pmod(F.xxhash64("row", "v"), F.lit(shards)))
+    spread = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
+    found, low, n = None, 0, 0
+    while low < shards:
+        high = min(2 * low + 1, shards)  # shards low to high - 1
+        handed = asked.withColumn("floor", F.lit(None).cast("long"))
+        if found is not None:
+            kth = found.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+            handed = asked.join(kth.select(F.col("query_row").alias("row"), "floor"), "row", "left")
+        handed = handed.withColumn("shard", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))))
+        made = _search_pairs(spread.where(F.col("shard").between(low, high - 1)), handed, k)
+        ranked = (made if found is None else found.drop("rank").union(made)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found, low, n = scratch.cut(ranked, f"found-{n}"), high, n + 1
+    names = asked.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
+    return found.join(names, "query_row").select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,8 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by an Aho-Corasick automaton.
 
 The automaton reports every vocabulary term in the lower-cased URL; a hit counts when the characters
-around it are no letters or digits. One strict hit rejects, and so do soft hits of ``soft_limit``
-distinct terms (a term's weight counts it as so many). Null and empty URLs have an empty host and
+around it are no letters or digits. One strict hit rejects, and so do soft hits of two distinct terms or more
+whose weights add up to ``soft_limit``. The vocabulary is a parameter; ``vocabulary`` reads one from a table. Null and empty URLs have an empty host and
 path, no hits and the verdict ``allow``.
 """
 
@@ -32,6 +32,16 @@ SOFT = (
 )
 
 
+def vocabulary(terms: DataFrame, most: int = 100_000) -> tuple[tuple, tuple]:
+    """(strict, soft) for ``filter_urls`` from a table (term, weight, strict), lower-cased, without null or empty
+    terms; a term's largest weight counts. A table of over ``most`` terms is an error, since each task holds them all."""
+    fine = terms.select(ascii_lower(F.col("term")).alias("term"), F.coalesce("weight", F.lit(1)).cast("int").alias("weight"), F.coalesce("strict", F.lit(False)).alias("strict"))
+    rows = fine.where(F.length("term") > 0).groupBy("term").agg(F.max("weight").alias("weight"), F.max("strict").alias("strict")).orderBy("term").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of over {most} terms")
+    return tuple(r.term for r in rows if r.strict), tuple((r.term, r.weight) for r in rows if not r.strict)
+
+
 def host_and_path(url):
     """(host, path) columns: the host runs from the first ``://`` to ``/``, ``?``, ``#`` or the end, A-Z
     lower-cased; the path from there to ``?``, ``#`` or the end. Null or no ``://``: both empty."""
@@ -66,9 +76,9 @@ def _automaton(strict: tuple, soft: tuple):
     return found
 
 
-def count_terms(url: str | None, strict: tuple = STRICT, soft: tuple = SOFT) -> tuple[int, int]:
-    """(distinct strict terms, weight of distinct soft terms) in one lower-cased URL."""
-    hits, weights, seen = 0, 0, set()
+def count_terms(url: str | None, strict: tuple = STRICT, soft: tuple = SOFT) -> tuple[int, int, int]:
+    """(distinct strict terms, distinct soft terms, the weight of these) in one lower-cased URL."""
+    hits, softs, weights, seen = 0, 0, 0, set()
     for last, (term, weight, is_strict) in _automaton(strict, soft).iter(url or ""):
         first = last - len(term) + 1
         around = url[first - 1 : first] + url[last + 1 : last + 2]
@@ -78,28 +88,29 @@ def count_terms(url: str | None, strict: tuple = STRICT, soft: tuple = SOFT) ->
         if is_strict:
             hits += 1
         else:
+            softs += 1
             weights += weight
-    return hits, weights
+    return hits, softs, weights
 
 
 def filter_urls(
     pages: DataFrame, url: str = "url", rules=RULES, strict: tuple = STRICT, soft: tuple = SOFT, soft_limit: int = 2, keep: tuple = ("page_id",)
 ) -> DataFrame:
-    """Judges every row: the ``keep`` columns, host, path, rule, strict_hits, soft_weight and verdict.
+    """Judges every row: the ``keep`` columns, host, path, rule, verdict, strict_hits, soft_hits and soft_weight.
 
     Rows stay as they are (repeats too); nothing is shuffled. Other columns of ``pages`` are not read.
     """
 
-    @F.pandas_udf("strict_hits int, soft_weight int")
+    @F.pandas_udf("strict_hits int, soft_hits int, soft_weight int")
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([count_terms(u, strict, soft) for u in part], columns=["strict_hits", "soft_weight"])
+            yield pd.DataFrame([count_terms(u, strict, soft) for u in part], columns=["strict_hits", "soft_hits", "soft_weight"])
 
     host, path = host_and_path(F.col(url))
     rule, action = rule_columns(F.col("_host"), F.col("_path"), rules)
     lowered = F.coalesce(ascii_lower(F.col(url)), F.lit(""))
     found = pages.select(*keep, host.alias("_host"), path.alias("_path"), counted(lowered).alias("_hits"))
-    method = F.when((F.col("_hits.strict_hits") >= 1) | (F.col("_hits.soft_weight") >= soft_limit), "block").otherwise("allow")
+    method = F.when((F.col("_hits.strict_hits") >= 1) | ((F.col("_hits.soft_hits") >= 2) & (F.col("_hits.soft_weight") >= soft_limit)), "block").otherwise("allow")
     return found.select(
         *keep,
         F.col("_host").alias("host"),
@@ -107,5 +118,6 @@ def filter_urls(
         rule.alias("rule"),
         F.coalesce(action, method).alias("verdict"),
         F.col("_hits.strict_hits").alias("strict_hits"),
+        F.col("_hits.soft_hits").alias("soft_hits"),
         F.col("_hits.soft_weight").alias("soft_weight"),
     )

@@ -63,7 +63,7 @@ def roots(n, links):
 
 
 def test_urls(spark):
-    from manuscript_jobs.llm.url_filter import SOFT, STRICT, filter_urls
+    from manuscript_jobs.llm.url_filter import SOFT, STRICT, filter_urls, vocabulary
 
     urls = [
         None, "", "no scheme", "http://", "HTTPS://A.Example.COM/en/x?y#z", "http://www.example.com/en/", "http://x.net/es/1", "http://x.net/esp",
@@ -84,9 +84,16 @@ def test_urls(spark):
         fit = max(((len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
         low = (u or "").encode().translate(LOWER).decode()
         bounded = lambda t: re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", low)
-        own = "block" if any(map(bounded, STRICT)) or sum(w for t, w in SOFT if bounded(t)) >= 2 else "allow"
+        own = "block" if any(map(bounded, STRICT)) or len([t for t, _ in SOFT if bounded(t)]) >= 2 else "allow"
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, fit and fit[1], fit[2] if fit else own), u
     assert filter_urls(df.limit(0)).count() == 0
+    terms = spark.createDataFrame([("Bad", 1, True), ("so", 2, False), ("so", 3, None), ("la", None, False), (None, 1, True), ("", 1, True)], "term string, weight int, strict boolean")
+    assert vocabulary(terms) == (("bad",), (("la", 1), ("so", 3)))
+    few = spark.createDataFrame([(1, "http://a/so-so"), (2, "http://a/so-la"), (3, "http://a/bad"), (4, "http://a/badly")], "page_id long, url string")
+    strict, soft = vocabulary(terms)
+    assert [r.verdict for r in filter_urls(few, rules=(), strict=strict, soft=soft).orderBy("page_id").collect()] == ["allow", "block", "block", "allow"]
+    with pytest.raises(ValueError):
+        vocabulary(terms, 1)
 
 
 @pytest.fixture(scope="module")
@@ -460,13 +467,14 @@ def test_topk(spark, shard_rows):
     r = random.Random(2)
     rows = [(i, [r.gauss(0, 1) for _ in range(6)], 0) for i in range(300)]
     rows += [(400 + i, [0.5] * 6, 0) for i in range(60)]
-    rows += [(500, None, 1), (550, [float("nan")] * 6, 1), (551, [None] * 6, 1), (600, [1.0] * 3, 1), (None, [1.0] * 6, 1), (601, [2.0] * 3, 1), (602, [], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int")
-    fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    rows += [(500, None, 1), (550, [float("nan")] * 6, 1), (551, [None] * 6, 1), (600, [1.0] * 3, 1), (None, [1.0] * 6, 1), (601, [2.0] * 3, 1), (602, [], 1), (250, [0.1] * 6, 1), (250, [0.3] * 6, 1)]
+    rows += [(700, [1e300] * 6, 1), (750, [3e6] * 6, 1), (751, [3e6] * 5 + [2e6], 1), (752, [float("inf")] * 6, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
+    fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and i != 700 and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in fine:
+    for at, (q, v) in enumerate(fine):
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(w) == len(v))[:5]
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, (i, w) in enumerate(fine) if j != at and len(w) == len(v))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     got = [tuple(x) for x in top_k(df, lambda i: i % 50 == 0, 5, shard_rows, 3).collect()]
     assert sorted(got) == sorted(want)
