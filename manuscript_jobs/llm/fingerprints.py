@@ -21,6 +21,8 @@ from . import hashing as H
 from .common import width
 
 K, SIZE = 256, 5
+#: Characters of a range of documents.
+RANGE_CHARS = 1 << 25
 
 
 def sketches(texts: list[str], k: int = K, size: int = SIZE) -> list[np.ndarray]:
@@ -94,12 +96,13 @@ def neighbour_likeness(docs: DataFrame, k: int = K, size: int = SIZE, doc_id: st
     Documents are ordered by id (null first), rows of one id by text; after the last comes the first.
     Texts are shuffled once, into ranges of ids whose bounds are ids of the table; a range also gets
     the rows of the next range's first id, so that each range knows its last document's next one. Only
-    the bounds (four for each shuffle partition) pass through the driver.
+    the bounds (one for each RANGE_CHARS characters, four for each shuffle partition at least) pass through the driver.
     """
     spark = docs.sparkSession
     id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col(doc_id).cast("long").alias("_own"), id_.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    parts = 4 * width(spark)
+    size_of = rows.agg(F.sum(F.length("_text") + 16)).first()[0] or 0
+    parts = max(4 * width(spark), size_of // RANGE_CHARS)
     row = rows.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)] if parts > 1 else [0.5], 20 * parts).alias("q"), F.min("_id").alias("m")).first()
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     least = row.m
@@ -120,7 +123,7 @@ def neighbour_likeness(docs: DataFrame, k: int = K, size: int = SIZE, doc_id: st
 
     # An even place is a document's own; an odd one is a copy that only serves as the range's next.
     dealt = rows.withColumn("_place", F.explode(ranges("_id"))).withColumn("_range", F.expr("_place div 2"))
-    dealt = dealt.repartition("_range").sortWithinPartitions("_range", "_place", "_id", "_text")
+    dealt = dealt.repartition(max(width(spark), size_of // RANGE_CHARS), "_range").sortWithinPartitions("_range", "_place", "_id", "_text")
 
     def compared(batches):
         held = None  # (range, id, text, sketch), the last document without its next yet

@@ -515,6 +515,22 @@ def test_line_features():
         assert np.allclose(x[s : e - 1, :own], x[s + 1 : e, own : 2 * own]) and not x[s, own : 2 * own].any() and not x[e - 1, 2 * own : 3 * own].any()
 
 
+def test_potentials_in_runs():
+    """Line scores are the same however many lines are held at once, those of many lines and of one long line too."""
+    from manuscript_jobs.llm.hashing import text_bytes
+    from manuscript_jobs.llm.quality import WIDTH, Crf, line_features, lines_of
+
+    r = np.random.default_rng(3)
+    crf = Crf(r.normal(size=WIDTH), r.uniform(0.5, 2, WIDTH), r.normal(size=WIDTH) / 20, r.normal(size=(2, 2)), (1.0, 0.0))
+    texts = ["", "a b\nA A!\n\nx", None, "\n" * 20_000, "word " * 30_000, "Ünï çode\nlines.\n" * 300]
+    data, offsets = text_bytes(pa.array(texts))
+    lines = lines_of(data, offsets)
+    want = np.clip(((line_features(data, offsets)[0] - crf.mean) / crf.scale) @ crf.weights, -30, 30)
+    for most in (1_000_000, 997, 64):
+        assert np.allclose(crf.potentials(lines, most, 5000), want, atol=1e-3)
+    assert len(crf.score(lines)) == len(texts)
+
+
 def test_quality(spark):
     from manuscript_jobs.llm.quality import fit, held_out, score_documents
 
