@@ -86,10 +86,11 @@ def modal_indent(paragraphs: DataFrame) -> DataFrame:
     return weighted_mode(paragraphs, ["doc_id"], F.col("indent"), F.lit(1), F.col("n"), "modal")
 
 
-def check_indent_docx(units: DataFrame, rule: float, skip: DataFrame, per: int = 4, tolerance: float = 0.12) -> DataFrame:
+def check_indent_docx(units: DataFrame, rule: float, skip: DataFrame, tolerance: float = 0.12) -> DataFrame:
     """First-line indents relative to the document's usual body indent less the rule; glossary lines are left
-    out. A paragraph is ``per`` lines; its first is judged."""
-    first = units.where(F.col("n") % per == 0).where(F.length("text") >= 20).join(skip, ["doc_id", "n"], "left_anti")
+    out. The first line of each ``paragraph`` is judged."""
+    opens = F.min("n").over(Window.partitionBy("doc_id", "paragraph"))
+    first = units.withColumn("_opens", opens).where((F.col("n") == F.col("_opens")) & (F.length("text") >= 20)).join(skip, ["doc_id", "n"], "left_anti")
     j = first.join(modal_indent(first), "doc_id")
     base = F.when(F.abs(F.col("modal") - rule) <= tolerance, 0.0).otherwise(F.col("modal") - rule)
     return _checked(j, "Indentation", (F.abs(F.col("indent") - F.when(base > 0, base).otherwise(0.0) - rule) > tolerance, "first_line_indent", "moderate"))
@@ -105,14 +106,16 @@ def glossary_section_lines(units: DataFrame, heading: str = r"^(?i:definition of
 
 
 def check_indent_pdf(paragraphs: DataFrame, rule: float = 0.5) -> DataFrame:
-    """First-line indents measured on pages: within 0.12 inches passes, within 0.25 is uncertain and passes. Where
-    55 % of a document's paragraphs share one other indent, that is taken as its zero."""
+    """First-line indents measured on pages: within 0.12 inches of the rule passes. Where 55 % of a document's
+    measured paragraphs share one indent that passes, those within 0.12 of it pass too. Within 0.25 of the rule, or
+    without a second line to measure against, is uncertain and counts as passed; the rest fails."""
     own = paragraphs.withColumn("indent", F.round((F.col("first_x") - F.col("left_x")) / 72, 2))
-    counts = own.groupBy("doc_id", "indent").agg(F.count("*").alias("c"))
+    counts = own.where("lines > 1").groupBy("doc_id", "indent").agg(F.count("*").alias("c"))
     mode = counts.groupBy("doc_id").agg(F.max_by("indent", F.struct("c", -F.col("indent"))).alias("mode"), (F.max("c") / F.sum("c")).alias("share"))
-    j = own.join(mode, "doc_id")
-    off = F.abs(F.col("indent") - rule)
-    verdict = F.when(off <= 0.12, "pass").when((off <= 0.25) | (F.col("lines") == 1), "uncertain").when((F.col("share") >= 0.55) & (F.abs(F.col("mode") - rule) <= 0.12), "fail").otherwise("fail")
+    j = own.join(mode, "doc_id", "left")
+    apart = lambda a, b: F.round(F.abs(a - b), 4)
+    off, usual = apart(F.col("indent"), rule), (F.col("share") >= 0.55) & (apart(F.col("mode"), rule) <= 0.12) & (apart(F.col("indent"), F.col("mode")) <= 0.12)
+    verdict = F.when(F.col("lines") == 1, F.when(off <= 0.12, "pass").otherwise("uncertain")).when((off <= 0.12) | F.coalesce(usual, F.lit(False)), "pass").when(off <= 0.25, "uncertain").otherwise("fail")
     return j.select(*PAGE, "paragraph", "indent", verdict.alias("verdict"), (verdict != "fail").alias("ok"))
 
 

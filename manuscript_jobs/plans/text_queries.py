@@ -131,10 +131,18 @@ def parse_paper_size(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", T.parse_paper_size(_pick(_PAPER, F.col("l_partkey"))).alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", "p.*")
 
 
-@query("parse_indent_inches", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN 0.5 * (l_suppkey % 4 + 1) ELSE round((l_suppkey % 10) / 2.54::DOUBLE, 3) END AS indent FROM lineitem")
+@query(
+    "parse_indent_inches",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 6 WHEN 0 THEN 0.5 * (l_suppkey % 4 + 1) WHEN 1 THEN round((l_suppkey % 10) / 2.54::DOUBLE, 3) WHEN 2 THEN round((l_suppkey % 10) / 2.54::DOUBLE, 3)
+       WHEN 3 THEN 1.0 WHEN 4 THEN 0.5 END AS indent FROM lineitem""",
+)
 def parse_indent_inches(t):
     n = lambda m, d: (F.col("l_suppkey") % m + d).cast("string")
-    text = F.when(F.col("l_partkey") % 2 == 0, F.concat(n(4, 1), F.lit(" tab"))).otherwise(F.concat(n(10, 0), F.lit("cm")))
+    k = F.col("l_partkey") % 6
+    text = (
+        F.when(k == 0, F.concat(n(4, 1), F.lit(" tab"))).when(k == 1, F.concat(n(10, 0), F.lit("cm"))).when(k == 2, F.concat(n(10, 0), F.lit(" cm (one tab)")))
+        .when(k == 3, "two tabs").when(k == 4, "by the tab key, half-inch").otherwise("N/A")
+    )
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(T.parse_indent_inches(text), 3).alias("indent"))
 
 

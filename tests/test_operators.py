@@ -57,7 +57,7 @@ def test_billing_months(spark):
 
 
 def test_length_and_tokens(spark):
-    cases = {"1 1/2 in": 1.5, '1/2"': 0.5, "2.54 cm": 1.0, "25.4mm": 1.0, "36 pt": 0.5, "½": 0.5, "one and a half": 1.5, "two tabs": 0.5, "3 tabs": 1.5, "9 inches": None, "": None, "none": None}
+    cases = {"1 1/2 in": 1.5, '1/2"': 0.5, "2.54 cm": 1.0, "25.4mm": 1.0, "36 pt": 0.5, "½": 0.5, "one and a half": 1.5, "two tabs": 1.0, "3 tabs": 1.5, "one tab": 0.5, "tab": 0.5, "1 inch (one tab)": 1.0, "0.5 inch (one tab)": 0.5, "half-inch tab": 0.5, "1/2\" tab": 0.5, "1.27 cm, 1 tab": 0.5, "0 tabs": None, "9 inches": None, "": None, "none": None}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     got = {r.t: r.v for r in df.select("t", T.parse_length_inches(F.col("t")).alias("v")).collect()}
     assert {k: got[k] for k in cases} == cases and got[None] is None
@@ -165,3 +165,16 @@ def test_signature_and_routing(spark):
     assert [r.s for r in E.signature_window(df).collect()] == [1200]
     df = spark.createDataFrame([("payment.paid", "u"), ("payment.paid", None), ("other", "u"), ("subscription.unpaid", "u")], "event_type string, owner string")
     assert [r.action for r in E.route_events(df).collect()] == ["activate", "log", "log", "downgrade"]
+
+
+def test_indent_by_the_usual_one(spark):
+    """A clear usual indent that passes makes those near it pass; one that fails does not."""
+    from manuscript_jobs.operators import checks as C
+
+    rows = [(1, 0, i, 72 + x, 72, 2) for i, x in enumerate([43, 43, 43, 43, 51, 57, 80])]  # usual 0.60: 0.71 passes by it
+    rows += [(2, 0, i, 72 + x, 72, 2) for i, x in enumerate([72, 72, 72, 36])]  # usual 1.0 is wrong
+    rows += [(3, 0, 0, 72, 72, 1), (3, 0, 1, 108, 72, 1)]  # nothing to measure against
+    df = spark.createDataFrame(rows, "doc_id long, page_index long, paragraph long, first_x long, left_x long, lines long")
+    got = {(r.doc_id, r.paragraph): r.verdict for r in C.check_indent_pdf(df).collect()}
+    assert [got[1, i] for i in range(7)] == ["pass"] * 5 + ["uncertain" if abs(57 / 72 - 0.5) <= 0.25 else "fail", "fail"]
+    assert [got[2, i] for i in range(4)] == ["fail"] * 3 + ["pass"] and [got[3, i] for i in range(2)] == ["uncertain", "pass"]
