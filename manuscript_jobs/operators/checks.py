@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CAPTION_VERBS, font_key, parse_alignment, rule_unset
-from .layout import PAGE, REFERENCE_HEADER, by_doc
+from ..functions.text import CAPTION_VERBS, font_key, page_token, parse_alignment, rule_unset
+from .layout import BACK_MATTER, CHAPTER, PAGE, PRELIMINARY, REFERENCE_HEADER, by_doc, by_page
 
+# The tolerance of a size in points, and the spacings in use.
 SIZE_TOLERANCE = 0.75
 STANDARD_SPACINGS = (1.0, 1.15, 1.5, 2.0, 2.5, 3.0)
 
@@ -37,13 +38,18 @@ def _checked(units: DataFrame, category: str, *tests: tuple[Column, str, str]) -
 def check_fonts(units: DataFrame, rules: DataFrame) -> DataFrame:
     """Family (either name within the other), size within 0.75 points of the body size, black ink.
     Rules: (doc_id, families, body_size, black); a document with none of them is not scored."""
-    j = units.join(rules, "doc_id").where(F.trim("text") != "").where((F.size("families") > 0) | F.col("body_size").isNotNull() | F.coalesce("black", F.lit(False)))
+    used, tests = _font_tests("bright" in units.columns)
+    return _checked(units.join(rules, "doc_id").where(used), "Fonts", *tests)
+
+
+def _font_tests(bright_known: bool) -> tuple[Column, list]:
+    used = (F.trim("text") != "") & ((F.size("families") > 0) | F.col("body_size").isNotNull() | F.coalesce("black", F.lit(False)))
     key = font_key(F.col("font"))
     listed = F.transform("families", font_key)
     family = (F.size("families") > 0) & ~F.exists(listed, lambda f: key.contains(f) | f.contains(key))
     size = F.coalesce(F.abs(F.col("size") - F.col("body_size")) > SIZE_TOLERANCE, F.lit(False))
-    bright = F.coalesce(F.col("black") & F.col("bright"), F.lit(False)) if "bright" in units.columns else F.lit(False)
-    return _checked(j, "Fonts", (bright, "font_color", "minor"), (family, "font_family", "critical"), (size, "font_size", "critical"))
+    bright = F.coalesce(F.col("black") & F.col("bright"), F.lit(False)) if bright_known else F.lit(False)
+    return used, [(bright, "font_color", "minor"), (family, "font_family", "critical"), (size, "font_size", "critical")]
 
 
 def check_heading_styles(units: DataFrame, rules: DataFrame) -> DataFrame:
@@ -149,11 +155,15 @@ def check_spacing(lines: DataFrame, allowed: list[float]) -> DataFrame:
     return _checked(pairs, "Spacing", (~good, "line_spacing", "moderate"))
 
 
+def _sentence_gaps(spaces: int) -> tuple[Column, str]:
+    text = F.regexp_replace("text", r"\b(Dr|Mr|Mrs|Ms|St|vs|etc|Fig|No)\. +", "$1_")
+    return text, r"[.!?]  +[A-Z]" if spaces == 1 else r"[.!?] [A-Z]"
+
+
 def check_word_spacing(units: DataFrame, spaces: int = 1) -> DataFrame:
     """The first place in a paragraph where a sentence end is followed by another number of spaces than the rule's;
     abbreviations don't end sentences."""
-    text = F.regexp_replace("text", r"\b(Dr|Mr|Mrs|Ms|St|vs|etc|Fig|No)\. +", "$1_")
-    wrong = r"[.!?]  +[A-Z]" if spaces == 1 else r"[.!?] [A-Z]"
+    text, wrong = _sentence_gaps(spaces)
     at = F.length(F.regexp_extract(text, rf"^(?s:(.*?)){wrong}", 1))
     hit = text.rlike(wrong)
     return units.select("doc_id", "n", (~hit).alias("ok"), F.when(hit, at).alias("offset"))
@@ -201,12 +211,16 @@ def check_page_sequence(marks: DataFrame) -> DataFrame:
 
 def check_caption_form(captions: DataFrame, upper: bool = False, title_needed: bool = True) -> DataFrame:
     """Caption lines against what the rule's wording asks for: a title, its case, the full word Figure."""
+    return _checked(captions, "Captions", *_caption_tests(upper, title_needed))
+
+
+def _caption_tests(upper: bool, title_needed: bool) -> list:
     value = F.trim("text")
     rest = F.trim(F.regexp_extract(value, r"^(?i:table|figure|fig\.?)\s+[0-9.]+\s*[:.–-]?\s*(.*)$", 1))
-    return _checked(
-        captions, "Captions", ((rest == "") & F.lit(title_needed), "caption_title_missing", "moderate"),
-        (F.lit(upper) & (rest != F.upper(rest)), "caption_case", "minor"), (value.rlike("^(?i:fig\\.)"), "caption_prefix", "minor"),
-    )
+    return [
+        ((rest == "") & F.lit(title_needed), "caption_title_missing", "moderate"), (F.lit(upper) & (rest != F.upper(rest)), "caption_case", "minor"),
+        (value.rlike("^(?i:fig\\.)"), "caption_prefix", "minor"),
+    ]
 
 
 def caption_prose_lines(units: DataFrame) -> DataFrame:
@@ -238,14 +252,22 @@ AUTHOR_PAGE = r"\(([A-Z][a-z]{3,}(\s+and\s+[A-Z][a-z]{3,})?\s+[0-9]{1,3}|[A-Z][a
 ALLOWED = {"APA": ("author_year",), "MLA": ("author_page",), "IEEE": ("numeric",), "VANCOUVER": ("numeric",), "HARVARD": ("author_year",), "TURABIAN": ("author_year", "numeric")}
 
 
+def _marker_families() -> Column:
+    return F.filter(F.array(*[F.when(F.col("text").rlike(p), f) for p, f in ((NUMERIC, "numeric"), (AUTHOR_YEAR, "author_year"), (AUTHOR_PAGE, "author_page"))]), lambda x: x.isNotNull())
+
+
+def _allowed_families() -> Column:
+    allowed = F.lit(None)
+    for style, families in ALLOWED.items():
+        allowed = F.when(F.upper("style") == style, F.array(*[F.lit(f) for f in families])).otherwise(allowed)
+    return allowed
+
+
 def check_citation_markers(units: DataFrame, rules: DataFrame) -> DataFrame:
     """Lines with markers against the families the document's style allows; table cells and documents without any
     marker and reference head give nothing. Rules: (doc_id, style)."""
-    has = F.filter(F.array(*[F.when(F.col("text").rlike(p), f) for p, f in ((NUMERIC, "numeric"), (AUTHOR_YEAR, "author_year"), (AUTHOR_PAGE, "author_page"))]), lambda x: x.isNotNull())
+    has, allowed = _marker_families(), _allowed_families()
     marked = units.where(F.coalesce(F.col("role") != "toc", F.lit(True))).withColumn("families", has).where(F.size("families") > 0)
-    allowed = F.lit(None)
-    for style, families in ALLOWED.items():
-        allowed = F.when(F.upper("style") == style, F.array(*[F.lit(f) for f in families])).otherwise(allowed)
     j = marked.join(rules, "doc_id").withColumn("_a", allowed).where("_a is not null")
     return _checked(j, "Citations", (F.size(F.array_except("families", "_a")) > 0, "citation_style", "moderate"))
 
@@ -277,9 +299,85 @@ def check_citation_style_ml(predicted: DataFrame, rules: DataFrame, pinned: Data
     return j.select("doc_id", "n", F.col("style").alias("found"), "wanted", (F.col("style") == F.upper("wanted")).alias("ok"))
 
 
-def run_scan(units: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(observations, findings) of the font, spacing and alignment checks of whole documents. All windows share
-    the partitioning by document; the checks are united before anything is grouped."""
-    para = units.withColumn("paragraph", F.expr("n div 4"))
-    checked = check_fonts(units, rules).unionByName(check_spacing(para.withColumn("actual", F.col("line_spacing")), [2.0])).unionByName(check_alignment(para, rules))
-    return checked.select(F.col("doc_id").alias("scan_id"), "category", "ok"), findings_of(checked)
+#: Rules that a scan applies to every document; those of single documents come in its table of rules.
+SCAN = {
+    "headings": {"heading1": (True, "center"), "heading2": (True, None)}, "margins": {"left": 1.5, "right": 1.0, "top": 1.0, "bottom": 1.0},
+    "indent": 0.5, "spacings": (2.0,), "spaces": 1, "number": ("top", "right"), "caption_upper": False,
+}
+
+
+def run_scan(units: DataFrame, rules: DataFrame, scan: dict = SCAN, width: int = 612, height: int = 792) -> tuple[DataFrame, DataFrame]:
+    """(observations, findings) of all ten checks of whole documents: fonts, headings, margins, indentation, line and
+    word spacing, alignment, page numbers, captions and citation markers.
+
+    Units: one row a line with its formatting, role, box and paragraph; rules: one row a document (families,
+    body_size, black, alignment, overrides, style); documents without one are not scanned. Units meet their rules
+    by document once; every window after that lies within a document, so nothing is shuffled again before the
+    checks are told line by line. Margins, page numbers and headings are told on the first line of their page or group.
+    """
+    doc, page, whole = by_doc(), by_page(), Window.partitionBy("doc_id")
+    of_page, of_para = Window.partitionBy(*PAGE), Window.partitionBy("doc_id", "paragraph")
+    text, full, role = F.trim("text"), F.trim("text") != "", F.col("role")
+    top, bottom, center = F.col("y0"), height - F.col("y1"), (F.col("x0") + F.col("x1")) / 2
+    token = page_token(F.col("text"))
+    mark = F.struct(token["value"].alias("value"), F.when(top <= bottom, "top").otherwise("bottom").alias("vertical"), F.when(center < 204, "left").when(center > 408, "right").otherwise("center").alias("horizontal"))
+    kind = F.when(text.rlike(CHAPTER), "chapter").when(text.rlike(BACK_MATTER), "back_matter").when(text.rlike(PRELIMINARY), "preliminary")
+    heads = role.startswith("heading")
+    glossary = F.when(text.rlike(r"^(?i:definition of terms|table)\b"), True).when(role.isin("heading1", "heading2", "heading_other", "table", "figure"), False)
+    so_far = doc.rowsBetween(Window.unboundedPreceding, 0)
+    u = units.join(rules.withColumnRenamed("alignment", "alignment_rule"), "doc_id").withColumns({
+        "_page_first": F.col("n") == F.min("n").over(of_page), "_full_first": F.col("n") == F.min(F.when(full, F.col("n"))).over(of_page),
+        "_left": F.min(F.when(full, F.col("x0"))).over(of_page), "_right": width - F.max(F.when(full, F.col("x1"))).over(of_page),
+        "_top": F.min(F.when(full, F.col("y0"))).over(of_page), "_bottom": height - F.max(F.when(full, F.col("y1"))).over(of_page),
+        "_mark": F.min(F.when(token["value"].isNotNull() & (F.least(top, bottom) <= 0.15 * height), F.struct(F.least(top, bottom).alias("d"), F.col("n"), mark.alias("m")))).over(of_page)["m"],
+        "_at": F.sum(full.cast("int")).over(page), "_below": F.lead("n").over(of_para.orderBy("n")), "_lines": F.count("*").over(of_para),
+        "_opens": F.col("n") == F.min("n").over(of_para), "_glossary": F.coalesce(F.last(glossary, True).over(so_far) & (role == "body"), F.lit(False)),
+        "_group": heads & ~F.coalesce((F.lag("role").over(doc) == role) & (F.lag("n").over(doc) == F.col("n") - 1), F.lit(False)),
+    })
+    u = u.withColumns({
+        "_start": F.min(F.when(full & (F.col("_at") <= 6) & kind.isNotNull(), F.struct("n", kind.alias("kind"), F.lower(text).alias("title")))).over(of_page),
+        "_island": F.sum(F.col("_group").cast("int")).over(doc), "_judged": F.col("_opens") & (F.length("text") >= 20) & ~F.col("_glossary"), "_heads": heads,
+    })
+    same, island = Window.partitionBy("doc_id", "indent"), Window.partitionBy("doc_id", "_island", "_heads")
+    u = u.withColumns({
+        "_before": F.last(F.when(F.col("_page_first"), F.col("_start.title")), True).over(doc.rowsBetween(Window.unboundedPreceding, -1)),
+        "_votes": F.when(F.col("_judged"), F.struct(F.sum(F.col("_judged").cast("int")).over(same), -F.min(F.when(F.col("_judged"), F.col("n"))).over(same), F.col("indent").alias("indent"))),
+        "_bold": F.sum(F.when(F.col("face") == "bold", F.length("text")).otherwise(0)).over(island) / F.greatest(F.sum(F.length("text")).over(island), F.lit(1)),
+    }).withColumn("_modal", F.max("_votes").over(whole)["indent"])
+
+    def told(category: str, when: Column, *tests) -> Column:
+        return F.when(when, F.struct(F.lit(category).alias("category"), _problems(*tests).alias("problems")))
+
+    checks = [told("Fonts", _font_tests(False)[0], *_font_tests(False)[1])]
+    for name, (bold, side) in scan["headings"].items():
+        tests = [(F.lit(bold) != (F.col("_bold") >= 0.6), "heading_bold", "moderate")] if bold is not None else []
+        tests += [(F.col("alignment") != side, "heading_alignment", "moderate")] if side is not None else []
+        checks.append(told("Fonts", F.col("_group") & (role == name), *tests))
+    for side, wanted in scan["margins"].items():
+        short = wanted - F.col(f"_{side}") / 72
+        tests = [((short > low) & (short <= high), f"margin_{side}", severity) for low, high, severity in ((0.15, 0.2, "minor"), (0.2, 0.45, "moderate"), (0.45, 1e9, "critical"))]
+        checks.append(told("Margins", F.col("_full_first"), *tests))
+    rule = scan["indent"]
+    base = F.greatest(F.when(F.abs(F.col("_modal") - rule) <= 0.12, 0.0).otherwise(F.col("_modal") - rule), F.lit(0.0))
+    checks.append(told("Indentation", F.col("_judged"), (F.abs(F.col("indent") - base - rule) > 0.12, "first_line_indent", "moderate")))
+    good = F.lit(False)
+    for value in scan["spacings"]:
+        good = good | spacing_matches(F.col("line_spacing"), F.lit(value))
+    checks.append(told("Spacing", F.col("_below").isNotNull() & F.col("line_spacing").isNotNull(), (~good, "line_spacing", "moderate")))
+    gaps, wrong = _sentence_gaps(scan["spaces"])
+    checks.append(told("Spacing", F.lit(True), (gaps.rlike(wrong), "word_spacing", "minor")))
+    wanted = F.coalesce(F.try_element_at("overrides", (F.col("page_index") + 1).cast("int")), F.when(~rule_unset(F.col("alignment_rule")), parse_alignment(F.col("alignment_rule"))))
+    single = (wanted == "justify") & (F.col("alignment") == "left") & (F.col("_lines") == 1)
+    lines = (F.col("_below").isNotNull() | (F.col("_lines") == 1)) & (F.length("text") >= 40) & wanted.isNotNull()
+    checks.append(told("Alignment", lines, (~((F.col("alignment") == wanted) | single), "alignment", "moderate")))
+    opener = F.coalesce((F.col("_start.kind") == "chapter") & F.coalesce(F.col("_before") != F.col("_start.title"), F.lit(True)), F.lit(False))
+    hidden, shown = (F.col("page_index") == 0) | opener, F.col("_mark").isNotNull()
+    elsewhere = (F.col("_mark.vertical") != scan["number"][0]) | (F.col("_mark.horizontal") != scan["number"][1])
+    tests = ((hidden & shown, "page_number_shown", "moderate"), (~hidden & ~shown, "page_number_missing", "moderate"), (~hidden & shown & elsewhere, "page_number_position", "moderate"))
+    checks.append(told("Pagination", F.col("_page_first"), *tests))
+    checks.append(told("Captions", role.isin("table", "figure"), *_caption_tests(scan["caption_upper"], True)))
+    families, allowed = _marker_families(), _allowed_families()
+    checks.append(told("Citations", (role != "toc") & (F.size(families) > 0) & allowed.isNotNull(), (F.size(F.array_except(families, allowed)) > 0, "citation_style", "moderate")))
+    each = u.select("doc_id", "page_index", "line_index", "text", F.explode(F.array_compact(F.array(*checks))).alias("c"))
+    each = each.select("doc_id", "page_index", "line_index", "text", "c.category", "c.problems", (F.size("c.problems") == 0).alias("ok"))
+    return each.select(F.col("doc_id").alias("scan_id"), "category", "ok"), findings_of(each)

@@ -34,13 +34,33 @@ fixtures.SQL["a_check"] = """
       SELECT *, coalesce(CASE WHEN page_index = 1 THEN CASE WHEN doc_id % 4 = 0 THEN 'center' ELSE 'justify' END END, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'left' ELSE 'justify' END) AS w FROM (
         SELECT *, count(*) OVER (PARTITION BY doc_id, n // 4) AS k, lead(n) OVER (PARTITION BY doc_id, n // 4 ORDER BY n) IS NULL AS last FROM units)
       WHERE (NOT last OR k = 1) AND length(text) >= 40) WHERE w IS NOT NULL"""
-fixtures.SQL["scan_obs"] = """
-    SELECT doc_id AS scan_id, 'Fonts' AS category, family_ok AND size_ok AS ok FROM f_check UNION ALL SELECT doc_id, 'Spacing', ok FROM s_check UNION ALL SELECT doc_id, 'Alignment', ok FROM a_check"""
+for _name in ("f_check", "s_check", "a_check"):  # the scan runs on the lines with roles
+    fixtures.SQL[f"scan_{_name}"] = fixtures.SQL[_name].replace("FROM units", "FROM roles")
+fixtures.SQL["scan_rows"] = f"""
+    SELECT doc_id, n, 'Fonts' AS category, CASE WHEN NOT family_ok THEN 'font_family' END AS a, 'critical' AS sa, CASE WHEN NOT size_ok THEN 'font_size' END AS b, 'critical' AS sb FROM scan_f_check
+    UNION ALL SELECT doc_id, n, 'Fonts', CASE WHEN share < 0.6 THEN 'heading_bold' END, 'moderate', CASE WHEN role = 'heading1' AND al <> 'center' THEN 'heading_alignment' END, 'moderate' FROM (
+      SELECT doc_id, role, min(n) AS n, sum(CASE WHEN face = 'bold' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1)::DOUBLE AS share, min_by(alignment, n) AS al FROM (
+        SELECT *, sum(g::INT) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM (SELECT *, coalesce(n - lag(n) OVER w > 1, true) OR coalesce(role <> lag(role) OVER w, true) AS g FROM roles WHERE role LIKE 'heading%' WINDOW w AS (PARTITION BY doc_id ORDER BY n)))
+      GROUP BY doc_id, role, island) WHERE role IN ('heading1', 'heading2')
+    UNION ALL SELECT doc_id, n, 'Margins', CASE WHEN short > 0.15 THEN 'margin_' || side END, CASE WHEN short > 0.45 THEN 'critical' WHEN short > 0.2 THEN 'moderate' ELSE 'minor' END, NULL, NULL FROM (
+      SELECT doc_id, n, unnest(['left', 'right', 'top', 'bottom']) AS side, unnest([1.5 - l / 72.0::DOUBLE, 1.0 - r / 72.0::DOUBLE, 1.0 - t / 72.0::DOUBLE, 1.0 - b / 72.0::DOUBLE]) AS short FROM (
+        SELECT doc_id, min(n) AS n, min(x0) AS l, 612 - max(x1) AS r, min(y0) AS t, 792 - max(y1) AS b FROM roles WHERE trim(text) <> '' GROUP BY doc_id, page_index))
+    UNION ALL SELECT f.doc_id, f.n, 'Indentation', CASE WHEN abs(indent - greatest(CASE WHEN abs(modal - 0.5) <= 0.12 THEN 0 ELSE modal - 0.5 END, 0) - 0.5) > 0.12 THEN 'first_line_indent' END, 'moderate', NULL, NULL
+      FROM scan_first f JOIN (SELECT doc_id, indent AS modal FROM scan_first GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(n)) = 1) m ON m.doc_id = f.doc_id
+    UNION ALL SELECT doc_id, n, 'Spacing', CASE WHEN NOT ok THEN 'line_spacing' END, 'moderate', NULL, NULL FROM scan_s_check
+    UNION ALL SELECT doc_id, n, 'Spacing', CASE WHEN regexp_matches(regexp_replace(text, '\\b(Dr|Mr|Mrs|Ms|St|vs|etc|Fig|No)\\. +', '\\1_', 'g'), '[.!?]  +[A-Z]') THEN 'word_spacing' END, 'minor', NULL, NULL FROM roles
+    UNION ALL SELECT doc_id, n, 'Alignment', CASE WHEN NOT ok THEN 'alignment' END, 'moderate', NULL, NULL FROM scan_a_check
+    UNION ALL SELECT p.doc_id, p.n, 'Pagination', CASE WHEN hid AND value IS NOT NULL THEN 'page_number_shown' WHEN NOT hid AND value IS NULL THEN 'page_number_missing' WHEN NOT hid AND (vertical <> 'top' OR horizontal <> 'right') THEN 'page_number_position' END, 'moderate', NULL, NULL
+      FROM (SELECT q.doc_id, q.n, m.value, m.vertical, m.horizontal, q.page_index = 0 OR s.kind IS NOT NULL AS hid FROM (SELECT doc_id, page_index, min(n) AS n FROM roles GROUP BY 1, 2) q
+            LEFT JOIN marks m ON m.doc_id = q.doc_id AND m.page_index = q.page_index LEFT JOIN (SELECT * FROM starts WHERE kind = 'chapter') s ON s.doc_id = q.doc_id AND s.page_index = q.page_index) p
+    UNION ALL SELECT doc_id, n, 'Captions', CASE WHEN trim(regexp_extract(trim(text), '^(?i:table|figure|fig\\.?)\\s+[0-9.]+\\s*[:.–-]?\\s*(.*)$', 1)) = '' THEN 'caption_title_missing' END, 'moderate', CASE WHEN regexp_matches(trim(text), '^(?i:fig\\.)') THEN 'caption_prefix' END, 'minor' FROM roles WHERE role IN ('table', 'figure')
+    UNION ALL SELECT doc_id, n, 'Citations', CASE WHEN NOT ok THEN 'citation_style' END, 'moderate', NULL, NULL FROM cites"""
+fixtures.SQL["scan_first"] = "SELECT u.* FROM roles u ANTI JOIN glossary g ON g.doc_id = u.doc_id AND g.n = u.n WHERE u.n % 4 = 0 AND length(text) >= 20"
+fixtures.SQL["scan_obs"] = "SELECT doc_id AS scan_id, category, a IS NULL AND b IS NULL AS ok FROM scan_rows"
 fixtures.SQL["scan_find"] = """
-    SELECT doc_id AS scan_id, 'Fonts' AS category, 'font_family' AS issue_type, 'critical' AS severity, page_index + 1 AS page, line_index + 1 AS line, left(text, 80) AS excerpt FROM f_check WHERE NOT family_ok
-    UNION ALL SELECT doc_id, 'Fonts', 'font_size', 'critical', page_index + 1, line_index + 1, left(text, 80) FROM f_check WHERE NOT size_ok
-    UNION ALL SELECT doc_id, 'Spacing', 'line_spacing', 'moderate', page_index + 1, line_index + 1, left(text, 80) FROM s_check WHERE NOT ok
-    UNION ALL SELECT doc_id, 'Alignment', 'alignment', 'moderate', page_index + 1, line_index + 1, left(text, 80) FROM a_check WHERE NOT ok"""
+    SELECT x.doc_id AS scan_id, category, issue_type, severity, page_index + 1 AS page, line_index + 1 AS line, left(text, 80) AS excerpt FROM (
+      SELECT doc_id, n, category, a AS issue_type, sa AS severity FROM scan_rows WHERE a IS NOT NULL UNION ALL SELECT doc_id, n, category, b, sb FROM scan_rows WHERE b IS NOT NULL) x
+    JOIN roles r ON r.doc_id = x.doc_id AND r.n = x.n"""
 
 
 @query("check_fonts", "SELECT doc_id, n, family_ok AND size_ok AS ok, (NOT family_ok)::INT + (NOT size_ok)::INT AS n_problems FROM f_check")
@@ -258,7 +278,7 @@ def check_citation_style_ml(t):
 
 
 def view_scan_scores(t):
-    observations, findings = C.run_scan(t.units, t.rules)
+    observations, findings = C.run_scan(t.roles.withColumn("paragraph", F.expr("n div 4")), t.rules)
     stats = S.category_stats(observations)
     return S.category_entries(stats, I.collect_issues(findings))
 

@@ -109,10 +109,10 @@ def test_shares_show_exactly_100(spark):
 
 def test_scan_is_linear_and_order_free(spark):
     """A corpus twice over gives each document the same score; shuffled input gives the same result."""
-    lines = [(d, n, n // 40, n % 40, f"This is line {n} of document {d}, long enough to be aligned.", "Arial" if n % 3 else "Georgia", 12.0, 2.0 if n % 2 else 1.0, "justify") for d in (1, 2) for n in range(20)]
-    kind = "doc_id long, n long, page_index long, line_index long, text string, font string, size double, line_spacing double, alignment string"
-    rule = "doc_id long, families array<string>, body_size double, black boolean, alignment string, overrides map<int,string>"
-    rules = spark.createDataFrame([(d, ["Arial"], 12.0, False, "justify", {}) for d in (1, 2)], rule)
+    lines = [(d, n, n // 40, n % 40, f"This is line {n} of document {d}, long enough to be aligned.", "Arial" if n % 3 else "Georgia", 12.0, 2.0 if n % 2 else 1.0, "justify", 0.5 * (n % 8 == 0), "plain", "body", n // 4, 72, 72 + 16 * n, 500, 84 + 16 * n) for d in (1, 2) for n in range(20)]
+    kind = "doc_id long, n long, page_index long, line_index long, text string, font string, size double, line_spacing double, alignment string, indent double, face string, role string, paragraph long, x0 long, y0 long, x1 long, y1 long"
+    rule = "doc_id long, families array<string>, body_size double, black boolean, alignment string, overrides map<int,string>, style string"
+    rules = spark.createDataFrame([(d, ["Arial"], 12.0, False, "justify", {}, "APA") for d in (1, 2)], rule)
 
     def score(rows):
         obs, found = C.run_scan(spark.createDataFrame(rows, kind), rules)
