@@ -554,6 +554,28 @@ def test_quality(spark):
     assert score_documents(df.limit(0), crf).count() == 0
 
 
+def test_registered_queries(spark, tmp_path):
+    """The queries' own columns on a table of their own, against brute force."""
+    from manuscript_jobs.llm.queries import QUERIES
+
+    df, texts = corpus(spark, 3)
+    df.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want, got = removed_bytes(texts, 100), rows("op7_suffix_dedup")
+    for i, bad in want.items():
+        raw = (texts[i] or "").encode()
+        kept = bytes(b for b, x in zip(raw, bad) if not x)
+        assert tuple(got[i]) == (i, len(raw), sum(bad), len(re.findall(b"\1+", bytes(bad))), sha(kept))
+    want, got = brute_paragraphs(sorted(texts.items())), rows("op5_paragraph_dedup")
+    for i, removed in want.items():
+        words, spans, kept = without(texts[i], removed)
+        assert (got[i].n_removed, got[i].n_spans, got[i].first_doc_ids, got[i].kept_sha256) == (words, spans, sorted({r[2] for r in removed}), sha(kept.encode()))
+    got = rows("op8_sharding")
+    assert sorted(got) == sorted(texts) and {(r.law, r.grown_shard) for r in got.values()} == {("rows", None)}
+    assert all((r.size, r.text_crc32) == (len((texts[i] or "").encode()) + 1, zlib.crc32((texts[i] or "").encode())) for i, r in got.items())
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(12)
