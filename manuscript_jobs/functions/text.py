@@ -118,12 +118,6 @@ def parse_length_inches(text: Column) -> Column:
     """A length in a guide ("1 1/2 in", "2.54 cm", "25mm", "36 pt", "½", "one and a half") in inches, 0 to 5. Beside
     tabs a stated length counts ("1 inch (one tab)"), else each tab is half an inch ("two tabs", "3 tabs", "tab")."""
     t = F.replace(F.lower(F.trim(text)), F.lit(","), F.lit("."))
-    by_tab = t.rlike(r"\btabs?\b")
-    stated = F.regexp_extract(t, r"[0-9]+(?:\.[0-9]+)?\s*(?:(?:inch(?:es)?|in|cm|mm|pt)\b|\"|″)|[0-9]+\s*/\s*[0-9]+|half[\s-]?inch", 0)
-    count = F.regexp_extract(t, r"\b(one|two|[0-9]+)\s*tabs?\b", 1)
-    tabs = F.when(count == "one", 1.0).when(count == "two", 2.0).otherwise(F.when(count != "", count.try_cast("double")))
-    in_tabs = F.when(tabs >= 1, 0.5 * tabs).when(t.rlike(r"\btab\b"), 0.5)
-    only_tabs, t = by_tab & (stated == ""), F.when(by_tab, F.replace(stated, F.lit("-"), F.lit(" "))).otherwise(t)
     mixed = (r"([0-9]+)\s+([0-9]+)\s*/\s*([0-9]+)\s*([a-z]*)", r"([0-9]+)\s*/\s*([0-9]+)\s*([a-z]*)")
     glyph = "".join(FRACTIONS)
     glyphs = rf"([0-9]*)\s*([{glyph}])\s*([a-z]*)"
@@ -145,7 +139,12 @@ def parse_length_inches(text: Column) -> Column:
         F.when(t.rlike(mixed[0]), g(mixed[0], 4)).when(t.rlike(glyphs), g(glyphs, 3)).when(t.rlike(mixed[1]), g(mixed[1], 3)).when(t.rlike(plain), g(plain, 2)).otherwise(g(worded, 3))
     )
     inches = F.bround(amount * F.coalesce(F.try_element_at(unit, name), F.lit(1.0)), 4)
-    return F.when(only_tabs, in_tabs).when(inches.between(0.0, 5.0), inches)
+    parts, measure = mixed[1], r"([0-9]+(?:\.[0-9]+)?)\s*(?:(inch(?:es)?|in|cm|mm|pt)\b|\"|″)"
+    stated = F.when(t.rlike(parts), n(parts, 1) / n(parts, 2)).when(t.rlike(measure), n(measure, 1) * F.coalesce(F.try_element_at(unit, g(measure, 2)), F.lit(1.0))).when(t.rlike(r"half[\s-]?inch"), 0.5)
+    count = g(r"\b(one|two|[0-9]+)\s*tabs?\b", 1)
+    tabs = F.when(count == "one", 1.0).when(count == "two", 2.0).otherwise(count.try_cast("double"))
+    in_tabs = F.coalesce(F.bround(stated, 4), F.when(tabs >= 1, 0.5 * tabs), F.when(t.rlike(r"\btab\b"), 0.5))
+    return F.when(t.rlike(r"\btabs?\b"), in_tabs).when(inches.between(0.0, 5.0), inches)
 
 
 def parse_line_spacing(text: Column) -> Column:
