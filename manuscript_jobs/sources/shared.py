@@ -11,12 +11,17 @@ _OWN: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; under a folder of our own only where that is unset."""
+    """A fresh path under ``spark.checkpoint.dir``; where that is unset, under a folder of our own on a single machine,
+    and an error on a cluster."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = sc._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="manuscript-jobs-"))
+        root = known.get() if known.isDefined() else _OWN.get(sc.applicationId)
+    if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="manuscript-jobs-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
