@@ -23,7 +23,6 @@ from .common import Scratch, connected_components, sieve, sifted, text_batches
 
 _U = np.uint64
 BLOCK = 1024
-BLOCK_BYTES = 1 << 20
 CHUNK = 256
 MOST_BITS = 1 << 15
 COUNTERS = 1 << 20
@@ -213,13 +212,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den
     return links
 
 
-def _cross(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes of different components within a bucket that bitmaps allow. A bucket of over BLOCK
-    rows or BLOCK_BYTES of bitmaps is cut into blocks; each pair of blocks is a group of bounded size."""
-    bucket = Window.partitionBy("sig")
-    blocks = F.ceil(F.greatest(F.count("*").over(bucket) / BLOCK, F.sum(F.length("bits")).over(bucket) / BLOCK_BYTES))
-    cut = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("key"), "_blocks"))
-    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+def short_bitmap(bits: bytes, size: int, num: int, den: int) -> bytes:
+    """The bitmap of a set of ``size`` folded to the fewest bits that still tell unrelated sets apart: about half of
+    them differ between two such sets, and that is to be well over what a link allows."""
+    allowed = -(-2 * size * (den - num) // (num + den))
+    words = max(1 << (3 * allowed - 1).bit_length(), 64) // 64 if allowed else 1
+    return fold(np.frombuffer(bits, _U), words).tobytes()
+
+
+def _cross(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of classes of different components within a bucket that short bitmaps allow. A bucket of over BLOCK
+    rows is cut into ``blocks``; each pair of blocks is a group of bounded size, as a bitmap has MOST_BITS at most."""
+
+    @F.arrow_udf("binary")
+    def shortened(bits: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else short_bitmap(x, m, num, den) for x, m in zip(bits.to_pylist(), n.to_pylist())], pa.binary())
+
+    few = classes.where("bits is not null").select("key", "n", shortened("bits", "n").alias("bits"))
+    cut = rows.join(few, "key").withColumn("_block", F.pmod(F.xxhash64("key"), "blocks"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cut = cut.select("sig", F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"), "_block", "key", "component", "n", "bits")
     placed = cut.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
 
@@ -310,11 +321,12 @@ def components(
     first = connected_components(links, scratch, "first")
 
     def mixed(joined: DataFrame, name: str) -> DataFrame:
-        """(sig, key, component): the buckets that hold several components."""
+        """(sig, key, component, blocks): the buckets that hold several components, and into how many blocks each is cut."""
         known = shared.select("sig", "key").distinct().join(joined.withColumnRenamed("node", "key"), "key", "left")
         known = known.withColumn("component", F.coalesce("component", "key"))
         spread = known.withColumn("_low", F.min("component").over(bucket)).withColumn("_top", F.max("component").over(bucket))
-        return scratch.cut(spread.where("_low <> _top").select("sig", "key", "component"), name)
+        spread = spread.withColumn("blocks", F.ceil(F.count("*").over(bucket) / BLOCK))
+        return scratch.cut(spread.where("_low <> _top").select("sig", "key", "component", "blocks"), name)
 
     # A further hub of each bucket joins most of what the first left apart: the class of most copies (edited
     # copies are nearer to what was copied than to each other), of equals one of a few drawn by hash.
@@ -326,8 +338,7 @@ def components(
     second = connected_components(links, scratch, "second")
     scratch.drop("mixed-1")
     # Last, all that share a bucket but no component yet.
-    rest = mixed(second, "mixed-2").join(classes.select("key", "n", "bits"), "key")
-    crossed = _cross(rest.select("sig", "key", "component", "n", "bits"), num, den)
+    crossed = _cross(mixed(second, "mixed-2"), classes, num, den)
     crossed = crossed.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verified(_bounded(crossed, classes, num, den), docs, itemise, num, den, scratch, "cross")
     every = links.union(more)
