@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_in_order
+
 # Scans a plan allows, prices in pesos by plan and period, hours that billing days are ahead of UTC.
 LIMITS = {"free": 3, "premium": 50, "pro": 75}
 PRICES = {("premium", "monthly"): 949, ("premium", "annual"): 10439, ("pro", "monthly"): 1499, ("pro", "annual"): 16489}
@@ -51,20 +52,17 @@ def reset_usage(subs: DataFrame) -> DataFrame:
 def payment_dedupe(payments: DataFrame) -> DataFrame:
     """Payments in time order, without those that share a payment or checkout id with a counted one.
 
-    A skipped payment does not add its ids, so this is a fold over an owner's payments (a few a year),
-    not a matter of components. (owner, at, seq, payment_id, checkout_id)."""
+    A skipped payment does not add its ids, so this is a fold over an owner's payments, whose state is the ids
+    counted so far, not a matter of components. (owner, at, seq, payment_id, checkout_id)."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        seen, keep = set(), []
-        for row in part.sort_values(["at", "seq"]).itertuples(index=False):
-            keys = {("p", row.payment_id)} if pd.notna(row.payment_id) else set()
-            keys |= {("c", row.checkout_id)} if pd.notna(row.checkout_id) else set()
-            if not keys & seen:
-                seen |= keys
-                keep.append((row.owner, row.seq))
-        return pd.DataFrame(keep, columns=["owner", "seq"])
+    def step(seen, row):
+        keys = {(c, row[c]) for c in ("payment_id", "checkout_id") if row[c] is not None}
+        if keys & seen:
+            return seen, []
+        return seen | keys, [(row["owner"], row["seq"])]
 
-    return payments.groupBy("owner").applyInPandas(fold, "owner long, seq long")
+    rows = payments.select("owner", "at", "seq", "payment_id", "checkout_id")
+    return fold_in_order(rows, ["owner"], ["at", "seq"], "owner long, seq long", set, step)
 
 
 def coverage_end(subs: DataFrame, payments: DataFrame) -> DataFrame:

@@ -5,33 +5,50 @@ Functions take any DataFrame, streaming or not; those that need state say so and
 
 from __future__ import annotations
 
+import calendar
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RESOURCE = "struct<id:string,attributes:struct<amount:bigint,metadata:struct<uid:string>>>"
+from ..operators.folds import fold_in_order
+
+_META = "struct<uid:string,tier:string,billing_period:string,checkout_session_id:string,subscription_id:string>"
+_RESOURCE = f"struct<id:string,attributes:struct<amount:bigint,status:string,payment_id:string,metadata:{_META}>>"
 ENVELOPE = f"data struct<id:string,type:string,data:{_RESOURCE},attributes:struct<type:string,data:{_RESOURCE}>>"
 TOLERANCE_S = 300
+ZONE_S = 8 * 3600  # billing days are ahead of UTC
 
 # What is done on which event; all others are logged.
 ACTIONS = {
     "checkout_session.payment.paid": "activate", "link.payment.paid": "activate", "payment.paid": "activate", "subscription.activated": "activate",
     "subscription.invoice.paid": "renew", "payment.failed": "flag", "subscription.invoice.payment_failed": "flag", "subscription.past_due": "flag",
-    "payment.refunded": "downgrade", "subscription.unpaid": "downgrade", "subscription.updated": "sync",
+    "payment.refunded": "downgrade", "payment.refund.updated": "downgrade", "subscription.unpaid": "downgrade", "subscription.updated": "sync",
+}
+# By what the owner of an event without one is found, and the states of a refund that took place.
+FOUND_BY = {
+    "checkout": ("checkout_session.payment.paid", "payment.paid"),
+    "subscription": ("subscription.invoice.paid", "subscription.invoice.payment_failed", "subscription.past_due", "subscription.unpaid", "subscription.updated"),
+    "payment": ("payment.refunded", "payment.refund.updated"),
 }
+REFUNDED = ("succeeded", "refunded")
 
 
 def parse_webhooks(bodies: DataFrame) -> DataFrame:
-    """Both envelopes to (event_id, event_type, resource_id, owner, amount); other columns stay."""
+    """Both envelopes to (event_id, event_type, resource_id, owner, amount, status, tier, billing_period,
+    checkout_id, subscription_id, payment_id), null where not given; other columns stay."""
     d = F.from_json("body", ENVELOPE)["data"]
     wrapped = d["type"] == "event"
     r = F.when(wrapped, d["attributes"]["data"]).otherwise(d["data"])
     rest = [c for c in bodies.columns if c != "body"]
+    a = r["attributes"]
+    meta = a["metadata"]
     return bodies.select(
         d["id"].alias("event_id"), F.when(wrapped, d["attributes"]["type"]).otherwise(d["type"]).alias("event_type"), r["id"].alias("resource_id"),
-        r["attributes"]["metadata"]["uid"].alias("owner"), r["attributes"]["amount"].alias("amount"), *rest,
+        meta["uid"].alias("owner"), a["amount"].alias("amount"), a["status"].alias("status"), meta["tier"].alias("tier"), meta["billing_period"].alias("billing_period"),
+        meta["checkout_session_id"].alias("checkout_id"), meta["subscription_id"].alias("subscription_id"), a["payment_id"].alias("payment_id"), *rest,
     )
 
 
@@ -49,78 +66,117 @@ def dedupe_events(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return events.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in events.columns if c != "event_id"]), "ts").alias("e")).select("event_id", "e.*")
 
 
+def find_owners(events: DataFrame, known: DataFrame) -> DataFrame:
+    """Events as parsed, with the owner, tier and billing period that ``known`` (kind, id, owner, tier,
+    billing_period) has where an event has none: paid events by their checkout, invoices and states by their
+    subscription. Refunds take the owner of the payment first. Of several rows of one id the largest counts.
+    A stream may be joined to a static ``known``."""
+    kind = F.lit(None).cast("string")
+    for what, types in FOUND_BY.items():
+        kind = F.when(F.col("event_type").isin(*types), what).otherwise(kind)
+    bare = F.col("event_type").isin("subscription.unpaid", "subscription.updated")
+    by = F.when(kind == "checkout", F.coalesce("checkout_id", "resource_id")).when(kind == "payment", F.coalesce("resource_id", "payment_id"))
+    by = by.when(bare, F.coalesce("resource_id", "subscription_id")).otherwise(F.coalesce("subscription_id", "resource_id"))
+    links = known.where("id is not null").groupBy(F.col("kind").alias("_kind"), F.col("id").alias("_id")).agg(F.max(F.struct("owner", "tier", "billing_period")).alias("_known"))
+    joined = events.withColumns({"_by_kind": kind, "_by": by}).join(links, (F.col("_by_kind") == F.col("_kind")) & (F.col("_by") == F.col("_id")), "left")
+    owner = F.when(kind == "payment", F.coalesce("_known.owner", "owner")).otherwise(F.coalesce("owner", "_known.owner"))
+    plan = {c: F.coalesce(c, f"_known.{c}") for c in ("tier", "billing_period")}
+    return joined.withColumns({"owner": owner, **plan}).select(*events.columns)
+
+
 def route_events(events: DataFrame) -> DataFrame:
-    """Adds ``action``. Paid events without an owner are only logged."""
+    """Adds ``action``. Events without an owner are only logged, and so are updates of a refund that did not
+    take place (by ``status``, where the events have it)."""
     action = F.lit("log")
     for kind, what in ACTIONS.items():
         action = F.when(F.col("event_type") == kind, what).otherwise(action)
-    return events.withColumn("action", F.when(F.col("owner").isNull(), "log").otherwise(action))
+    status = F.lower("status") if "status" in events.columns else F.lit(None).cast("string")
+    open_refund = (F.col("event_type") == "payment.refund.updated") & ~F.coalesce(status.isin(*REFUNDED), F.lit(False))
+    return events.withColumn("action", F.when(F.col("owner").isNull() | open_refund, "log").otherwise(action))
+
 
+_STATE = "tier string, paid string, since long, until long, flagged boolean"
+_OUT = f"owner string, n_actions long, {_STATE}"
+_FREE = ("free", None, 0, 0, False)
 
-MONTH_S = 30 * 86_400
 
+def _later(at: int, months: int) -> int:
+    """The same local time so many months later, at most the month's last day."""
+    local = datetime.datetime.fromtimestamp(at + ZONE_S, datetime.timezone.utc)
+    year, month = divmod(local.year * 12 + local.month - 1 + months, 12)
+    day = min(local.day, calendar.monthrange(year, month + 1)[1])
+    return int(local.replace(year=year, month=month + 1, day=day).timestamp()) - ZONE_S
 
-def _apply(state: tuple, action: str, at: int) -> tuple:
-    """(tier, coverage end, flagged) after one action: payments extend what is still covered."""
-    tier, until, flagged = state
+
+def _apply(state: tuple, row: dict) -> tuple:
+    """(tier, last paid tier, term began, paid through, flagged) after one action. A payment for the plan in force
+    extends what is still paid and keeps the term; another plan or a lapse begins a new term. A renewal that
+    names no plan is for the last one paid."""
+    tier, paid, since, until, flagged = state
+    action, at = row["action"], int(row["at"])
     if action in ("activate", "renew"):
-        return "premium", max(until, at) + MONTH_S, False
+        asked = (row["tier"] or "").lower()
+        plan = asked if asked in ("premium", "pro") else "premium" if action == "activate" else paid or "premium"
+        months = 12 if (row["billing_period"] or "").lower() == "annual" else 1
+        if tier == plan and until > at:
+            return plan, plan, since, _later(until, months), False
+        return plan, plan, at, _later(at, months), False
     if action == "downgrade":
-        return "free", 0, flagged
-    return tier, until, flagged or action == "flag"
+        return "free", paid, 0, 0, False
+    return tier, paid, since, until, flagged or action == "flag"
+
+
+def _plans(actions: DataFrame) -> DataFrame:
+    """(owner, at, event_id, action, tier, billing_period); plan columns that are missing are null."""
+    plan = [F.col(c) if c in actions.columns else F.lit(None).cast("string").alias(c) for c in ("tier", "billing_period")]
+    return actions.select("owner", "at", "event_id", "action", *plan)
 
 
 def apply_payment_actions(actions: DataFrame) -> DataFrame:
-    """State of each owner after its actions in order of (at, event_id): a fold over one owner's few events."""
+    """State of each owner after its actions in order of (at, event_id)."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        state = ("free", 0, False)
-        for row in part.sort_values(["at", "event_id"]).itertuples(index=False):
-            state = _apply(state, row.action, int(row.at))
-        return pd.DataFrame([(part["owner"].iloc[0], len(part), *state)], columns=["owner", "n_actions", "tier", "until", "flagged"])
+    def step(held, row):
+        return (held[0] + 1, _apply(held[1], row)), []
 
-    return actions.select("owner", "at", "event_id", "action").groupBy("owner").applyInPandas(fold, "owner string, n_actions long, tier string, until long, flagged boolean")
+    return fold_in_order(_plans(actions), ["owner"], ["at", "event_id"], _OUT, lambda: (0, _FREE), step, lambda key, held: [(*key, held[0], *held[1])])
 
 
 def apply_payment_actions_stream(actions: DataFrame) -> DataFrame:
-    """The same with state kept by owner; each batch's actions are taken in their order."""
+    """The same with state kept by owner, for good, as a subscription is; each batch's actions are taken in their
+    order."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, "free", 0, False)
+        now = state.get if state.exists else (0, *_FREE)
         count, held = now[0], tuple(now[1:])
-        for row in pd.concat(list(parts)).sort_values(["at", "event_id"]).itertuples(index=False):
-            held, count = _apply(held, row.action, int(row.at)), count + 1
+        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
+        for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
+            held, count = _apply(held, row), count + 1
         state.update((count, *held))
-        yield pd.DataFrame([(key[0], count, *held)], columns=["owner", "n_actions", "tier", "until", "flagged"])
+        yield pd.DataFrame([(key[0], count, *held)], columns=["owner", "n_actions", "tier", "paid", "since", "until", "flagged"])
 
-    return actions.select("owner", "at", "event_id", "action").groupBy("owner").applyInPandasWithState(
-        update, "owner string, n_actions long, tier string, until long, flagged boolean", "n long, tier string, until long, flagged boolean", "update", GroupStateTimeout.NoTimeout
-    )
+    return _plans(actions).groupBy("owner").applyInPandasWithState(update, _OUT, f"n long, {_STATE}", "update", GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(sends: DataFrame, cooldown: int = 30, window: int = 3600, most: int = 5, most_reset: int = 10) -> DataFrame:
     """(owner, purpose, event_id, allowed, wait): a send is refused within the cooldown of the last accepted one or
-    when the window holds ``most`` accepted. It depends on earlier decisions, so it is a fold by key."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        cap = most_reset if part["purpose"].iloc[0] == "reset_password" else most
-        accepted: list[int] = []
-        out = []
-        for row in part.sort_values(["at", "event_id"]).itertuples(index=False):
-            live = [a for a in accepted if row.at - a < window]
-            wait = 0
-            if live and row.at - live[-1] < cooldown:
-                wait = cooldown - (row.at - live[-1])
-            elif len(live) >= cap:
-                wait = max(window - (row.at - live[-cap]), 1)
-            if not wait:
-                live.append(row.at)
-            accepted = live
-            out.append((row.owner, row.purpose, row.event_id, wait == 0, wait))
-        return pd.DataFrame(out, columns=["owner", "purpose", "event_id", "allowed", "wait"])
-
-    return sends.groupBy("owner", "purpose").applyInPandas(fold, "owner long, purpose string, event_id long, allowed boolean, wait long")
+    when the window holds ``most`` accepted. It depends on earlier decisions, so it is a fold by key whose state
+    is the accepted sends of the window."""
+
+    def step(accepted, row):
+        at, cap = row["at"], most_reset if row["purpose"] == "reset_password" else most
+        live = [a for a in accepted if at - a < window]
+        wait = 0
+        if live and at - live[-1] < cooldown:
+            wait = cooldown - (at - live[-1])
+        elif len(live) >= cap:
+            wait = max(window - (at - live[-cap]), 1)
+        if not wait:
+            live.append(at)
+        return live, [(row["owner"], row["purpose"], row["event_id"], wait == 0, wait)]
+
+    rows = sends.select("owner", "purpose", "at", "event_id")
+    return fold_in_order(rows, ["owner", "purpose"], ["at", "event_id"], "owner long, purpose string, event_id long, allowed boolean, wait long", list, step)
 
 
 def scan_usage_counter(scans: DataFrame) -> DataFrame:

@@ -42,6 +42,50 @@ def test_payment_dedupe_is_a_fold(spark):
     assert sorted(r.seq for r in billing.payment_dedupe(df).collect()) == [1, 3, 5, 6]
 
 
+def _epoch(*day):
+    return int(datetime.datetime(*day, tzinfo=datetime.timezone.utc).timestamp())
+
+
+def test_payment_terms(spark):
+    jan, feb = _epoch(2024, 1, 31, 4), _epoch(2024, 2, 10)
+    rows = [
+        ("a", jan, "1", "activate", None, "monthly"), ("a", feb, "2", "renew", None, "monthly"),  # extends, month's end
+        ("b", jan, "1", "activate", "premium", None), ("b", feb, "2", "activate", "PRO", "annual"),  # another plan: new term
+        ("c", jan, "1", "activate", "pro", "monthly"), ("c", _epoch(2024, 6, 1), "2", "renew", None, "monthly"),  # lapsed: new term, last plan
+        ("d", jan, "1", "activate", "pro", "annual"), ("d", feb, "2", "flag", None, None), ("d", feb, "3", "downgrade", None, None),
+        ("e", jan, "1", "flag", None, None), (None, jan, "1", "sync", None, None),
+    ]
+    df = spark.createDataFrame(rows, "owner string, at long, event_id string, action string, tier string, billing_period string")
+    got = {r.owner: tuple(r)[1:] for r in E.apply_payment_actions(df).collect()}
+    assert got == {
+        "a": (2, "premium", "premium", jan, _epoch(2024, 3, 29, 4), False), "b": (2, "pro", "pro", feb, _epoch(2025, 2, 10), False),
+        "c": (2, "pro", "pro", _epoch(2024, 6, 1), _epoch(2024, 7, 1), False), "d": (3, "free", "pro", 0, 0, False),
+        "e": (1, "free", None, 0, 0, True), None: (1, "free", None, 0, 0, False),
+    }
+    assert E.apply_payment_actions(df.limit(0)).count() == 0
+
+
+def test_owners_by_lookup(spark):
+    columns = ("event_type", "resource_id", "owner", "status", "tier", "billing_period", "checkout_id", "subscription_id", "payment_id")
+    rows = [
+        ("checkout_session.payment.paid", "cs_1", None, None, None, None, None, None, None), ("payment.paid", "pay_9", None, None, None, None, "cs_1", None, None),
+        ("subscription.invoice.paid", "in_1", None, None, None, None, None, "sub_1", None), ("subscription.unpaid", "sub_2", None, None, None, None, None, None, None),
+        ("payment.refund.updated", "pay_1", None, "pending", None, None, None, None, None), ("payment.refund.updated", "pay_1", "x", "Succeeded", None, None, None, None, None),
+        ("payment.failed", "cs_1", None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    known = [("checkout", "cs_1", "u1", "pro", "annual"), ("subscription", "sub_1", "u2", None, None), ("payment", "pay_1", "u3", None, None), ("payment", None, "u4", None, None)]
+    known = spark.createDataFrame(known, "kind string, id string, owner string, tier string, billing_period string")
+    got = sorted(str((r.event_type, r.owner, r.tier, r.action)) for r in E.route_events(E.find_owners(df, known)).collect())
+    assert got == sorted(
+        str(x)
+        for x in [
+            ("checkout_session.payment.paid", "u1", "pro", "activate"), ("payment.paid", "u1", "pro", "activate"), ("subscription.invoice.paid", "u2", None, "renew"),
+            ("subscription.unpaid", None, None, "log"), ("payment.refund.updated", "u3", None, "log"), ("payment.refund.updated", "u3", None, "downgrade"), ("payment.failed", None, None, "log"),
+        ]
+    )
+
+
 def test_rate_limit(spark):
     at = [0, 10, 30, 60, 90, 120, 150, 3599, 3601]
     df = spark.createDataFrame([(1, "verify_email", t, i) for i, t in enumerate(at)], "owner long, purpose string, at long, event_id long")
