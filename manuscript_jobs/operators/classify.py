@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 
 def stratified_split(df: DataFrame, label: str, key: str, shares: tuple = (0.7, 0.15, 0.15), seed: str = "split-1") -> DataFrame:
-    """Adds ``part``: each label's rows in a seeded order, cut by share. No sampling noise: the same at every run."""
-    w = Window.partitionBy(label)
-    order = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key))
-    at = (order - 1) / F.count("*").over(w)
+    """Adds ``part``: each label's rows in a seeded order, cut by share. No sampling noise: the same at every run.
+
+    A row's place in its label is its place among the rows whose hash begins alike (one in 4,096) and the count of those
+    before, so a label that holds most rows is never one task. A null label is a label of its own."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
+    dealt = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
+    w = Window.partitionBy("_l").orderBy("_c")
+    sizes = dealt.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_l", "_c", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_l")).alias("_all"))
+    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1)
+    placed = placed.join(sizes, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
     part, upto = F.lit(len(shares) - 1), 0.0
     cuts = []
     for i, s in enumerate(shares[:-1]):
@@ -22,7 +29,7 @@ def stratified_split(df: DataFrame, label: str, key: str, shares: tuple = (0.7,
         cuts.append((i, round(upto, 9)))
     for i, cut in reversed(cuts):
         part = F.when(F.col("_at") < cut, i).otherwise(part)
-    return df.withColumn("_at", at).withColumn("part", part).drop("_at")
+    return placed.withColumn("_at", (F.col("_before") + F.col("_at")) / F.col("_all")).withColumn("part", part).drop("_h", "_b", "_l", "_c", "_before", "_all", "_at")
 
 
 def ngram_terms(df: DataFrame, text: str, words: int = 3, chars: tuple = (2, 4)) -> DataFrame:

@@ -145,26 +145,31 @@ def balanced_weights(t):
 @query("tfidf_features")
 def tfidf_features(t):
     """Features of all documents: the count of hashed terms each holds."""
-    rows = M.ngram_terms(t.documents.select("doc_id", F.substring("text", 1, 2**31 - 1).alias("text")), "text", 1, (2, 2))
-    model = M.tfidf_features(1 << 12).fit(rows)
-    from pyspark.ml.functions import vector_to_array
-
-    weights = vector_to_array("features")
+    rows = M.ngram_terms(t.documents.select("doc_id", "text"), "text")
+    model = M.tfidf_features().fit(rows)
+    weights = F.unwrap_udt("features")["values"]  # those of a sparse vector's indices alone
     return model.transform(rows).select("doc_id", F.size(F.filter(weights, lambda x: x != 0)).alias("terms"), F.round(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
-@query("ngram_terms", r"""SELECT doc_id, len(w) AS n_words, greatest(len(w) - 1, 0) AS n_pairs FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)""")
+_WORDS = r"SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents"
+
+
+@query(
+    "ngram_terms",
+    f"""SELECT doc_id, len(w) AS n_words, greatest(len(w) - 1, 0) AS n_pairs, greatest(len(w) - 2, 0) AS n_triples,
+               coalesce(list_sum(list_transform(list_distinct(w), lambda x: length(x) + 1 + length(x) + greatest(length(x) - 1, 0))), 0)::BIGINT AS n_pieces FROM ({_WORDS})""",
+)
 def ngram_terms(t):
-    terms = M.ngram_terms(t.documents.select("doc_id", "text"), "text", 2, (2, 2))
-    pairs = F.size(F.filter("words", lambda x: x.contains(" ")))
-    return terms.select("doc_id", (F.size("words") - pairs).alias("n_words"), pairs.alias("n_pairs"))
+    terms = M.ngram_terms(t.documents.select("doc_id", "text"), "text")
+    blanks = lambda n: F.size(F.filter("words", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) == n))
+    return terms.select("doc_id", blanks(0).alias("n_words"), blanks(1).alias("n_pairs"), blanks(2).alias("n_triples"), F.size("pieces").cast("long").alias("n_pieces"))
 
 
 def _model(t):
-    """Labelled documents as training rows: quality by text, learnt from a tenth of them by hash."""
+    """Labelled documents as training rows: quality by text, learnt from four fifths of them by hash."""
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"))
     rows = M.stratified_split(rows, "label", "doc_id", (0.8, 0.2))
-    return M.train_classifier(rows.where("part = 0"), "text", "label", 10, 1 << 10), rows
+    return M.train_classifier(rows.where("part = 0"), "text", "label"), rows
 
 
 @query("train_classifier")
@@ -192,7 +197,7 @@ def classification_report(t):
 
 
 fixtures.SQL["excerpts"] = r"""
-    SELECT doc_id, n AS excerpt_id, CASE WHEN n % 4 = 0 THEN page_index WHEN n % 4 = 1 THEN 99 END AS page_index, n % 2 = 0 AS paragraph_start, lower(trim(regexp_replace(left(text, 90), '\s+', ' ', 'g'))) AS t FROM units WHERE n % 3 = 0"""
+    SELECT doc_id, n AS excerpt_id, CASE WHEN n % 4 = 0 THEN page_index WHEN n % 4 = 1 THEN 99 END AS page_index, n % 2 = 0 AS paragraph_start, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM units"""
 fixtures.SQL["needles"] = r"""
     SELECT doc_id, excerpt_id, page_index, unnest(k) AS needle, unnest(range(len(k))) AS rank FROM (
       SELECT *, list_filter(list_transform(list_filter(list_transform(l, lambda x, i: CASE WHEN list_position(l, x) = i THEN x END), lambda x: x IS NOT NULL), lambda x: x), lambda x: length(x) >= 2) AS k FROM (
@@ -200,8 +205,9 @@ fixtures.SQL["needles"] = r"""
 
 
 def view_excerpts(t):
+    """Every line of a document as an excerpt, whole."""
     n = F.col("n") % 4
-    return t.units.where("n % 3 = 0").select("doc_id", F.col("n").alias("excerpt_id"), F.substring("text", 1, 90).alias("excerpt"), F.when(n == 0, F.col("page_index")).when(n == 1, 99).alias("page_index"), (F.col("n") % 2 == 0).alias("paragraph_start"))
+    return t.units.select("doc_id", F.col("n").alias("excerpt_id"), F.col("text").alias("excerpt"), F.when(n == 0, F.col("page_index")).when(n == 1, 99).alias("page_index"), (F.col("n") % 2 == 0).alias("paragraph_start"))
 
 
 fixtures.view_excerpts = view_excerpts

@@ -11,11 +11,11 @@ from .registry import query
 
 def _citations(t):
     style = F.element_at(F.array(F.lit("APA"), F.lit("MLA"), F.lit("IEEE")), (F.col("doc_id") % 3 + 1).cast("int"))
-    text = F.concat(F.lit(' “'), F.substring("text", 1, 50), F.lit('” '))
+    text = F.concat(F.lit(' “'), F.col("text"), F.lit('” '))
     return t.documents.select(text.alias("citation_text"), style.alias("citation_style"), F.when(F.col("doc_id") % 2 == 0, "Yes").otherwise("non-compliant").alias("is_format_compliant"), F.col("source").alias("issue_description"))
 
 
-_CITED = r"""SELECT md5(trim(regexp_replace('"' || left(text, 50) || '"', '\s+', ' ', 'g'))) AS h, ['APA', 'MLA', 'IEEE'][doc_id % 3 + 1] AS citation_style, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS ok, source AS issue_description FROM documents"""
+_CITED = r"""SELECT md5(trim(regexp_replace('"' || text || '"', '\s+', ' ', 'g'))) AS h, ['APA', 'MLA', 'IEEE'][doc_id % 3 + 1] AS citation_style, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS ok, source AS issue_description FROM documents"""
 
 
 @query("read_labeled_citations", _CITED)
@@ -36,7 +36,7 @@ def write_labeled_dataset(t):
 @query("read_labeled_mechanics", "SELECT lang AS rule_type, count(*) AS n FROM documents GROUP BY 1")
 def read_labeled_mechanics(t):
     path = shared_path(t.spark, "mechanics")
-    t.documents.select(F.concat(F.lit("Use "), F.substring("text", 1, 30)).alias("source_text"), F.col("lang").alias("rule_type"), F.col("source").alias("rule_value")).write.option("header", True).option("escape", '"').csv(path)
+    t.documents.select(F.concat(F.lit("Use "), F.col("text")).alias("source_text"), F.col("lang").alias("rule_type"), F.col("source").alias("rule_value")).write.option("header", True).option("escape", '"').csv(path)
     return R.read_labeled_mechanics(t.spark, path).groupBy("rule_type").agg(F.count("*").alias("n"))
 
 
@@ -48,16 +48,16 @@ def _parsed(t):
     page = F.struct(F.col("page_index").cast("int").alias("page_index"), F.lit(612.0).alias("width_points"), F.lit(792.0).alias("height_points"), F.lit(0).alias("image_count"), F.transform("ls", lambda x: x["l"]).alias("lines"))
     docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_index", page.alias("p")))).alias("ps")).select("doc_id", F.struct(F.lit("pdf").alias("format")).alias("metadata"), F.transform("ps", lambda x: x["p"]).alias("pages"))
     path = shared_path(t.spark, "parsed")
-    docs.where("doc_id % 4 <> 0").write.option("compression", "gzip").json(path)
+    docs.write.option("compression", "gzip").json(path)
     return R.read_parsed_documents(t.spark, path, t.documents.select("doc_id", "text"))
 
 
-@query("read_parsed_documents", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN (len(string_split(text, chr(10))) + 39) // 40 END AS n_pages, length(text) AS n FROM documents")
+@query("read_parsed_documents", "SELECT doc_id, (len(string_split(text, chr(10))) + 39) // 40 AS n_pages, length(text) AS n FROM documents")
 def read_parsed_documents(t):
     return _parsed(t).select("doc_id", F.when(F.col("pages").isNotNull(), F.size("pages")).cast("long").alias("n_pages"), F.length("text").alias("n"))
 
 
-@query("explode_layout", "SELECT doc_id, page_index, line_index, md5(text) AS h, x0, x1, font FROM unit_boxes WHERE doc_id % 4 <> 0")
+@query("explode_layout", "SELECT doc_id, page_index, line_index, md5(text) AS h, x0, x1, font FROM unit_boxes")
 def explode_layout(t):
     flat = R.explode_layout(_parsed(t))
     spans = flat["spans"].select("doc_id", "page_index", "line_index", "font")
@@ -72,7 +72,7 @@ def intake_files(t):
     k = F.col("doc_id") % 5
     path = F.concat(F.lit("up/"), F.col("doc_id").cast("string"), F.when(k <= 1, ".pdf").when(k <= 3, ".DOCX").otherwise(".txt"))
     head = F.when(k == 0, F.lit("junk %PDF-1.7 ")).when(k == 2, F.decode(F.unhex(F.lit("504B0304")), "US-ASCII")).otherwise("none ")
-    content = F.encode(F.concat(head, F.substring("text", 1, 200)), "UTF-8")
+    content = F.encode(F.concat(head, F.col("text")), "UTF-8")
     length = F.when(F.col("doc_id") % 11 == 0, 0).when(F.col("doc_id") % 13 == 0, 200 * R.MIB).otherwise(F.length(content))
     return R.intake_files(t.documents.select("doc_id", path.alias("path"), length.alias("length"), content.alias("content")), F.lit("pro")).select("doc_id", "reason")
 
