@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import CAPTION_VERBS
 from ..operators import checks as C
 from ..operators import issues as I
 from ..operators import layout as Y
@@ -212,7 +213,7 @@ def check_caption_form(t):
     return C.check_caption_form(t.roles.where("role in ('table', 'figure')"), upper=True).select("doc_id", "n", "ok", F.size("problems").alias("n_problems"))
 
 
-@query("caption_prose_lines", "SELECT doc_id, n FROM marked WHERE regexp_matches(text, '^Figure [0-9]+ shows')")
+@query("caption_prose_lines", rf"SELECT doc_id, n FROM marked WHERE regexp_matches(trim(text), '^(?i:table|figure)\s+[0-9]+\s*[:.–-]?\s*(?i:{CAPTION_VERBS})\b')")
 def caption_prose_lines(t):
     return C.caption_prose_lines(t.marked)
 

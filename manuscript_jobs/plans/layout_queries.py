@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import CAPTION_VERBS
 from ..operators import layout as Y
 from . import fixtures
 from .registry import query
@@ -16,7 +17,7 @@ _KIND = "(doc_id * 7 + n * 5) % 24"
 
 
 def view_marked(t):
-    k, head, num = (F.col("doc_id") * 7 + F.col("n") * 5) % 24, F.substring("text", 1, 30), (F.col("n") % 9 + 1).cast("string")
+    k, head, num = (F.col("doc_id") * 7 + F.col("n") * 5) % 24, F.col("text"), (F.col("n") % 9 + 1).cast("string")
     c = F.concat
     text = (
         F.when(k == 0, c(F.lit("Table "), num, F.lit(". "), head)).when(k == 1, c(F.lit("Figure "), num, F.lit(" shows the values of "), head)).when(k == 2, c(F.lit("CHAPTER "), F.repeat(F.lit("I"), (F.col("n") % 3 + 1).cast("int"))))
@@ -29,21 +30,24 @@ def view_marked(t):
 
 fixtures.view_marked = view_marked
 fixtures.SQL["marked"] = f"""
-    SELECT * REPLACE (CASE {_KIND} WHEN 0 THEN 'Table ' || (n % 9 + 1)::VARCHAR || '. ' || left(text, 30) WHEN 1 THEN 'Figure ' || (n % 9 + 1)::VARCHAR || ' shows the values of ' || left(text, 30)
-        WHEN 2 THEN 'CHAPTER ' || repeat('I', (n % 3 + 1)::INT) WHEN 3 THEN 'References' WHEN 4 THEN left(text, 30) || ' [' || (n % 50)::VARCHAR || '] and on.' WHEN 5 THEN left(text, 30) || ' (Smith, 2019) and on.'
-        WHEN 6 THEN left(text, 30) || ' (Garcia 12) and on.' WHEN 7 THEN left(text, 30) || ' ........ ' || (n % 90 + 1)::VARCHAR WHEN 8 THEN '' WHEN 9 THEN (n % 90 + 1)::VARCHAR
-        WHEN 10 THEN 'Smith, J. (20' || lpad((n % 20)::VARCHAR, 2, '0') || '). ' || left(text, 30) ELSE text END AS text) FROM unit_boxes"""
+    SELECT * REPLACE (CASE {_KIND} WHEN 0 THEN 'Table ' || (n % 9 + 1)::VARCHAR || '. ' || text WHEN 1 THEN 'Figure ' || (n % 9 + 1)::VARCHAR || ' shows the values of ' || text
+        WHEN 2 THEN 'CHAPTER ' || repeat('I', (n % 3 + 1)::INT) WHEN 3 THEN 'References' WHEN 4 THEN text || ' [' || (n % 50)::VARCHAR || '] and on.' WHEN 5 THEN text || ' (Smith, 2019) and on.'
+        WHEN 6 THEN text || ' (Garcia 12) and on.' WHEN 7 THEN text || ' ........ ' || (n % 90 + 1)::VARCHAR WHEN 8 THEN '' WHEN 9 THEN (n % 90 + 1)::VARCHAR
+        WHEN 10 THEN 'Smith, J. (20' || lpad((n % 20)::VARCHAR, 2, '0') || '). ' || text ELSE text END AS text) FROM unit_boxes"""
 _RE = {"CHAPTER": r"^(?i:chapter\s+([0-9]+|[ivxlc]+))\b", "BACK": Y.BACK_MATTER, "PRE": Y.PRELIMINARY, "REF": Y.REFERENCE_HEADER, "FOLIO": Y.FOLIO, "CAPTION": Y.CAPTION, "BARE": Y.BARE_PAGE}
 _TOC = f"""(trim(text) <> '' AND NOT ends_with(trim(text), '.') AND NOT ((regexp_matches(trim(text), '{_RE["CHAPTER"]}') OR regexp_matches(trim(text), '{_RE["BACK"]}') OR regexp_matches(trim(text), '{_RE["PRE"]}'))
     AND NOT regexp_matches(trim(text), '\\.{{2,}}|…')) AND regexp_matches(trim(text), '{_RE["FOLIO"]}') AND regexp_matches(trim(text), '\\S\\s+\\S'))"""
+_REST = r"trim(regexp_extract(trim(regexp_replace(text, '\s+', ' ', 'g')), '^(?i:table|figure|fig\.?) [0-9]+(?:\.[0-9]+)*\s*[:.–-]?\s*(.*)$', 1))"
+fixtures.SQL["prose_lines"] = rf"""
+    SELECT * EXCLUDE (rest), rest <> '' AND (regexp_matches(rest, '^(?i:{CAPTION_VERBS})\b') OR len(string_split(rest, ' ')) >= 12 OR (length(rest) >= 80 AND regexp_matches(rest, ',|^.{{8}}.*\.'))
+        OR (regexp_matches(rest, '^[a-z]') AND len(string_split(rest, ' ')) >= 6)) AS prose FROM (SELECT *, {_REST} AS rest FROM marked)"""
 fixtures.SQL["roles"] = f"""
     SELECT * EXCLUDE (v), CASE WHEN v = '' THEN 'empty' WHEN regexp_matches(v, '{_RE["BARE"]}') THEN 'pagination' WHEN toc THEN 'toc'
         WHEN regexp_matches(v, '{_RE["CAPTION"]}') AND NOT prose THEN CASE WHEN lower(v) LIKE 'table%' THEN 'table' ELSE 'figure' END WHEN chapter THEN 'heading1'
         WHEN regexp_matches(v, '{_RE["REF"]}') OR regexp_matches(v, '{_RE["PRE"]}') OR regexp_matches(v, '{_RE["BACK"]}') THEN 'heading_other'
         WHEN face = 'bold' AND words <= 12 AND NOT regexp_matches(v, '[.,;]$') THEN CASE WHEN coalesce(seen, false) THEN 'heading2' ELSE 'heading_uncertain' END ELSE 'body' END AS role
     FROM (SELECT *, bool_or(chapter) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (
-        SELECT *, trim(text) AS v, {_TOC} AS toc, regexp_matches(trim(text), '{_RE["CHAPTER"]}') AS chapter, len(string_split_regex(trim(text), '\\s+')) AS words,
-               regexp_matches(trim(text), '^Figure [0-9]+ shows') AS prose FROM marked))"""
+        SELECT *, trim(text) AS v, {_TOC} AS toc, regexp_matches(trim(text), '{_RE["CHAPTER"]}') AS chapter, len(string_split_regex(trim(text), '\\s+')) AS words FROM prose_lines))"""
 
 
 def view_roles(t):
