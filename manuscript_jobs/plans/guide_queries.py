@@ -34,11 +34,11 @@ def _at(i: int) -> str:
 
 def view_guides(t):
     said = F.concat_ws("\n", *[_pick(p, _index(i)) for i, p in enumerate(PARTS)])
-    return G.with_flat(t.documents.select(F.col("doc_id").alias("guide_id"), F.concat(said, F.lit("\n"), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")).alias("text")))
+    return G.with_flat(t.documents.select(F.col("doc_id").alias("guide_id"), F.concat(said, F.lit("\n"), F.col("text")).alias("text")))
 
 
 fixtures.view_guides = view_guides
-fixtures.SQL["gids"] = "SELECT doc_id AS guide_id, regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g') AS tail FROM documents"
+fixtures.SQL["gids"] = "SELECT doc_id AS guide_id, text AS tail FROM documents"
 fixtures.SQL["guides"] = (
     "SELECT guide_id, " + " || chr(10) || ".join(f"{_sql_list(p)}[{_at(i)} + 1]" for i, p in enumerate(PARTS)) + " || chr(10) || tail AS text FROM gids"
 )
@@ -225,10 +225,11 @@ def apply_ignored_fields(t):
     return G.apply_ignored_fields(rules, ignored, {"alignment": "Alignment", "citation_style": "Citations"})
 
 
-@query(
-    "harvest_assist_items",
-    f"""SELECT guide_id, 'visual_layout' AS kind FROM gids WHERE {_at(7)} = 2 UNION ALL SELECT guide_id, 'image' FROM gids WHERE {_at(7)} = 3 UNION ALL SELECT guide_id, 'binding' FROM gids WHERE {_at(0)} = 1""",
-)
+_FLAT = r"lower(regexp_replace(text, '\s+', ' ', 'g'))"
+_KINDS = " UNION ALL ".join(f"SELECT guide_id, '{k}' AS kind FROM guides WHERE regexp_matches({_FLAT}, '{p}')" for k, p in G.ASSIST)
+
+
+@query("harvest_assist_items", _KINDS)
 def harvest_assist_items(t):
     return G.harvest_assist_items(t.guides).select("guide_id", "kind")
 
@@ -246,9 +247,10 @@ def merge_assist_items(t):
 
 
 _RULE = "regexp_matches(lower(text), 'must|should|use |margins?:|style')"
+_TEMPLATE = "regexp_matches(lower(text), 'your name|insert|sample|template')"
 
 
-@query("guide_kind", f"SELECT guide_id, CASE WHEN {_RULE} AND {_at(7)} = 3 THEN 'hybrid' WHEN {_RULE} THEN 'explicit_rulebook' WHEN {_at(7)} = 3 THEN 'template_as_guide' ELSE 'unknown' END AS kind FROM guides")
+@query("guide_kind", f"SELECT guide_id, CASE WHEN {_RULE} AND {_TEMPLATE} THEN 'hybrid' WHEN {_RULE} THEN 'explicit_rulebook' WHEN {_TEMPLATE} THEN 'template_as_guide' ELSE 'unknown' END AS kind FROM guides")
 def guide_kind(t):
     return G.guide_kind(t.guides)
 
