@@ -222,3 +222,21 @@ def test_indent_by_the_usual_one(spark):
     got = {(r.doc_id, r.paragraph): r.verdict for r in C.check_indent_pdf(df).collect()}
     assert [got[1, i] for i in range(7)] == ["pass"] * 5 + ["uncertain" if abs(57 / 72 - 0.5) <= 0.25 else "fail", "fail"]
     assert [got[2, i] for i in range(4)] == ["fail"] * 3 + ["pass"] and [got[3, i] for i in range(2)] == ["uncertain", "pass"]
+
+
+def test_split_by_label_keeps_shares_of_null_and_large_labels(spark):
+    from manuscript_jobs.operators.classify import stratified_split
+
+    rows = [(i, "a") for i in range(900)] + [(1000 + i, None) for i in range(100)]
+    got = stratified_split(spark.createDataFrame(rows, "id long, label string"), "label", "id").collect()
+    count = {(x, p): sum(r.label == x and r.part == p for r in got) for x in ("a", None) for p in (0, 1, 2)}
+    assert count == {("a", 0): 630, ("a", 1): 135, ("a", 2): 135, (None, 0): 70, (None, 1): 15, (None, 2): 15}
+
+
+def test_document_without_layout_falls_back_to_its_text(spark, tmp_path):
+    from manuscript_jobs.sources.readers import read_parsed_documents
+
+    (tmp_path / "parsed.json").write_text('{"doc_id": 1, "text": "parsed", "pages": []}\n')
+    own = spark.createDataFrame([(1, "own 1"), (2, "own 2")], "doc_id long, text string")
+    got = read_parsed_documents(spark, str(tmp_path), own).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, "parsed"), (2, "own 2")]
