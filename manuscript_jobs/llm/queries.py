@@ -85,6 +85,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +101,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_packing, op3_ngram_join, op4_fingerprints, op5_paragraph_dedup, op6_mixing,
-        op7_suffix_dedup, op8_sharding, op9_topk, op10_quality, pipeline,
+        op7_suffix_dedup, op8_sharding, op9_topk, op10_quality, op13_simhash, pipeline,
     )
 }
