@@ -85,6 +85,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -101,6 +113,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_packing, op3_ngram_join, op4_fingerprints, op5_paragraph_dedup, op6_mixing,
-        op7_suffix_dedup, op8_sharding, op9_topk, op10_quality, op13_simhash, pipeline,
+        op7_suffix_dedup, op8_sharding, op9_topk, op10_quality, op11_divergence, op12_lexical, op13_simhash, pipeline,
     )
 }

@@ -51,4 +51,40 @@ _OP9 = """
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
     SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES = {"op1_url_filter": _op1(), "op6_mixing": _OP6, "op9_topk": _OP9}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP12 = rf"""
+    WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS p),
+    d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, p)) AS term FROM documents, pattern),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+    n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+    total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+    i AS (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, p)) AS term FROM benchmark, pattern),
+    q AS (SELECT item_id, term, count(*) AS q FROM i GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+    s AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+          FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), total GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20"""
+
+_OP11 = rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    w AS (SELECT id, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    c AS (SELECT id, lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+    k AS (SELECT lang, term FROM c GROUP BY ALL HAVING count(*) >= 30),
+    v AS (SELECT lang, count(*) AS terms FROM k GROUP BY lang),
+    n AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+    t AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+    p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * terms) AS p
+          FROM t JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)),
+    q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (max(whole) + 5 * max(terms)) AS q
+          FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(total)::HUGEINT AS whole FROM t GROUP BY lang) USING (lang) GROUP BY ALL),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+    SELECT lang, source, part, item, value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+ORACLES = {"op1_url_filter": _op1(), "op6_mixing": _OP6, "op9_topk": _OP9, "op11_divergence": _OP11, "op12_lexical": _OP12}
