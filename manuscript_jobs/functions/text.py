@@ -14,10 +14,12 @@ UNSET_WORDS = ("", "ignore", "na", "n/a", "n.a.", "n.a", "not checked", "not che
 FRACTIONS = {"½": 0.5, "¼": 0.25, "¾": 0.75, "⅓": 1 / 3, "⅔": 2 / 3, "⅛": 0.125, "⅜": 0.375, "⅝": 0.625}
 UNITS = {"cm": 1 / 2.54, "mm": 1 / 25.4, "pt": 1 / 72, "point": 1 / 72, "points": 1 / 72}
 FONTS = (
-    "Times New Roman", "Arial Narrow", "Arial Black", "Courier New", "Trebuchet MS", "Palatino Linotype", "Book Antiqua", "Century Gothic",
-    "Arial", "Calibri", "Cambria", "Georgia", "Garamond", "Helvetica", "Verdana", "Tahoma",
+    "Times New Roman", "Arial Black", "Arial Narrow", "Arial", "Book Antiqua", "Bookman Old Style", "Calibri", "Cambria", "Candara", "Century Gothic",
+    "Century Schoolbook", "Century", "Comic Sans MS", "Consolas", "Constantia", "Corbel", "Courier New", "Franklin Gothic Medium", "Garamond", "Georgia", "Helvetica",
+    "Impact", "Lucida Console", "Lucida Sans Unicode", "Microsoft Sans Serif", "Palatino Linotype", "Rockwell", "Segoe UI", "Tahoma", "Trebuchet MS", "Verdana",
 )
-DECORATIVE = r"(?i)(emoji|symbol|wingdings|webdings|marlett|dingbat|barra?code|icon|mt\s*extra|ms\s*outlook)"
+# Parts of the names of fonts of signs.
+SIGN_FONTS = ("emoji", "symbol", "wingdings", "webdings", "marlett", "dingbat", "barcode", "barracode", "icon", "mt extra", "mtextra", "ms outlook", "msoutlook")
 
 
 def squash(text: Column) -> Column:
@@ -106,7 +108,7 @@ def font_display(font: Column) -> Column:
 
 
 def is_decorative(font: Column) -> Column:
-    return F.coalesce(font.rlike(DECORATIVE), F.lit(False))
+    return F.coalesce(F.lower(font).rlike("|".join(SIGN_FONTS)), F.lit(False))
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
@@ -209,7 +211,7 @@ def pagination_options(text: Column) -> Column:
 
 def alignment_overrides(text: Column) -> Column:
     """"Page 3: justify" lines as a map from 1-based page to alignment; the last of a page wins."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\n;]+")
+    lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\n;]+"), lambda x: x.contains("page"))
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"page[_ ]*([0-9]+)", 1).try_cast("int").alias("page"), parse_alignment(F.regexp_extract(x, r"[0-9]+\s*[:=-]\s*(.*)$", 1)).alias("align")))
     good = F.filter(pairs, lambda p: p["page"].isNotNull() & p["align"].isNotNull() & (p["page"] >= 1))
     return F.aggregate(good, F.expr("cast(map() as map<int,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["page"]), F.map_from_arrays(F.array(p["page"]), F.array(p["align"]))))

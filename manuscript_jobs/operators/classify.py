@@ -67,11 +67,11 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts.withColumn("weight", F.lit(float(total.t)) / (total.k * F.col("_n"))).drop("_n")), label)
 
 
-def train_classifier(train: DataFrame, text: str, label: str, rounds: int = 30, dimensions: int = 1 << 14) -> PipelineModel:
-    """Balanced logistic regression over the n-gram features."""
+def train_classifier(train: DataFrame, text: str, label: str, rounds: int = 30, dimensions: int = 1 << 14, reg: float = 0.01, even: bool = False) -> PipelineModel:
+    """Logistic regression over the n-gram features, classes balanced or, where ``even``, each row weighing alike."""
     features = tfidf_features(dimensions)
-    stages = [StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="keep", stringOrderType="alphabetAsc"), features, LogisticRegression(labelCol="label_index", weightCol="weight", maxIter=rounds, regParam=0.01)]
-    return Pipeline(stages=stages).fit(balanced(ngram_terms(train, text), label))
+    stages = [StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="keep", stringOrderType="alphabetAsc"), features, LogisticRegression(labelCol="label_index", weightCol="weight", maxIter=rounds, regParam=reg)]
+    return Pipeline(stages=stages).fit(ngram_terms(train, text).withColumn("weight", F.lit(1.0)) if even else balanced(ngram_terms(train, text), label))
 
 
 def predict(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:

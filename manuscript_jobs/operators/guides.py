@@ -1,8 +1,9 @@
 """Rules read out of format guides, merged, normalised and validated.
 
-Guides are (guide_id, text, flat), ``with_flat`` adding the flattened text once. All extraction is column
-expressions over it, so a guide costs one narrow pass; only sentence classification explodes and regroups,
-by guide.
+Guides are (guide_id, text, flat, clauses): ``with_flat`` adds the flattened text and its clauses, cut once at stops
+that no digit follows. Extractors are column expressions: patterns that look for a whole clause filter the clauses, so
+time is linear in a text's length, and values are read out of the short piece found, bound to a name once. A guide
+costs one narrow pass.
 """
 
 from __future__ import annotations
@@ -22,45 +23,34 @@ def flat(text: Column) -> Column:
     return T.flatten_guide_text(text)
 
 
+def clauses(flat: Column) -> Column:
+    """Pieces of a flattened text between stops and semicolons; a stop before a digit is a decimal point."""
+    return F.split(F.regexp_replace(flat, r"[.;]+([^0-9.;]|$)", "\n$1"), "\n")
+
+
 def with_flat(guides: DataFrame) -> DataFrame:
-    return guides.withColumn("flat", flat(F.col("text")))
+    return guides.withColumn("flat", flat(F.col("text"))).withColumn("clauses", clauses(F.col("flat")))
 
 
-def guide_sentences(guides: DataFrame) -> DataFrame:
-    """Sentences of 8 to 400 characters, cleaned, with their place."""
-    parts = F.split("text", r"[.!?]+\s+|\n+")
-    out = guides.select("guide_id", F.posexplode(parts).alias("at", "sentence")).withColumn("sentence", T.clean_text(F.col("sentence")))
-    return out.where(F.length("sentence").between(8, 400))
+def first_said(said: Column, pattern: str) -> Column:
+    """The first clause that a pattern stands in, else null."""
+    return F.try_element_at(F.filter(said, lambda c: c.rlike(pattern)), F.lit(1))
 
 
-def sentence_kind(sentence: Column) -> Column:
-    """The rule a sentence is on, by its words; null for none."""
-    s = F.lower(sentence)
-    return (
-        F.when(s.rlike(r"\bmargin"), "margins").when(s.rlike("spac"), "line_spacing").when(s.rlike(r"\bindent"), "indent").when(s.rlike(r"\bpaper\b"), "paper")
-        .when(s.rlike("page number|numbers at|numerals"), "pagination").when(s.rlike(r"\bheading"), "heading").when(s.rlike(r"\bfont\b|\bpt\b|\bsize\b"), "font")
-        .when(s.rlike("justif|align"), "alignment").when(s.rlike(r"\bstyle\b"), "citation")
-    )
+def bound(value: Column, read) -> Column:
+    """``read(value)`` with the value worked out once, however often ``read`` names it."""
+    return F.element_at(F.transform(F.array(value), read), 1)
 
 
-def rule_value(sentence: Column, kind: Column) -> Column:
-    """The typed value of a sentence as text."""
-    s = F.lower(sentence)
-    length = T.parse_length_inches(F.regexp_extract(s, rf"(({MEASURE})\s*{UNIT})", 1))
-    return (
-        F.when(kind == "margins", F.round(length, 2).cast("string")).when(kind == "line_spacing", T.parse_line_spacing(s).cast("string")).when(kind == "alignment", T.parse_alignment(s))
-        .when(kind == "paper", T.parse_paper_size(s)["name"]).when(kind == "citation", F.nullif(F.regexp_extract(F.upper(sentence), r"\b(APA|MLA|IEEE)\b", 1), F.lit("")))
-        .when(kind == "pagination", T.page_position(sentence)["label"]).when(kind == "font", F.nullif(F.regexp_extract(s, r"([0-9]+)\s*(?:pt|point)", 1), F.lit("")))
-    )
+def _or_null(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
 
 
-def predicted_rules(sentences: DataFrame, least: float = 0.55) -> DataFrame:
-    """Classified sentences (guide_id, at, sentence, kind, confidence) folded into one map per guide: the first value
-    of each kind; at most CAP kinds."""
-    good = sentences.where((F.col("confidence") >= least) & F.col("kind").isNotNull()).withColumn("value", rule_value(F.col("sentence"), F.col("kind"))).where("value is not null")
-    first = good.groupBy("guide_id", "kind").agg(F.min_by("value", "at").alias("value"))
-    pairs = F.slice(F.sort_array(F.collect_list(F.struct("kind", "value"))), 1, CAP)
-    return first.groupBy("guide_id").agg(F.map_from_entries(pairs).alias("rules"))
+def guide_sentences(guides: DataFrame) -> DataFrame:
+    """Sentences of 8 to 400 characters, cleaned, with their place."""
+    parts = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), r"[\n\r]+")
+    out = guides.select("guide_id", F.posexplode(parts).alias("at", "sentence")).withColumn("sentence", T.clean_text(F.col("sentence")))
+    return out.where(F.length("sentence").between(8, 400))
 
 
 def label_value(text: Column, label: str, stop: str = r"[.;]") -> Column:
@@ -68,39 +58,52 @@ def label_value(text: Column, label: str, stop: str = r"[.;]") -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?i:{label})\s*[:=-]\s*(.*?)(?:{stop}(?:\s|$)|$)", 1)), F.lit(""))
 
 
-def extract_paper(text: Column) -> Column:
-    t = text
-    name = T.parse_paper_size(F.regexp_extract(t, r"(?i)([^.]*(?:\.[0-9][^.]*)*\b(?:paper|bond)\b[^.]*(?:\.[0-9][^.]*)*)", 1))["name"]
-    return F.struct(name.alias("paper"), F.when(t.rlike("(?i)portrait"), "portrait").when(t.rlike("(?i)landscape"), "landscape").alias("orientation"), T.spacing_landscape_options(t)["landscape"].alias("landscape_pages"))
+def extract_paper(flat: Column, said: Column) -> Column:
+    """The size in the first clause on paper, the orientation named first, what is said of landscape pages."""
+    name = bound(first_said(said, r"(?i)\b(?:paper|bond)\b"), lambda c: T.parse_paper_size(c)["name"])
+    turned = F.lower(_or_null(F.regexp_extract(flat, "(?i)(portrait|landscape)", 1)))
+    wide = bound(first_said(said, "(?i)landscape"), lambda c: T.spacing_landscape_options(c)["landscape"])
+    return F.struct(name.alias("paper"), turned.alias("orientation"), wide.alias("landscape_pages"))
+
 
+def extract_spacing_indent(flat: Column, said: Column) -> Column:
+    """A labelled spacing before one in prose, the first indent, the spaces after a sentence."""
+    labelled = label_value(flat, "line spacing")
+    prose = _or_null(F.regexp_extract(flat, r"(?i)((?:double|single|one and a half|[0-9.]+)[ -]*(?:spaced|spacing|line))", 1))
+    indent = _or_null(F.regexp_extract(flat, rf"(?i)indent[a-z]*[^.0-9½]*((?:{MEASURE})\s*(?:{UNIT}|tabs?))", 1))
+    words = bound(first_said(said, r"(?i)\bspaces? after\b"), lambda c: T.spacing_landscape_options(c)["word_spacing"])
+    return F.struct(bound(F.coalesce(labelled, prose), T.parse_line_spacing).alias("line_spacing"), bound(indent, T.parse_indent_inches).alias("indent"), words.alias("word_spacing"))
 
-def extract_spacing_indent(text: Column) -> Column:
-    t = text
-    labelled = label_value(t, "line spacing")
-    said = F.regexp_extract(t, r"(?i)((?:double|single|one and a half|[0-9.]+)[ -]*(?:spaced|spacing|line))", 1)
-    indent = F.regexp_extract(t, rf"(?i)indent[a-z]*[^.0-9½]*((?:{MEASURE})\s*(?:{UNIT}|tabs?))", 1)
-    return F.struct(T.parse_line_spacing(F.coalesce(labelled, said)).alias("line_spacing"), T.parse_indent_inches(F.nullif(indent, F.lit(""))).alias("indent"), T.spacing_landscape_options(t)["word_spacing"].alias("word_spacing"))
 
+def inches(text: Column) -> Column:
+    return F.round(T.parse_length_inches(text), 2)
 
-def uniform_mentions(text: Column) -> Column:
+
+def uniform_mentions(flat: Column) -> Column:
     """Margins said to hold on all sides, in order, in inches."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)margins?(?: of|:)?\s*((?:{MEASURE})\s*{UNIT}) on all sides"), F.lit(1))
-    return F.transform(found, lambda x: F.round(T.parse_length_inches(x), 2))
+    return F.transform(F.regexp_extract_all(flat, F.lit(rf"(?i)margins?(?: of|:)?\s*((?:{MEASURE})\s*{UNIT}) on all sides"), F.lit(1)), inches)
+
 
+def margin_mentions(guides: DataFrame) -> DataFrame:
+    """(guide_id, at, inches, before): every uniform margin in order, and the one before it."""
+    rows = guides.select("guide_id", F.posexplode(uniform_mentions(F.col("flat"))).alias("at", "inches"))
+    return rows.withColumn("before", F.lag("inches").over(Window.partitionBy("guide_id").orderBy("at")))
 
-def extract_margins(text: Column) -> Column:
+
+SIDES = ("left", "right", "top", "bottom")
+
+
+def extract_margins(flat: Column) -> Column:
     """map side -> inches: named sides over the last uniform value."""
-    t, all_ = text, uniform_mentions(text)
-    last = F.try_element_at(all_, F.lit(-1))
-    side = lambda s: F.round(T.parse_length_inches(F.nullif(F.regexp_extract(t, rf"(?i)\b{s} margin\s*[:=]?\s*((?:{MEASURE})\s*{UNIT})", 1), F.lit(""))), 2)
-    full = F.map_from_arrays(F.array(*[F.lit(s) for s in ("left", "right", "top", "bottom")]), F.array(*[F.coalesce(side(s), last) for s in ("left", "right", "top", "bottom")]))
+    named = F.array(*[_or_null(F.regexp_extract(flat, rf"(?i)\b{s} margin\s*[:=]?\s*((?:{MEASURE})\s*{UNIT})", 1)) for s in SIDES])
+    last = F.try_element_at(uniform_mentions(flat), F.lit(-1))
+    full = bound(last, lambda v: F.map_from_arrays(F.array(*[F.lit(s) for s in SIDES]), F.transform(named, lambda n: F.coalesce(inches(n), v))))
     return F.map_filter(full, lambda _, v: v.isNotNull())
 
 
 def margin_conflicts(guides: DataFrame) -> DataFrame:
     """Guides with two or more distinct uniform margins: the later is chosen, the earlier rejected."""
-    m = uniform_mentions(F.col("flat"))
-    return guides.withColumn("m", m).where(F.size(F.array_distinct("m")) >= 2).select(
+    return guides.withColumn("m", uniform_mentions(F.col("flat"))).where(F.size(F.array_distinct("m")) >= 2).select(
         "guide_id", F.size("m").alias("n_mentions"), F.element_at("m", -1).alias("chosen"), F.element_at(F.filter("m", lambda v: v != F.element_at("m", -1)), -1).alias("rejected")
     )
 
@@ -111,21 +114,21 @@ def expand_margins(rules: DataFrame) -> DataFrame:
     return rules.select("guide_id", *sides)
 
 
-def extract_alignment(t: Column, text: Column) -> Column:
+def extract_alignment(flat: Column, text: Column) -> Column:
     """From the flattened text, and overrides from the lines of the text."""
-    said = F.regexp_extract(t, r"(?i)((?:justify|justified|align|flush)[^.]*)", 1)
-    return F.struct(T.parse_alignment(F.nullif(said, F.lit(""))).alias("alignment"), T.alignment_overrides(text).alias("overrides"))
+    found = _or_null(F.regexp_extract(flat, r"(?i)((?:justify|justified|align|flush)[^.]*)", 1))
+    return F.struct(bound(found, T.parse_alignment).alias("alignment"), T.alignment_overrides(text).alias("overrides"))
 
 
-def extract_fonts(text: Column) -> Column:
-    """Families in order of appearance, body and heading sizes."""
-    t = text
-    hits = F.filter(F.array(*[F.struct(F.instr(t, f).alias("at"), F.lit(f).alias("name")) for f in T.FONTS]), lambda x: x["at"] > 0)
-    names = F.slice(F.transform(F.array_sort(hits), lambda x: x["name"]), 1, CAP)
-    head = F.regexp_extract(t, r"(?i)headings?(?: [0-9])?[^.]*?([0-9]+)\s*pt", 1)
-    body = F.regexp_extract(t, rf"(?i)(?:font|use)\b[^.;]*?([0-9]+)(?:\s*pt|\b)", 1)
-    number = lambda c: F.when(c != "", c.cast("double"))
-    return F.struct(names.alias("families"), number(body).alias("body_size"), number(head).alias("heading_size"))
+def extract_fonts(flat: Column) -> Column:
+    """Families in order of appearance, in any case and the longest name at a place; body and heading sizes."""
+    longest = sorted(T.FONTS, key=lambda f: (-len(f), f))
+    names = F.create_map(*[F.lit(x) for f in T.FONTS for x in (f.lower(), f)])
+    found = F.transform(F.regexp_extract_all(flat, F.lit(rf"(?i)\b({'|'.join(longest)})\b"), F.lit(1)), lambda f: F.element_at(names, F.lower(f)))
+    head = F.regexp_extract(flat, r"(?i)headings?(?: [0-9])?[^.]*?([0-9]+)\s*pt", 1)
+    body = F.regexp_extract(flat, r"(?i)(?:font|use)\b[^.;]*?([0-9]+)(?:\s*pt|\b)", 1)
+    number = lambda c: _or_null(c).try_cast("double")
+    return F.struct(F.slice(F.array_distinct(found), 1, CAP).alias("families"), number(body).alias("body_size"), number(head).alias("heading_size"))
 
 
 def body_size_candidates(guides: DataFrame) -> DataFrame:
@@ -145,24 +148,23 @@ def ambiguous_values(guides: DataFrame) -> DataFrame:
     return guides.select("guide_id", F.explode(F.array_distinct(found)).alias("source"))
 
 
-def extract_pagination(text: Column) -> Column:
-    t = text
-    said = F.nullif(F.regexp_extract(t, r"(?i)((?:no page numbers|page numbers?|numbers at)[^.;]*)", 1), F.lit(""))
-    front = F.regexp_extract(t, r"(?i)([^.;]*\b(?:preliminary|numerals?)\b[^.;]*)", 1)
-    o, p = T.pagination_options(front), T.page_position(said)
-    return F.struct(p["label"].alias("position"), o["preliminary"].alias("preliminary"), F.when(said.isNotNull(), p["no_numbers"]).alias("no_numbers"))
+def extract_pagination(flat: Column, said: Column) -> Column:
+    """Where numbers stand, as first said, and the numerals of the preliminary pages."""
+    found = _or_null(F.regexp_extract(flat, r"(?i)((?:no page numbers|page numbers?|numbers at)[^.;]*)", 1))
+    place = bound(found, lambda c: F.struct(T.page_position(c).alias("p"), c.isNotNull().alias("said")))
+    front = bound(first_said(said, r"(?i)\b(?:preliminary|numerals?)\b"), lambda c: T.pagination_options(c)["preliminary"])
+    return bound(place, lambda x: F.struct(x["p"]["label"].alias("position"), front.alias("preliminary"), F.when(x["said"], x["p"]["no_numbers"]).alias("no_numbers")))
 
 
-def extract_heading_styles(text: Column, most: int = 3) -> Column:
+def extract_heading_styles(flat: Column, most: int = 3) -> Column:
     """map level -> style of "Heading n: ..." labels."""
-    t = text
-    levels = F.array(*[F.struct(F.lit(i).alias("level"), label_value(t, rf"heading {i}").alias("said")) for i in range(1, most + 1)])
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), label_value(flat, rf"heading {i}").alias("said")) for i in range(1, most + 1)])
     return F.map_from_entries(F.transform(F.filter(levels, lambda x: x["said"].isNotNull()), lambda x: F.struct(x["level"], T.heading_style_from_text(x["said"]))))
 
 
-def extract_layout_rules(text: Column) -> Column:
-    """Sentences on tables and figures, cut at 300 characters."""
-    one = lambda word: F.nullif(F.substring(F.trim(F.regexp_extract(text, rf"(?i)([^.;]*\b{word}s?\b[^.;]*)", 1)), 1, 300), F.lit(""))
+def extract_layout_rules(said: Column) -> Column:
+    """The first clauses on tables and on figures, cut at 300 characters as the rules keep them."""
+    one = lambda word: _or_null(F.substring(F.trim(first_said(said, rf"(?i)\b{word}s?\b")), 1, 300))
     return F.struct(one("table").alias("tables"), one("figure").alias("figures"))
 
 
@@ -174,10 +176,10 @@ def extract_citation_style(text: Column) -> Column:
 
 def derive_rules(guides: DataFrame) -> DataFrame:
     """All of a guide's rules in one row."""
-    t = F.col("flat")
+    t, said = F.col("flat"), F.col("clauses")
     return guides.select(
-        "guide_id", extract_paper(t).alias("paper"), extract_spacing_indent(t).alias("spacing"), extract_margins(t).alias("margins"), extract_alignment(t, F.col("text")).alias("alignment"),
-        extract_fonts(t).alias("font"), extract_pagination(t).alias("pagination"), extract_heading_styles(t).alias("headings"), extract_citation_style(t).alias("citation_style"),
+        "guide_id", extract_paper(t, said).alias("paper"), extract_spacing_indent(t, said).alias("spacing"), extract_margins(t).alias("margins"), extract_alignment(t, F.col("text")).alias("alignment"),
+        extract_fonts(t).alias("font"), extract_pagination(t, said).alias("pagination"), extract_heading_styles(t).alias("headings"), extract_layout_rules(said).alias("layout"), extract_citation_style(t).alias("citation_style"),
     )
 
 
@@ -247,9 +249,12 @@ ASSIST = (("visual_layout", "table|figure"), ("title_page", "title page"), ("ima
 
 
 def harvest_assist_items(guides: DataFrame) -> DataFrame:
-    """Narrative requirements by pattern: one item per kind found, with the sentence that says it."""
-    t = F.col("flat")
-    rows = [F.when(F.lower(t).rlike(p), F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_extract(t, rf"(?i)([^.;]*(?:{p})[^.;]*)", 1)).alias("said"))) for k, p in ASSIST]
+    """Narrative requirements by pattern: one item per kind found, with the clause that says it."""
+
+    def item(kind: str, pattern: str) -> Column:
+        return bound(first_said(F.col("clauses"), rf"(?i){pattern}"), lambda c: F.when(c.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.trim(c).alias("said"))))
+
+    rows = [item(*a) for a in ASSIST]
     return guides.select("guide_id", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
 
 

@@ -48,7 +48,8 @@ def _of(i: int, values) -> str:
     return f"{_sql_list(values)}[{_at(i)} + 1]"
 
 
-_SENT = r"""SELECT guide_id, at, trim(regexp_replace(s, '\s+', ' ', 'g')) AS sentence FROM (SELECT guide_id, unnest(string_split_regex(text, '[.!?]+\s+|\n+')) AS s, unnest(range(len(string_split_regex(text, '[.!?]+\s+|\n+')))) AS at FROM guides)
+_SENT = r"""SELECT guide_id, at, trim(regexp_replace(s, '\s+', ' ', 'g')) AS sentence FROM (SELECT guide_id, unnest(p) AS s, unnest(range(len(p))) AS at FROM (
+        SELECT guide_id, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '[\n\r]+') AS p FROM guides))
     WHERE length(trim(regexp_replace(s, '\s+', ' ', 'g'))) BETWEEN 8 AND 400"""
 fixtures.SQL["sentences"] = _SENT
 
@@ -58,25 +59,6 @@ def guide_sentences(t):
     return G.guide_sentences(t.guides)
 
 
-@query("rule_value", f"SELECT guide_id, {_of(1, ('2.0', '1.5', '1.0', None))} AS line_spacing, {_of(0, ('A4', 'LETTER', 'LEGAL', None))} AS paper, {_of(6, ('APA', 'MLA', 'IEEE', None))} AS citation FROM gids")
-def rule_value(t):
-    s = G.guide_sentences(t.guides).withColumn("kind", G.sentence_kind(F.col("sentence"))).where("kind in ('line_spacing', 'paper', 'citation')")
-    v = s.withColumn("value", G.rule_value(F.col("sentence"), F.col("kind"))).groupBy("guide_id").pivot("kind", ["line_spacing", "paper", "citation"]).agg(F.min_by("value", "at"))
-    return t.guides.select("guide_id").join(v, "guide_id", "left")
-
-
-@query(
-    "predicted_rules",
-    f"""SELECT guide_id, coalesce({_of(1, ("2.0", "1.5", "1.0", None))}, '-') AS line_spacing, coalesce({_of(6, ("APA", "MLA", "IEEE", None))}, '-') AS citation FROM gids""",
-)
-def predicted_rules(t):
-    """Sentences classified by their words; odd places stand for low confidence in other kinds."""
-    s = G.guide_sentences(t.guides).withColumn("kind", G.sentence_kind(F.col("sentence")))
-    s = s.withColumn("confidence", F.when(F.col("kind").isin("line_spacing", "citation"), 0.9).otherwise(0.3))
-    r = t.guides.select("guide_id").join(G.predicted_rules(s), "guide_id", "left")
-    return r.select("guide_id", *[F.coalesce(F.try_element_at("rules", F.lit(k)), F.lit("-")).alias(k) for k in ("line_spacing", "citation")])
-
-
 @query("label_value", f"SELECT guide_id, {_of(0, ('A4', None, None, None))} AS paper_size, {_of(1, (None, '1.5 lines', None, None))} AS line_spacing, {_of(4, ('Times New Roman, 12 pt', None, None, None))} AS font FROM gids")
 def label_value(t):
     x = F.col("flat")
@@ -85,12 +67,12 @@ def label_value(t):
 
 @query("extract_paper", f"SELECT guide_id, {_of(0, ('A4', 'LETTER', 'LEGAL', None))} AS paper, {_of(0, (None, 'portrait', 'landscape', None))} AS orientation FROM gids")
 def extract_paper(t):
-    return t.guides.select("guide_id", G.extract_paper(F.col("flat")).alias("p")).select("guide_id", "p.paper", "p.orientation")
+    return t.guides.select("guide_id", G.extract_paper(F.col("flat"), F.col("clauses")).alias("p")).select("guide_id", "p.paper", "p.orientation")
 
 
 @query("extract_spacing_indent", f"SELECT guide_id, {_of(1, (2.0, 1.5, 1.0, None))}::DOUBLE AS line_spacing, {_of(1, (None, None, 0.5, None))}::DOUBLE AS indent FROM gids")
 def extract_spacing_indent(t):
-    return t.guides.select("guide_id", G.extract_spacing_indent(F.col("flat")).alias("p")).select("guide_id", "p.line_spacing", "p.indent")
+    return t.guides.select("guide_id", G.extract_spacing_indent(F.col("flat"), F.col("clauses")).alias("p")).select("guide_id", "p.line_spacing", "p.indent")
 
 
 _M = [f'{_of(2, v)}::DOUBLE AS "{s}"' for s, v in (("left", (1.0, 1.5, 1.5, None)), ("right", (1.0, 1.0, 1.5, None)), ("top", (1.0, None, 1.5, None)), ("bottom", (1.0, None, 1.5, None)))]
@@ -102,6 +84,15 @@ def extract_margins(t):
     return t.guides.select("guide_id", G.extract_margins(F.col("flat")).alias("m")).select("guide_id", *[F.try_element_at("m", F.lit(s)).alias(s) for s in _SIDES])
 
 
+@query(
+    "margin_mentions",
+    f"""SELECT guide_id, unnest(range(len(m))) AS at, unnest(m)::DOUBLE AS inches, unnest([NULL] || m[:len(m) - 1])::DOUBLE AS before
+        FROM (SELECT guide_id, CASE {_at(2)} WHEN 0 THEN [1.0] WHEN 2 THEN [1.0, 1.5] ELSE [] END AS m FROM gids) WHERE len(m) > 0""",
+)
+def margin_mentions(t):
+    return G.margin_mentions(t.guides)
+
+
 @query("margin_conflicts", f"SELECT guide_id, 2 AS n_mentions, 1.5::DOUBLE AS chosen, 1.0::DOUBLE AS rejected FROM gids WHERE {_at(2)} = 2")
 def margin_conflicts(t):
     return G.margin_conflicts(t.guides)
@@ -142,7 +133,7 @@ def ambiguous_values(t):
 
 @query("extract_pagination", f"SELECT guide_id, {_of(5, ('Top right', 'No page numbers', 'Bottom center', None))} AS position, {_of(5, (None, None, 'roman', None))} AS preliminary FROM gids")
 def extract_pagination(t):
-    return t.guides.select("guide_id", G.extract_pagination(F.col("flat")).alias("p")).select("guide_id", "p.position", "p.preliminary")
+    return t.guides.select("guide_id", G.extract_pagination(F.col("flat"), F.col("clauses")).alias("p")).select("guide_id", "p.position", "p.preliminary")
 
 
 @query("extract_heading_styles", f"SELECT guide_id, {_of(7, ('upper', None, None, None))} AS case_1, {_of(7, ('left', None, None, None))} AS align_2 FROM gids")
@@ -153,7 +144,7 @@ def extract_heading_styles(t):
 
 @query("extract_layout_rules", f"SELECT guide_id, {_at(7)} = 2 AS has_tables FROM gids")
 def extract_layout_rules(t):
-    return t.guides.select("guide_id", G.extract_layout_rules(F.col("flat"))["tables"].isNotNull().alias("has_tables"))
+    return t.guides.select("guide_id", G.extract_layout_rules(F.col("clauses"))["tables"].isNotNull().alias("has_tables"))
 
 
 @query("extract_citation_style", f"SELECT guide_id, {_of(6, ('APA', 'MLA', 'IEEE', None))} AS style FROM gids")
@@ -163,11 +154,22 @@ def extract_citation_style(t):
 
 @query(
     "derive_rules",
-    f"""SELECT guide_id, {_of(0, ("A4", "LETTER", "LEGAL", None))} AS paper, {_of(1, (2.0, 1.5, 1.0, None))}::DOUBLE AS line_spacing, {_of(2, (4, 2, 4, 0))} AS n_margins, {_of(3, ("justify", "left", None, None))} AS alignment,
+    f"""SELECT guide_id, {_of(0, ("A4", "LETTER", "LEGAL", None))} AS paper, {_of(0, (None, "portrait", "landscape", None))} AS orientation, {_of(0, (None, None, "not_allowed", None))} AS landscape_pages,
+        {_of(1, (2.0, 1.5, 1.0, None))}::DOUBLE AS line_spacing, {_of(1, (None, None, 0.5, None))}::DOUBLE AS indent, {", ".join(m.replace('AS "', 'AS "margin_') for m in _M)},
+        {_of(3, ("justify", "left", None, None))} AS alignment, {_of(3, (None, None, None, "center"))} AS page_2, {_of(4, _FAMILIES)} AS families, {_of(4, (None, None, 14.0, None))}::DOUBLE AS heading_size,
+        {_of(5, ("Top right", "No page numbers", "Bottom center", None))} AS position, {_of(5, (None, None, "roman", None))} AS preliminary, {_of(5, (False, True, False, None))}::BOOLEAN AS no_numbers,
+        {_of(7, ("upper", None, None, None))} AS case_1, {_of(7, ("left", None, None, None))} AS align_2, {_of(7, (None, None, "Tables and figures stand on one page", None))} AS tables,
         {_of(6, ("APA", "MLA", "IEEE", None))} AS citation_style FROM gids""",
-)
+)
 def derive_rules(t):
-    return G.derive_rules(t.guides).select("guide_id", "paper.paper", "spacing.line_spacing", F.size("margins").alias("n_margins"), "alignment.alignment", "citation_style")
+    """Every structure of the rules, field by field."""
+    r = G.derive_rules(t.guides)
+    return r.select(
+        "guide_id", "paper.paper", "paper.orientation", "paper.landscape_pages", "spacing.line_spacing", "spacing.indent", *[F.try_element_at("margins", F.lit(s)).alias(f"margin_{s}") for s in _SIDES],
+        "alignment.alignment", F.try_element_at("alignment.overrides", F.lit(2)).alias("page_2"), F.concat_ws(",", "font.families").alias("families"), "font.heading_size",
+        "pagination.position", "pagination.preliminary", "pagination.no_numbers", F.try_element_at("headings", F.lit(1))["letter_case"].alias("case_1"), F.try_element_at("headings", F.lit(2))["alignment"].alias("align_2"),
+        "layout.tables", "citation_style",
+    )
 
 
 @query("merge_fill", f"SELECT guide_id, coalesce({_of(3, ('justify', 'left', None, None))}, 'center') AS alignment, {_of(4, ('Times New Roman,Georgia', 'Arial,Georgia', 'Arial,Calibri,Georgia', 'Georgia'))} AS families FROM gids")

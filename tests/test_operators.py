@@ -240,3 +240,56 @@ def test_document_without_layout_falls_back_to_its_text(spark, tmp_path):
     own = spark.createDataFrame([(1, "own 1"), (2, "own 2")], "doc_id long, text string")
     got = read_parsed_documents(spark, str(tmp_path), own).select("doc_id", "text").collect()
     assert sorted(map(tuple, got)) == [(1, "parsed"), (2, "own 2")]
+
+
+def test_rule_model_tells_types_of_unseen_wordings(spark):
+    """Three wordings of each rule are learnt; of the fourth, never seen, most are told, and prose is told from rules."""
+    from manuscript_jobs.operators import rule_model as R
+    from manuscript_jobs.plans.rule_queries import WORDINGS
+
+    rows = [(w.replace("{}", v) + ".", k, i) for k in R.RULE_TYPES for i, w in enumerate(WORDINGS[k][0]) for v in WORDINGS[k][1]]
+    prose = [(f"The {a} of {b} was {c} when they came to it.", "other", i % 4) for i, (a, b, c) in enumerate((a, b, c) for a in ("house", "river", "song") for b in ("night", "stone", "morning", "war") for c in ("old", "lost", "bright"))]
+    df = spark.createDataFrame(rows + prose, "sentence string, rule_type string, wording int")
+    model = R.train_rule_model(df.where("wording < 3"), rounds=25, dimensions=1 << 11)
+    got = R.classified(model, df.where("wording = 3")).select("rule_type", "kind").collect()
+    told = sum(r.rule_type == r.kind for r in got)
+    assert told >= 0.6 * len(got)
+    assert all(r.kind == "other" for r in got if r.rule_type == "other")
+    assert R.train_rule_model(df.where("wording < 1"), most=20, rounds=2, dimensions=64).stages[0].labels
+
+
+def test_predicted_rules_fold_in_order(spark):
+    from manuscript_jobs.operators import rule_model as R
+
+    rows = [
+        (1, 0, "Use Arial.", "font_family", 0.9), (1, 1, "Use Georgia.", "font_family", 0.9), (1, 2, "Use ARIAL again.", "font_family", 0.9), (1, 3, "12 pt", "font_size", 0.9),
+        (1, 4, "11 pt", "font_size", 0.9), (1, 5, "99 pt", "font_size", 0.9), (1, 6, "Left margin 1 inch", "margin_left", 0.9), (1, 7, "Left margin 2 in", "margin_left", 0.5),
+        (1, 8, "Indent one tab", "paragraph_indent", 0.55), (1, 9, "Legal paper", "paper_size", 0.9), (1, 10, "Any", "font_color", 0.9), (1, 11, "Heading bold", "heading_style", 0.9), (1, 12, "Heading bold", "heading_style", 0.9),
+        (2, 0, None, None, None), (3, 0, "prose", "other", 0.99), *[(4, i, f"Tables {i}", "table_layout" if i % 2 else "table_figure_layout", 0.8) for i in range(20)],
+    ]
+    df = spark.createDataFrame(rows, "guide_id long, at int, sentence string, kind string, confidence double")
+    got = {r.guide_id: r for r in R.predicted_rules(df).collect()}
+    assert set(got) == {1, 4}
+    one = got[1]
+    assert one.font.families == ["Georgia", "Arial"] and one.font.type == "Georgia" and one.font.sizes_points == [12.0, 11.0]
+    assert one.margins_inches == {"left": 1.0} and one.first_line_indent_inches == 0.5 and one.indention == "0.5 inch"
+    assert one.paper.name is None and one.font.color == "Black/Automatic" and one.heading_requirements == ["Heading bold"]
+    assert got[4].table_layout_requirements == [f"Tables {i}" for i in range(12)] and got[4].line_spacing is None
+    assert R.predicted_rules(df.limit(0)).count() == 0
+
+
+def test_guide_fonts_margins_and_long_clauses(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from manuscript_jobs.operators import guides as G
+
+    texts = ["Use Arial Narrow and arial.", "use times new roman 12", "Centuryx", "word " * 200_000 + "preliminary pages in roman numerals; Table 1 " + "word " * 200_000]
+    df = G.with_flat(spark.createDataFrame(list(enumerate(texts)), "guide_id long, text string"))
+    began = time.time()
+    rows = sorted(G.derive_rules(df).collect())
+    assert time.time() - began < 60
+    assert [r.font.families for r in rows] == [["Arial Narrow", "Arial"], ["Times New Roman"], [], []]
+    assert rows[3].pagination.preliminary == "roman" and rows[3].layout.tables.startswith("Table 1 word")
+    assert df.where("guide_id = 0").select(F.size("clauses")).first()[0] >= 1
