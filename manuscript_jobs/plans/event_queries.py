@@ -8,6 +8,7 @@ from ..operators import classify as M
 from ..operators import locate as X
 from ..sources.shared import shared_path
 from ..streaming import events as E
+from ..streaming import stateful as S
 from . import fixtures
 from .registry import query
 
@@ -36,6 +37,45 @@ def dedupe_events(t):
     return E.dedupe_events(again)
 
 
+@query(
+    "claim_events",
+    """WITH d AS (SELECT event_id AS delivery, owner || '-' || (ts::DATE)::VARCHAR AS event_id, ts, substr(event_id, 5)::BIGINT % 3 = 0 AS ok FROM hooks),
+       b AS (SELECT *, coalesce(bool_or(ok) OVER (PARTITION BY event_id ORDER BY ts, ok, delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM d)
+       SELECT event_id, verdict, count(*) AS n FROM (SELECT event_id, CASE WHEN before THEN 'skipped' WHEN ok THEN 'done' ELSE 'failed' END AS verdict FROM b) GROUP BY 1, 2""",
+)
+def claim_events(t):
+    """Deliveries of an owner's day as tries of one event, of which every third goes well."""
+    number = F.substring("event_id", 5, 20).cast("long")
+    tries = t.parsed.select(F.concat_ws("-", "owner", F.to_date("ts").cast("string")).alias("event_id"), "ts", (number % 3 == 0).alias("ok"))
+    return E.claim_events(tries).groupBy("event_id", "verdict").agg(F.count("*").alias("n"))
+
+
+_LOG = "SELECT event_type, 'res_' || (user_id % 50)::VARCHAR AS resource_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1, 2"
+
+
+@query("stream_merchant_log", _LOG)
+def stream_merchant_log(t):
+    """The log by a stream over the event files, merged bucket by bucket."""
+    raw = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
+    events = t.spark.readStream.schema(raw).parquet(f"{t.sf_dir}/event*.parquet")
+    log = events.select("event_type", F.concat(F.lit("res_"), (F.col("user_id") % 50).cast("string")).alias("resource_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = shared_path(t.spark, "merchant-log")
+    merge, last = S.upsert_buckets(t.spark, path), [-1]
+
+    def keep(batch, number):
+        merge(batch, number)
+        last[0] = number
+
+    log.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return S.read_log(t.spark, path, last[0]).select("event_type", "resource_id", "event_id", "ts")
+
+
+@query("payment_states")
+def payment_states(t):
+    """Subscriptions as they stand on a day: plans whose coverage has ended by then are free."""
+    return E.apply_payment_actions(_actions(t.webhooks), as_of=1_706_745_600)
+
+
 fixtures.SQL["bare"] = """
     SELECT event_id, event_type, CASE WHEN substr(event_id, 5)::BIGINT % 3 > 0 OR (substr(event_id, 5)::BIGINT % 2 = 0 AND event_type IN ('checkout_session.payment.paid', 'subscription.updated')) THEN owner END AS owner FROM hooks"""
 

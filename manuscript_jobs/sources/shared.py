@@ -30,3 +30,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, found = _file(spark, path)
+    return system.exists(found)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    system, found = _file(spark, path)
+    system.delete(found, True)
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    system, found = _file(spark, path)
+    return system.getContentSummary(found).getLength() if system.exists(found) else 0

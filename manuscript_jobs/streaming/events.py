@@ -7,10 +7,8 @@ from __future__ import annotations
 
 import calendar
 import datetime
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.folds import fold_in_order
@@ -59,8 +57,18 @@ def signature_window(events: DataFrame, tolerance: int = TOLERANCE_S) -> DataFra
     return events.where(F.abs(F.unix_seconds("ts") - signed) <= tolerance)
 
 
+def claim_events(deliveries: DataFrame, ok: str = "ok") -> DataFrame:
+    """Adds ``verdict`` to deliveries (event_id, ts, ok, ...): ``done`` the first time handling an id went well,
+    ``failed`` before, ``skipped`` ever after. Deliveries of one time go by their outcome, failures first. The stream's
+    form is in ``stateful``. An id's deliveries are one window; only flags are carried along."""
+    good = F.coalesce(F.col(ok), F.lit(False))
+    before = F.max(good).over(Window.partitionBy("event_id").orderBy("ts", good).rowsBetween(Window.unboundedPreceding, -1))
+    return deliveries.withColumn("verdict", F.when(before, "skipped").when(good, "done").otherwise("failed"))
+
+
 def dedupe_events(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Each event id once: within the watermark for streams, for all time in batch."""
+    """Each event id once: within the watermark for streams, for all time in batch. Where events tell how their handling
+    went, ``claim_events`` lets failed ones run again."""
     if events.isStreaming:
         return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
     return events.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in events.columns if c != "event_id"]), "ts").alias("e")).select("event_id", "e.*")
@@ -126,36 +134,29 @@ def _apply(state: tuple, row: dict) -> tuple:
     return tier, paid, since, until, flagged or action == "flag"
 
 
-def _plans(actions: DataFrame) -> DataFrame:
-    """(owner, at, event_id, action, tier, billing_period); plan columns that are missing are null."""
+def _plans(actions: DataFrame, *more: str) -> DataFrame:
+    """(owner, at, event_id, action, tier, billing_period) and ``more``; plan columns that are missing are null."""
     plan = [F.col(c) if c in actions.columns else F.lit(None).cast("string").alias(c) for c in ("tier", "billing_period")]
-    return actions.select("owner", "at", "event_id", "action", *plan)
+    return actions.select("owner", "at", "event_id", "action", *plan, *more)
 
 
-def apply_payment_actions(actions: DataFrame) -> DataFrame:
-    """State of each owner after its actions in order of (at, event_id)."""
+def _lapsed(state: tuple, at: int) -> tuple:
+    """A state as the clock leaves it: what is paid has ended by ``at``."""
+    return ("free", state[1], 0, 0, state[4]) if state[0] != "free" and state[3] <= at else state
 
-    def step(held, row):
-        return (held[0] + 1, _apply(held[1], row)), []
 
-    return fold_in_order(_plans(actions), ["owner"], ["at", "event_id"], _OUT, lambda: (0, _FREE), step, lambda key, held: [(*key, held[0], *held[1])])
+def apply_payment_actions(actions: DataFrame, as_of: int | None = None) -> DataFrame:
+    """State of each owner after its actions in order of (at, event_id); with ``as_of``, those up to then, and plans whose
+    coverage has ended by then are free. The stream's form is ``stateful.payment_states``."""
 
+    def step(held, row):
+        return (held[0] + 1, _apply(held[1] if as_of is None else _lapsed(held[1], row["at"]), row)), []
 
-def apply_payment_actions_stream(actions: DataFrame) -> DataFrame:
-    """The same with state kept by owner, for good, as a subscription is; each batch's actions are taken in their
-    order."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, *_FREE)
-        count, held = now[0], tuple(now[1:])
-        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
-        for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            held, count = _apply(held, row), count + 1
-        state.update((count, *held))
-        yield pd.DataFrame([(key[0], count, *held)], columns=["owner", "n_actions", "tier", "paid", "since", "until", "flagged"])
+    def close(key, held):
+        return [(*key, held[0], *(held[1] if as_of is None else _lapsed(held[1], as_of)))]
 
-    return _plans(actions).groupBy("owner").applyInPandasWithState(update, _OUT, f"n long, {_STATE}", "update", GroupStateTimeout.NoTimeout)
+    rows = _plans(actions) if as_of is None else _plans(actions).where(F.col("at") <= as_of)
+    return fold_in_order(rows, ["owner"], ["at", "event_id"], _OUT, lambda: (0, _FREE), step, close)
 
 
 def rate_limit(sends: DataFrame, cooldown: int = 30, window: int = 3600, most: int = 5, most_reset: int = 10) -> DataFrame:
@@ -212,18 +213,6 @@ def merchant_log(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type", "resource_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
 
 
-def upsert_log(spark, path: str):
-    """A ``foreachBatch`` function that merges a batch into the log: a new snapshot a batch, so that a retried
-    batch writes what it wrote before."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{path}/{number - 1}") if number else None
-        merged = merchant_log(batch if old is None else batch.select("event_type", "resource_id", "event_id", "ts").unionByName(old))
-        merged.write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return merge
-
-
 def run_available(stream: DataFrame, path: str, mode: str = "complete") -> int:
     """Runs a stream over what is there now, each batch to its own folder; returns the last batch's number."""
     last = [-1]
