@@ -79,8 +79,9 @@ def prefix_hash(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, bounds): the words of all documents; bounds[d]:bounds[d + 1] are document d's."""
+def words(data: np.ndarray, offsets: np.ndarray, folded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, bounds): the words of all documents; bounds[d]:bounds[d + 1] are document d's. Words that
+    differ in the case of A-Z alone have one hash, but not where ``folded`` is false."""
     n = len(data)
     if not n:
         zero = np.zeros(0, np.int64)
@@ -93,7 +94,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = full.copy()
     last[:-1] &= ~full[1:] | cut[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums, down = prefix_hash(_LOW_BYTE[data])
+    sums, down = prefix_hash((_LOW_BYTE if folded else _BYTE)[data])
     hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
     return hashed, start, end, np.searchsorted(start, offsets)
 

@@ -12,6 +12,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
@@ -87,20 +88,28 @@ class WordTokens:
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words
     in turn. Each distinct word is tokenized once per task (by the tokenizer itself; plain Latin
     words in one call for all, with its normalizer's and splitter's work done here) and its ids kept
-    under the word's 64-bit hash. The store is emptied at ``most`` words.
+    under the word's 64-bit hash, case and all, as special tokens are told by case. The store is emptied at ``most``
+    words. A tokenizer file that normalizes or splits in another way is refused.
     """
 
+    # What a tokenizer file does to a text ahead of its vocabulary, and its splitter's pattern.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALIZERS, SPLITTERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
     def __init__(self, path: str, most: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
+        steps = json.loads(self.full.to_str())
+        before, split = ((steps[k] or {}).get(n, []) for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        if [x["type"] for x in before] != self.NORMALIZERS or [x["type"] for x in split] != self.SPLITTERS or split[0]["pattern"] != {"Regex": self.PATTERN}:
+            raise ValueError(f"{path} splits texts in another way than this packer")
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.bare.encode_special_tokens = True
-        # The splitter's pattern and the byte alphabet are fixed values of the tokenizer file.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(self.PATTERN).findall
         self.plain = regex.compile("[!-~¡-įı-ɏ]*").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -135,7 +144,7 @@ class WordTokens:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the documents between the offsets."""
-        hashed, start, end, bounds = H.words(data, offsets)
+        hashed, start, end, bounds = H.words(data, offsets, folded=False)
         unique, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         if len(self.keys) + len(unique) > self.most:
             self.clear()

@@ -243,12 +243,14 @@ def train(x: np.ndarray, lengths: np.ndarray, bounds: np.ndarray, labels: np.nda
 def fit(docs: DataFrame, labels: DataFrame, usable, most: int = 4000, most_lines: int = 60, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Crf:
     """Fits on up to ``most`` labelled documents for which ``usable`` (a predicate on the id) holds. Only the
     features of a run of ``most_lines`` lines of each, begun at a place drawn by a hash of its id, come to the
-    driver: with the defaults 240,000 lines, 134 MB, at most."""
+    driver: with the defaults 240,000 lines, 134 MB, at most. Of rows that share an id and a label one counts, the least
+    by its features."""
     chosen = (
         labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(usable(F.col("doc_id")) & F.col("label").isin(0, 1))
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label")
         .limit(most)
+        .distinct()
     )
     sample = text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -269,7 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, most: int = 4000, most_lines
                     ["doc_id", "label", "x", "lengths"],
                 )
 
-    rows = sample.select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x binary, lengths binary").collect()
+    rows = sample.select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x binary, lengths binary")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct("x", "lengths")).alias("f")).select("doc_id", "label", "f.*").collect()  # ``most`` rows at most
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.x)))
     if not rows:
         return train(np.zeros((0, WIDTH)), np.zeros(0), np.zeros(1, int), np.zeros(0))

@@ -625,3 +625,39 @@ def test_pipeline_shared_ids(spark):
     assert sorted(str((x.doc_id, x.text)) for x in near) == sorted(map(str, want))
     total = sum(len(WORDS.findall(x.text.encode())) for x in stages["mixing"](spark, docs, "").collect())
     assert total == mix(docs).selectExpr("sum(taken)").first()[0]
+
+
+def test_token_ids_of_special_tokens_and_case():
+    """Ids equal the tokenizer's, whatever case comes first and whatever was seen before."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from manuscript_jobs.llm import hashing as H
+    from manuscript_jobs.llm.packing import TOKENIZER, WordTokens
+
+    path = public_tokenizers.path(TOKENIZER)
+    full, r = Tokenizer.from_file(path), random.Random(4)
+    pieces = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>", "Word", "WORD", "word", "It's", "IT'S", "É", "é", "a1B2", "ſ", "İ", "\u0301"]
+    texts = ["<|endoftext|> <|ENDOFTEXT|>", "<|ENDOFTEXT|> <|endoftext|>", "<|STARTOFTEXT|> <|startoftext|>", "<|startoftext|> <|STARTOFTEXT|>"]
+    texts += ["".join(r.choice([*pieces, " ", " ", "\n"]) for _ in range(12)) for _ in range(300)]
+    for order in (texts, texts[::-1]):
+        tokens = WordTokens(path)
+        for t in order:
+            data, offsets = H.text_bytes(pa.array([t]))
+            assert tokens.ids(data, offsets)[0].tolist() == full.encode(t, add_special_tokens=False).ids, t
+
+
+def test_fit_reads_a_row_an_id_and_label(spark):
+    """Labels and documents of one id many times over bring no more than ``most`` rows to the driver."""
+    from manuscript_jobs.llm import quality as Q
+
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i % 2, text(r, 20)) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 2, i % 2) for i in range(50)], "doc_id long, quality int")
+    seen, train = [], Q.train
+    Q.train = lambda x, lengths, bounds, y: seen.append(len(y)) or train(x, lengths, bounds, y)
+    try:
+        Q.fit(docs, labels, lambda i: i >= 0, most=30)
+    finally:
+        Q.train = train
+    assert seen == [2]
