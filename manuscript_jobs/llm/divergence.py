@@ -73,7 +73,8 @@ def _vectorized(words: DataFrame, kept: DataFrame, scratch: Scratch, name: str)
     model.write().overwrite().save(path)
     vocabulary = kept.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "marked"))
     vocabulary = scratch.cut(vocabulary.join(kept.withColumn("marked", _marked("lang", F.col("term"))), "marked").select("index", "term"), f"{name}-terms")
-    vectors = model.transform(words.select("lang", "source", F.transform("tokens", lambda t: _marked(F.col("lang"), t)).alias("words")))
+    own = words.withColumn("own", F.concat(F.hex("lang"), F.lit(_MARK)))
+    vectors = model.transform(own.select("lang", "source", F.transform("tokens", lambda t: F.concat(F.col("own"), t)).alias("words")))
     vector = F.unwrap_udt("vector")
     entries = vectors.select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("value"))).alias("e"))
     sums = entries.groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.value").cast("long")).alias("count"))
