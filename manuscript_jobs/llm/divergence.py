@@ -73,8 +73,7 @@ def _vectorized(words: DataFrame, kept: DataFrame, scratch: Scratch, name: str)
     model.write().overwrite().save(path)
     vocabulary = kept.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "marked"))
     vocabulary = scratch.cut(vocabulary.join(kept.withColumn("marked", _marked("lang", F.col("term"))), "marked").select("index", "term"), f"{name}-terms")
-    own = words.withColumn("own", F.concat(F.hex("lang"), F.lit(_MARK)))
-    vectors = model.transform(own.select("lang", "source", F.transform("tokens", lambda t: F.concat(F.col("own"), t)).alias("words")))
+    vectors = model.transform(words.select("lang", "source", F.transform("tokens", lambda t: F.concat(F.col("mark"), t)).alias("words")))
     vector = F.unwrap_udt("vector")
     entries = vectors.select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("value"))).alias("e"))
     sums = entries.groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.value").cast("long")).alias("count"))
@@ -83,7 +82,7 @@ def _vectorized(words: DataFrame, kept: DataFrame, scratch: Scratch, name: str)
 
 def group_counts(docs: DataFrame, min_df: int, most_terms: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts, kept, groups): (lang, source, term, count) above 0; (lang, term) of the vocabularies; (lang, source)."""
-    words = scratch.cut(tokens(docs), "words")
+    words = scratch.cut(tokens(docs).withColumn("mark", _marked("lang", F.lit(""))), "words")
     kept = words.select("lang", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df"))
     kept = scratch.cut(kept.where(F.col("df") >= min_df).select("lang", "term"), "kept")
     slices = max(1, -(-kept.count() // most_terms))
