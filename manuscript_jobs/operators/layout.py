@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,18 +199,31 @@ def infer_alignment(boxes: DataFrame, columns: DataFrame) -> DataFrame:
     return boxes.join(columns, list(PAGE)).select("doc_id", "n", out.alias("alignment"))
 
 
+def near_any(x: np.ndarray, y: np.ndarray, cells: np.ndarray, side: int = 3, up: int = 24) -> np.ndarray:
+    """Which boxes have a cell within ``side`` to the left or right and ``up`` above or below: of each column of whole
+    units, the cells in a range of the sorted heights."""
+    y = y - y.min()
+    tall = int(y.max()) + 4 * up
+    keys = np.sort(x[cells] * tall + y[cells] + up)
+    found = np.zeros(len(x), bool)
+    for d in range(-side, side + 1):
+        at = (x + d) * tall + y + up
+        found |= np.searchsorted(keys, at + up, "right") > np.searchsorted(keys, at - up, "left")
+    return found
+
+
 def mark_table_cells(boxes: DataFrame, rounds: int = 8) -> DataFrame:
     """(doc_id, n, cell): seeds (``seed``) grow to narrow neighbours within 1.5 lines whose left edge a cell
-    of the same page shares, for at most ``rounds`` rounds. A page is a small group."""
+    of the same page shares, for at most ``rounds`` rounds. A page is a small group; a round sorts its cells and looks
+    the other boxes up, so time follows the boxes and not their pairs. Places are whole units."""
 
     def grow(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("n").reset_index(drop=True)
-        cell = page["seed"].to_numpy().copy()
+        cell = page["seed"].fillna(False).to_numpy(bool).copy()
         narrow = ((page["x1"] - page["x0"]) < 300).to_numpy()
-        x, y = page["x0"].to_numpy(), page["y0"].to_numpy()
+        x, y = (page[c].to_numpy(np.int64) for c in ("x0", "y0"))
         for _ in range(rounds):
-            near = (abs(x[:, None] - x[None, :]) <= 3) & (abs(y[:, None] - y[None, :]) <= 24)
-            more = cell | (narrow & (near & cell[None, :]).any(1))
+            more = cell | (narrow & near_any(x, y, cell)) if cell.any() else cell
             if (more == cell).all():
                 break
             cell = more

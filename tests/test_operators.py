@@ -349,3 +349,45 @@ def test_guide_fonts_margins_and_long_clauses(spark):
     assert [r.font.families for r in rows] == [["Arial Narrow", "Arial"], ["Times New Roman"], [], []]
     assert rows[3].pagination.preliminary == "roman" and rows[3].layout.tables.startswith("Table 1 word")
     assert df.where("guide_id = 0").select(F.size("clauses")).first()[0] >= 1
+
+
+def test_table_cells_grow_as_by_all_pairs(spark):
+    """Neighbours by sorted heights are those of all pairs; a page of 100,000 boxes takes seconds."""
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x, y = r.integers(-50, 50, 400), r.integers(-300, 900, 400)
+    cells = r.random(400) < 0.2
+    near = (abs(x[:, None] - x[None]) <= 3) & (abs(y[:, None] - y[None]) <= 24)
+    assert np.array_equal(layout.near_any(x, y, cells), (near & cells[None]).any(1))
+    began = time.time()
+    x, y = r.integers(0, 600, 100_000), r.integers(0, 800_000, 100_000)
+    layout.near_any(x, y, r.random(100_000) < 0.2)
+    assert time.time() - began < 5
+
+
+def test_excerpts_are_found_as_by_searching_every_page(spark):
+    import random
+
+    from manuscript_jobs.operators import locate
+
+    r = random.Random(7)
+    word = lambda: r.choice(["alpha", "Beta", "be", "ta be", "É", "gamma delta", "x"])
+    pages = [(d, p, " ".join(word() for _ in range(r.randrange(12))) if p != 1 else None) for d in (1, 2, None) for p in range(4)]
+    excerpts = [(d, i, " ".join(word() for _ in range(r.randrange(5))), r.choice([None, 0, 3, 9]), bool(i % 2)) for d in (1, 2, 3, None) for i in range(30)]
+    p = spark.createDataFrame(pages, "doc_id long, page_index int, text string")
+    e = spark.createDataFrame(excerpts, "doc_id long, excerpt_id long, excerpt string, page_index int, paragraph_start boolean")
+    needles = {}
+    for n in locate.excerpt_needles(e).collect():
+        needles.setdefault((n.doc_id, n.excerpt_id, n.page_index), []).append(n.needle)
+    want = []
+    for (d, x, named), keys in needles.items():
+        own = {q: " ".join((t or "").split()).lower() for dd, q, t in pages if dd == d}
+        if own:
+            hits = [(-len(k), q) for k in keys for q, t in own.items() if k in t]
+            want.append((d, x, named if named in own else min(hits)[1] if hits else None))
+    got = [tuple(g) for g in locate.locate_excerpts(e, p).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert locate.locate_excerpts(e, p.limit(0)).count() == 0
