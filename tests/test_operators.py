@@ -391,3 +391,31 @@ def test_excerpts_are_found_as_by_searching_every_page(spark):
     got = [tuple(g) for g in locate.locate_excerpts(e, p).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert locate.locate_excerpts(e, p.limit(0)).count() == 0
+
+
+def test_section_gaps_of_small_guides(spark):
+    from manuscript_jobs.operators import guide_schema as K
+
+    guide = ["Some words", "b) Typeface - Arial", "Font type: Times", "Font color:", "Body text size: IGNORE", "Paper", "ignore", "Table layout", "none", "Font", "Font color: Black", "Citation Format:", "Citation style : not  applicable", "citation style: APA"]
+    lines = spark.createDataFrame([(1, 1, i + 1, x) for i, x in enumerate(guide)] + [(2, 1, 1, None)], "guide_id long, page int, line int, text string")
+    got = sorted(tuple(r) for r in K.section_gaps(lines).collect() if r.guide_id == 1)
+    absent = [(1, "missing_category", s, "", 1, 1) for s in ("figure_layout", "margins", "pagination")]
+    assert got == sorted([*absent, (1, "missing_value", "font", "font_color", 1, 4), (1, "missing_value", "table_layout", "table_layout", 1, 8)])
+    covered = spark.createDataFrame([(1, "figure_layout", "figure_layout"), (1, "font", "font_color"), *[(1, "margins", f[0]) for f in K.FIELDS["margins"][1]], (1, "pagination", "title_page")], "guide_id long, section string, field string")
+    assert sorted(tuple(r) for r in K.section_gaps(lines, covered).collect() if r.guide_id == 1) == [(1, "missing_category", "pagination", "", 1, 1), (1, "missing_value", "table_layout", "table_layout", 1, 8)]
+    assert K.section_gaps(lines.limit(0)).count() == 0
+
+
+def test_ignored_rules_go_from_nested_structs(spark):
+    from manuscript_jobs.operators import guide_schema as K
+
+    kind = "guide_id long, font struct<heading1_size:double,body_size:double,heading_styles:struct<heading1:string,heading2:string>>, margins_inches map<string,double>, indention string, first_line_indent_inches double, citation_style string, table_layout_requirements array<string>"
+    row = ((14.0, 12.0, ("bold", "italic")), {"left": 1.0, "top": 2.0}, "0.5 inch", 0.5, "APA", ["x"])
+    rules = spark.createDataFrame([(i, *row) for i in range(5)], kind)
+    keys = [(0, "font:heading1_size"), (0, "heading_styles:heading1_style"), (1, "font"), (1, "heading_styles"), (1, "margins"), (2, "paper:indention"), (2, "margins:left"), (2, "no:such"), (3, "table_layout"), (3, "citation_format:citation_style")]
+    got = {r.guide_id: r for r in K.without_ignored(rules, spark.createDataFrame(keys, "guide_id long, key string")).collect()}
+    assert got[0].font == (None, 12.0, (None, "italic")) and got[0].margins_inches == row[1]
+    assert got[1].font is None and got[1].margins_inches is None and got[1].indention == "0.5 inch"
+    assert got[2].indention is None and got[2].first_line_indent_inches is None and got[2].margins_inches == {"top": 2.0} and got[2].font == row[0]
+    assert got[3].table_layout_requirements is None and got[3].citation_style is None
+    assert tuple(got[4])[1:] == row
