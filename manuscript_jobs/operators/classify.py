@@ -6,9 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 
 def stratified_split(df: DataFrame, label: str, key: str, shares: tuple = (0.7, 0.15, 0.15), seed: str = "split-1") -> DataFrame:
     """Adds ``part``: each label's rows in a seeded order, cut by share. No sampling noise: the same at every run.
@@ -93,3 +95,37 @@ def classification_report(pairs: DataFrame, label: str, predicted: str) -> DataF
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     out = sums.withColumn("precision", ratio(F.col("hits"), F.col("n_predicted"))).withColumn("recall", ratio(F.col("hits"), F.col("support")))
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+COMPLIANT = "compliant"
+
+
+# Names for what marks a citation's form beside its words.
+MARKS = ((r"\b[0-9]{4}\b", "yearlike"), (r"[0-9]+", "numlike"), ('["“”]', "quotemark"), (r"\[", "bracket"), (r"\(", "paren"), ("&", "ampersand"))
+
+
+def citation_shape(text: Column) -> Column:
+    """A citation with its numbers and marks named by words, so that word n-grams hold its form."""
+    for pattern, name in MARKS:
+        text = F.regexp_replace(text, pattern, f" {name} ")
+    return text
+
+
+def train_citation_models(labelled: DataFrame, most: int = 4000, rounds: int = 30, dimensions: int = 1 << 12) -> tuple[PipelineModel, PipelineModel]:
+    """Two models of citations (text, style, issue): their style, and what is wrong with them, a null issue being a
+    compliant one. Classes are balanced. Fitted on at most ``most`` rows drawn by hash, the bound of what is read for
+    the fit; rows without a text or a style take no part."""
+    rows = labelled.where("text is not null and style is not null").select(citation_shape(F.col("text")).alias("text"), "style", F.coalesce("issue", F.lit(COMPLIANT)).alias("issue"))
+    path = shared_path(labelled.sparkSession, "labelled-citations")  # both fits read them again and again
+    rows.dropDuplicates().orderBy(F.xxhash64("text", "style", "issue"), "text").limit(most).repartition("text").write.parquet(path)
+    drawn = labelled.sparkSession.read.parquet(path)
+    return tuple(train_classifier(drawn, "text", label, rounds, dimensions, reg=1e-3) for label in ("style", "issue"))
+
+
+def predict_citations(models: tuple[PipelineModel, PipelineModel], df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``style`` and ``style_confidence``, ``compliant``, ``issue`` (null for compliant ones) and ``issue_confidence``.
+    Two narrow passes of the models over every row; a null text is told like an empty one."""
+    some = df.withColumn("_text", citation_shape(F.coalesce(F.col(text), F.lit(""))))
+    first = predict(models[0], some, "_text").select(*some.columns, F.col("predicted").alias("style"), F.col("confidence").alias("style_confidence"))
+    out = predict(models[1], first, "_text").withColumn("compliant", F.col("predicted") == COMPLIANT)
+    return out.select(*df.columns, "style", "style_confidence", "compliant", F.when(~F.col("compliant"), F.col("predicted")).alias("issue"), F.col("confidence").alias("issue_confidence"))

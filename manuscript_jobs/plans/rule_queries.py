@@ -120,6 +120,50 @@ def predicted_rules(t):
     )
 
 
+# Styles with a compliant form and one with an issue; author, year, title, volume and number stand for themselves.
+CITATIONS = (
+    ("APA", "{author}, J. ({year}). {title}. Journal of Letters, {volume}(2), 11-19.", "{author}, J. {title}. Journal of Letters, {volume}(2), 11-19.", "The year is missing"),
+    ("MLA", '{author}, Jane. "{title}." Journal of Letters, vol. {volume}, no. 2, {year}, pp. 11-19.', "{author}, Jane. {title}. Journal of Letters, vol. {volume}, no. 2, {year}, pp. 11-19.", "The title is not in quotation marks"),
+    ("IEEE", '[{number}] J. {author}, "{title}," J. Lett., vol. {volume}, no. 2, pp. 11-19, {year}.', 'J. {author}, "{title}," J. Lett., vol. {volume}, no. 2, pp. 11-19, {year}.', "The number in brackets is missing"),
+)
+
+
+def view_citations(t):
+    """A citation of every document by its own words: author and title from the text, year and volume from the id."""
+    n, words = F.col("doc_id"), F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", " "), " ")
+    forms = F.array(*[F.lit(f) for _, good, bad, _ in CITATIONS for f in (good, bad)])
+    out = F.element_at(forms, (n % 3 * 2 + F.expr("doc_id div 3 % 2") + 1).cast("int"))
+    values = {"author": F.initcap(F.coalesce(F.try_element_at(words, F.lit(1)), F.lit(""))), "title": F.array_join(F.slice(words, 2, 6), " "), "year": (1990 + n % 30).cast("string"), "volume": (n % 47 + 1).cast("string"), "number": (n % 83 + 1).cast("string")}
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), value)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % 3 + 1).cast("int"))
+    return t.documents.select("doc_id", out.alias("text"), pick([c[0] for c in CITATIONS]).alias("style"), F.when(F.expr("doc_id div 3 % 2") == 1, pick([c[3] for c in CITATIONS])).alias("issue"))
+
+
+fixtures.view_citations = view_citations
+
+
+def _citation_models(t):
+    """Models fitted on four fifths of the citations."""
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    return R.classify.train_citation_models(t.citations.where(~held)), t.citations.where(held)
+
+
+@query("predict_citation_styles", f"SELECT doc_id, {_sql_list([c[0] for c in CITATIONS])}[doc_id % 3 + 1] AS style FROM documents")
+def predict_citation_styles(t):
+    """The style of every document's citation."""
+    models, _ = _citation_models(t)
+    return R.classify.predict_citations(models, t.citations.select("doc_id", "text")).select("doc_id", "style")
+
+
+@query("citation_issue_report")
+def citation_issue_report(t):
+    """How well the issues of held-out citations are told, class by class."""
+    models, held = _citation_models(t)
+    pairs = R.classify.predict_citations(models, held.select("doc_id", "text", F.coalesce("issue", F.lit(R.classify.COMPLIANT)).alias("label")))
+    return R.classify.classification_report(pairs.withColumn("told", F.coalesce("issue", F.lit(R.classify.COMPLIANT))), "label", "told")
+
+
 @query("train_rule_model")
 def train_rule_model(t):
     """The report of the sentence model on the fifth of the labelled sentences that it hasn't seen."""

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import guide_schema as K
+from ..operators import guides as G
 from . import fixtures
+from .guide_queries import _FAMILIES, _of
 from .registry import query
 
 STEP = (1, 2, 3, 5, 7, 11, 13, 17)
@@ -50,3 +52,17 @@ fixtures.SQL["owns"] = "SELECT doc_id AS guide_id, len(string_split(coalesce(tex
 @query("section_gaps", "SELECT * FROM (" + " UNION ALL ".join(_gap(i, s) for i, s in enumerate(K.FIELDS)) + ") WHERE code IS NOT NULL")
 def section_gaps(t):
     return K.section_gaps(t.guide_lines)
+
+
+@query(
+    "without_ignored",
+    f"""SELECT guide_id, CASE WHEN guide_id % 3 <> 1 THEN {_of(4, _FAMILIES)} END AS families, CASE WHEN guide_id % 3 <> 0 THEN {_of(2, (1.0, 1.5, 1.5, None))} END::DOUBLE AS "left",
+        {_of(2, (1.0, 1.0, 1.5, None))}::DOUBLE AS "right", CASE WHEN guide_id % 3 <> 2 THEN {_of(6, ("APA", "MLA", "IEEE", None))} END AS citation_style FROM gids""",
+)
+def without_ignored(t):
+    """Every guide's rules without a field, a whole section or a single rule that it ignores."""
+    r = G.derive_rules(t.guides)
+    rules = r.select("guide_id", F.struct(F.concat_ws(",", "font.families").alias("type")).alias("font"), F.col("margins").alias("margins_inches"), "citation_style")
+    key = F.element_at(F.array(*[F.lit(k) for k in ("margins:left", "font", "citation_format:citation_style")]), (F.col("guide_id") % 3 + 1).cast("int"))
+    out = K.without_ignored(rules, t.guides.select("guide_id", key.alias("key")))
+    return out.select("guide_id", F.col("font.type").alias("families"), *[F.try_element_at("margins_inches", F.lit(s)).alias(s) for s in ("left", "right")], "citation_style")

@@ -419,3 +419,22 @@ def test_ignored_rules_go_from_nested_structs(spark):
     assert got[2].indention is None and got[2].first_line_indent_inches is None and got[2].margins_inches == {"top": 2.0} and got[2].font == row[0]
     assert got[3].table_layout_requirements is None and got[3].citation_style is None
     assert tuple(got[4])[1:] == row
+
+
+def test_citation_models_tell_style_and_issue(spark):
+    """Held-out citations of other authors, titles and years: styles all told, issues nearly all; nulls have a result."""
+    import random
+
+    from manuscript_jobs.plans.rule_queries import CITATIONS
+
+    r, rows = random.Random(1), []
+    for i in range(600):
+        style, good, bad, issue = CITATIONS[i % 3]
+        name = lambda: "".join(r.choice("abdegilmnorstu") for _ in range(r.randrange(3, 9)))
+        form = (bad if i // 3 % 2 else good).format(author=name().capitalize(), year=r.randrange(1950, 2030), title=" ".join(name() for _ in range(5)), volume=r.randrange(1, 90), number=r.randrange(1, 90))
+        rows.append((i, form, style, issue if i // 3 % 2 else None))
+    df = spark.createDataFrame(rows, "id long, text string, style string, issue string")
+    models = classify.train_citation_models(df.where("id < 450"), rounds=20, dimensions=1 << 11)
+    got = {g.id: g for g in classify.predict_citations(models, df.where("id >= 450").select("id", "text").union(spark.createDataFrame([(-1, None)], "id long, text string"))).collect()}
+    assert all(got[i].style == s for i, _, s, _ in rows[450:]) and got[-1].style in ("APA", "IEEE", "MLA")
+    assert sum(got[i].issue == x and got[i].compliant == (x is None) for i, _, _, x in rows[450:]) >= 0.95 * 150
