@@ -61,11 +61,11 @@ def view_rulebooks(t):
 
 
 def view_labelled_sentences(t):
-    """A sentence a document, its type, wording and value told by another of its numbers, and the document's own
+    """Eight sentences a document, of types, wordings and values told by a running number, and the document's own
     sentences as ``other``."""
     n = F.col("doc_id")
-    kind, wording, value = (n % 24), F.expr("doc_id div 24 % 4"), F.expr("doc_id div 96 % 4")
-    typed = t.documents.select(said(kind, wording, value).alias("sentence"), F.element_at(F.array(*[F.lit(k) for k in R.RULE_TYPES]), (kind + 1).cast("int")).alias("rule_type"))
+    kind, wording, value = (F.col("m") % 24), F.expr("m div 24 % 4"), F.expr("m div 96 % 4")
+    typed = t.documents.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: n * 8 + k)).alias("m")).select(said(kind, wording, value).alias("sentence"), F.element_at(F.array(*[F.lit(k) for k in R.RULE_TYPES]), (kind + 1).cast("int")).alias("rule_type"))
     prose = G.guide_sentences(t.documents.select(n.alias("guide_id"), "text")).select("sentence", F.lit(R.OTHER).alias("rule_type"))
     return typed.union(prose)
 
