@@ -158,7 +158,7 @@ def extract_citation_style(t):
         {_of(1, (2.0, 1.5, 1.0, None))}::DOUBLE AS line_spacing, {_of(1, (None, None, 0.5, None))}::DOUBLE AS indent, {", ".join(m.replace('AS "', 'AS "margin_') for m in _M)},
         {_of(3, ("justify", "left", None, None))} AS alignment, {_of(3, (None, None, None, "center"))} AS page_2, {_of(4, _FAMILIES)} AS families, {_of(4, (None, None, 14.0, None))}::DOUBLE AS heading_size,
         {_of(5, ("Top right", "No page numbers", "Bottom center", None))} AS position, {_of(5, (None, None, "roman", None))} AS preliminary, {_of(5, (False, True, False, None))}::BOOLEAN AS no_numbers,
-        {_of(7, ("upper", None, None, None))} AS case_1, {_of(7, ("left", None, None, None))} AS align_2, {_of(7, (None, None, "Tables and figures stand on one page", None))} AS tables,
+        {_of(7, ("upper", None, None, None))} AS case_1, {_of(7, ("left", None, None, None))} AS align_2, CASE WHEN {_at(7)} = 2 THEN CASE WHEN {" AND ".join(f"{_at(i)} = 3" for i in (3, 4, 5, 6))} THEN 'Page 2: centered ' ELSE '' END || 'Tables and figures stand on one page' END AS tables,
         {_of(6, ("APA", "MLA", "IEEE", None))} AS citation_style FROM gids""",
 )
 def derive_rules(t):
