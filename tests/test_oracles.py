@@ -10,7 +10,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
-from manuscript_jobs.plans import billing_queries, check_queries, event_queries, guide_queries, layout_queries, library_queries, rule_queries, schema_queries, scoring_queries, source_queries, text_queries  # noqa: E402, F401
+from manuscript_jobs.plans import billing_queries, check_queries, event_queries, guide_queries, indent_queries, layout_queries, library_queries, rule_queries, schema_queries, scoring_queries, source_queries, text_queries  # noqa: E402, F401
 from manuscript_jobs.plans.registry import QUERIES, oracles  # noqa: E402
 
 ORACLES = oracles()
