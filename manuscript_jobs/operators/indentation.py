@@ -54,11 +54,15 @@ def indent_rule(raw: Column, inches: Column, kind: Column, tolerance: Column, st
         .when(said.rlike(r"\b(no|none|without)\s+indent") | F.trim(said).isin("none", "0", "0 inch", "0 inches"), "none")
     )
     form = F.coalesce(F.when(given.isin("no", "disabled"), "none").otherwise(given), told, F.lit("first_line"))
-    length = F.coalesce(parse_indent_inches(raw), inches)
-    length = F.when(form == "none", F.coalesce(length, F.lit(0.0))).otherwise(length)
     named_unset = raw.isNotNull() & rule_unset(raw) & inches.isNull()
-    rule = F.struct(form.alias("type"), length.alias("inches"), F.coalesce(tolerance, F.lit(TOLERANCE)).alias("tolerance"), start_page.cast("long").alias("start_page"))
-    return F.when(length.isNotNull() & ~named_unset, rule)
+    read = F.array(F.struct(F.coalesce(parse_indent_inches(raw), inches).alias("said"), form.alias("type"), named_unset.alias("off")))  # each is told once
+
+    def rule(r: Column) -> Column:
+        length = F.when(r["type"] == "none", F.coalesce(r["said"], F.lit(0.0))).otherwise(r["said"])
+        own = F.struct(r["type"].alias("type"), length.alias("inches"), F.coalesce(tolerance, F.lit(TOLERANCE)).alias("tolerance"), start_page.cast("long").alias("start_page"))
+        return F.when(length.isNotNull() & ~r["off"], own)
+
+    return F.element_at(F.transform(read, rule), 1)
 
 
 def _filled(lines: DataFrame) -> DataFrame:
