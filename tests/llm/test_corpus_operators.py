@@ -469,15 +469,18 @@ def test_topk(spark, shard_rows):
     rows += [(400 + i, [0.5] * 6, 0) for i in range(60)]
     rows += [(500, None, 1), (550, [float("nan")] * 6, 1), (551, [None] * 6, 1), (600, [1.0] * 3, 1), (None, [1.0] * 6, 1), (601, [2.0] * 3, 1), (602, [], 1), (250, [0.1] * 6, 1), (250, [0.3] * 6, 1)]
     rows += [(700, [1e300] * 6, 1), (750, [3e6] * 6, 1), (751, [3e6] * 5 + [2e6], 1), (752, [float("inf")] * 6, 1)]
+    rows += [(800, [-1e200] * 5 + [1.7e308], 1), (801, [1e300] * 5 + [1.1e300], 1), (802, [-1e300] * 6, 1), (803, [1e12] * 6, 1), (850, [0.0] * 6, 1), (None, [1e300] * 6, 1), (900, [-1.0] + [0.0] * 5, 1)]
+    rows += [(1000 + i, [-1e300 * (i + 1)] * 3 + [0.0] * 4, 1) for i in range(8)] + [(950, [1.0] * 7, 1)]  # all scores of 950 lie far below 64 bits
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
-    fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and i != 700 and v and all(x is not None and np.isfinite(x) for x in v)]
+    whole = lambda x: int(x) * 256 if abs(x) >= 2**52 else int(np.floor(256 * x))
+    fine = [(i, [whole(x) for x in v]) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for at, (q, v) in enumerate(fine):
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, (i, w) in enumerate(fine) if j != at and len(w) == len(v))[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+        if q is not None and q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i is None, i or 0) for j, (i, w) in enumerate(fine) if j != at and len(w) == len(v))[:5]
+            want += [(q, k + 1, None if none else i, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, none, i) in enumerate(scored)]
     got = [tuple(x) for x in top_k(df, lambda i: i % 50 == 0, 5, shard_rows, 3).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(map(str, got)) == sorted(map(str, want))
     assert top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
