@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .url_filter import RULES, SOFT, STRICT
+from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT
 
 
 def _op1() -> str:
@@ -21,7 +21,7 @@ def _op1() -> str:
     b AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM a),
     c AS (SELECT *, {lower.format("raw_host")} AS host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM b),
     d AS (SELECT *, {rule} AS rule, {action} AS action, ({strict})::INT AS strict_hits, ({softs})::INT AS soft_hits, ({soft})::INT AS soft_weight FROM c)
-    SELECT page_id, host, path, rule, coalesce(action, CASE WHEN strict_hits >= 1 OR (soft_hits >= 2 AND soft_weight >= 2) THEN 'block' ELSE 'allow' END) AS verdict,
+    SELECT page_id, host, path, rule, coalesce(action, CASE WHEN strict_hits >= 1 OR (soft_hits >= 2 AND soft_weight >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,
            strict_hits, soft_hits, soft_weight FROM d"""
 
 

@@ -24,12 +24,18 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-STRICT = ("adult", "camgirl", "escort", "fetish", "hentai", "hookup", "milf", "nsfw", "nude", "nudes", "porn", "porno", "sex", "webcamsex", "xxx")
+STRICT = (
+    "adult", "bdsm", "blowjob", "camgirl", "camgirls", "camsex", "escort", "escorts", "fetish", "hentai", "hookup", "milf", "nsfw", "nude", "nudes", "onlyfans",
+    "porn", "porno", "pornstar", "sex", "sexcam", "sexcams", "sexchat", "sextube", "striptease", "upskirt", "webcamsex", "xrated", "xvideos", "xxx",
+)
+#: Two weak signs (1 each) are no reason; a strong one (2) and a weak one are, or three weak ones.
 SOFT = (
-    ("bet", 1), ("bets", 1), ("betting", 1), ("bingo", 1), ("bonus", 1), ("casino", 1), ("cheap", 1), ("crack", 1),
-    ("dating", 1), ("free", 1), ("gamble", 1), ("hot", 1), ("jackpot", 1), ("keygen", 1), ("loan", 1), ("pills", 1),
-    ("poker", 1), ("sexy", 2), ("singles", 1), ("slots", 1), ("torrent", 1), ("viagra", 2), ("warez", 2), ("win", 1),
+    ("bet", 1), ("bets", 1), ("betting", 2), ("bingo", 1), ("blackjack", 2), ("bonus", 1), ("casino", 2), ("casinos", 2), ("cheap", 1), ("cialis", 2), ("coupon", 1), ("crack", 1), ("cracked", 1),
+    ("dating", 2), ("discount", 1), ("flirt", 2), ("free", 1), ("freespins", 2), ("gamble", 2), ("gambling", 2), ("hardcore", 2), ("hot", 1), ("jackpot", 2), ("keygen", 2), ("levitra", 2), ("lingerie", 2),
+    ("loan", 1), ("loans", 1), ("lotto", 2), ("lottery", 1), ("mature", 1), ("naked", 2), ("nudity", 2), ("payday", 1), ("pharmacy", 1), ("pills", 1), ("poker", 2), ("replica", 1), ("roulette", 2), ("serial", 1), ("sexy", 2),
+    ("singles", 1), ("slot", 1), ("slots", 2), ("teen", 1), ("teens", 1), ("torrent", 2), ("torrents", 2), ("tube", 1), ("viagra", 2), ("warez", 2), ("webcam", 1), ("win", 1), ("xanax", 2),
 )
+SOFT_LIMIT = 3
 
 
 def vocabulary(terms: DataFrame, most: int = 100_000) -> tuple[tuple, tuple]:
@@ -94,7 +100,7 @@ def count_terms(url: str | None, strict: tuple = STRICT, soft: tuple = SOFT) ->
 
 
 def filter_urls(
-    pages: DataFrame, url: str = "url", rules=RULES, strict: tuple = STRICT, soft: tuple = SOFT, soft_limit: int = 2, keep: tuple = ("page_id",)
+    pages: DataFrame, url: str = "url", rules=RULES, strict: tuple = STRICT, soft: tuple = SOFT, soft_limit: int = SOFT_LIMIT, keep: tuple = ("page_id",)
 ) -> DataFrame:
     """Judges every row: the ``keep`` columns, host, path, rule, verdict, strict_hits, soft_hits and soft_weight.
 

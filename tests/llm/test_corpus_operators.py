@@ -69,6 +69,7 @@ def test_urls(spark):
         None, "", "no scheme", "http://", "HTTPS://A.Example.COM/en/x?y#z", "http://www.example.com/en/", "http://x.net/es/1", "http://x.net/esp",
         "http://com", "http://com/", "http://xcom/", "http://a.org/porn", "http://a.org/pornography", "http://a.org/free-casino", "http://a.org/free/free",
         "http://a.org/?q=1\n/en", "a://b://c/d", "http://a.org/" + "free" * 5000, "http://fr.net/fr/a", "http://a.org/free-casino", "http://a.org/sexy",
+        "http://a.org/free-win", "http://a.org/free-win-hot", "http://a.org/casino/casino", "http://a.org/poker-casino", "http://a.org/FREE/Poker",
     ]
     df = spark.createDataFrame([(i, u, "c", "d") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
     got = {r.page_id: r for r in filter_urls(df).collect()}
@@ -84,8 +85,11 @@ def test_urls(spark):
         fit = max(((len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
         low = (u or "").encode().translate(LOWER).decode()
         bounded = lambda t: re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", low)
-        own = "block" if any(map(bounded, STRICT)) or len([t for t, _ in SOFT if bounded(t)]) >= 2 else "allow"
+        soft = [w for t, w in SOFT if bounded(t)]
+        own = "block" if any(map(bounded, STRICT)) or (len(soft) >= 2 and sum(soft) >= 3) else "allow"
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, fit and fit[1], fit[2] if fit else own), u
+    assert [got[i].verdict for i in range(len(urls) - 5, len(urls))] == ["allow", "block", "allow", "block", "block"]  # weights decide between pairs
+    assert not set(STRICT) & {t for t, _ in SOFT} and len({t for t, _ in SOFT}) == len(SOFT) and {w for _, w in SOFT} == {1, 2}
     assert filter_urls(df.limit(0)).count() == 0
     terms = spark.createDataFrame([("Bad", 1, True), ("so", 2, False), ("so", 3, None), ("la", None, False), (None, 1, True), ("", 1, True)], "term string, weight int, strict boolean")
     assert vocabulary(terms) == (("bad",), (("la", 1), ("so", 3)))
