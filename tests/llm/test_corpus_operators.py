@@ -226,14 +226,25 @@ def test_fingerprints(spark):
     assert abs(P.distinct_count(a) - 3996) < 600 and abs(P.containment(a, b) - 0.75) < 0.15
 
 
-def brute_paragraphs(rows, radius=6):
+def goes_on(a, b):
+    """Words of a and b that agree from the start, over single edits that four equal words follow."""
+    if not a or not b:
+        return 0, 0
+    for x, y in ((1, 1),) if a[0] == b[0] else ((1, 1), (1, 0), (0, 1)):
+        if a[0] == b[0] or (len(a) >= x + 4 and a[x : x + 4] == b[y : y + 4]):
+            i, j = goes_on(a[x:], b[y:])
+            return i + x, j + y
+    return 0, 0
+
+
+def brute_paragraphs(rows, radius=4, least=20):
     """removed of each (key, text), keys ascending: lines and pieces told apart by loops."""
     from manuscript_jobs.llm import hashing as H
 
-    lines, pieces = [], []
+    lines, pieces, known = [], [], {}
     for key, t in rows:
         w = [m.span() for m in WORDS.finditer((t or "").encode())]
-        words = WORDS.findall((t or "").encode().translate(LOWER))
+        words = known[key] = WORDS.findall((t or "").encode().translate(LOWER))
         n = len(w)
         raw = np.frombuffer((t or "").encode(), np.uint8)
         h = [int(x) for x in H.words(raw, np.array([0, len(raw)]))[0]]
@@ -248,14 +259,37 @@ def brute_paragraphs(rows, radius=6):
             if k >= 5:
                 lines.append((key, at, at + k, shingle_set(line, 5)))
             at += k
-    out = {key: set() for key, _ in rows}
+    out, found = {key: set() for key, _ in rows}, {key: {} for key, _ in rows}
+    spans = {key: [] for key, _ in rows}
     for items, link in ((lines, lambda a, b: 100 * len(a & b) >= 80 * len(a | b)), (pieces, lambda a, b: a == b)):
         items.sort(key=lambda x: x[:3])
         links = [(a, b) for a in range(len(items)) for b in range(a) if link(items[a][3], items[b][3])]
         for i, root in enumerate(roots(len(items), links)):
             (d, s, e, _), (fd, fs, fe, _) = items[i], items[root]
             if i != root and (d != fd or s >= fe):
-                out[d].add((s, e, fd, fs))
+                if items is pieces:
+                    found[d][s] = (e, fd, fs, fe)
+                else:
+                    out[d].add((s, e, fd, fs))
+    for d, mine in found.items():
+        for s, (e, fd, fs, fe) in mine.items():
+            most = min(32, (s - fe) // 2) if d == fd else 32
+            left = right = (0, 0)
+            if not any(x[0] == s for x in mine.values()):
+                left = goes_on(known[d][max(s - most, 0) : s][::-1], known[fd][max(fs - most, 0) : fs][::-1])
+            if e not in mine:
+                right = goes_on(known[d][e : e + most], known[fd][fe : fe + most])
+            spans[d].append((s - left[0], e + right[0], fd, fs - left[1]))
+    for d, mine in spans.items():
+        covered = {i for s, e, *_ in mine for i in range(s, e)}
+        for x in mine:
+            s, e = x[:2]
+            while s - 1 in covered:
+                s -= 1
+            while e in covered:
+                e += 1
+            if e - s >= least:
+                out[d].add(x)
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -320,6 +354,32 @@ def test_paragraphs_inside_lines(spark):
     assert not any(got[i] for i, _ in rows[::2] + clean)
 
 
+@pytest.mark.parametrize("edit", ["none", "changed", "missing", "added"])
+def test_passages_go_to_their_ends(spark, edit):
+    """Of 60-word passages in longer lines exact copies go to the word; copies with two edits go but for what lies
+    beyond an edit within four words of an end. What the copy stands in stays, and so does the first."""
+    from manuscript_jobs.llm.paragraph_dedup import dedup_paragraphs
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(50_000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    rows, sizes = [], []
+    for k in range(100):
+        passage, before, after = some(60), some(50), some(50)
+        copy = list(passage)
+        for at in (r.randrange(32, 55), r.randrange(5, 28)) if edit != "none" else ():
+            copy[at : at + 1 if edit != "added" else at] = [] if edit == "missing" else ["edited"]
+        rows += [(2 * k, " ".join(some(40) + passage + some(40))), (2 * k + 1, " ".join(before + copy + after))]
+        sizes.append((len(copy), " ".join(before), " ".join(after)))
+    got = {x.doc_id: x for x in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k].kept == rows[2 * k][1] for k in range(100))
+    hits = [got[2 * k + 1] for k in range(100) if got[2 * k + 1].n_removed]
+    assert len(hits) >= 90
+    full = sum(got[2 * k + 1].n_removed == n for k, (n, _, _) in enumerate(sizes))
+    assert full >= (0.98 if edit == "none" else 0.8) * len(hits), (full, len(hits))
+    assert all(x.kept.startswith(sizes[x.doc_id // 2][1]) and x.kept.endswith(sizes[x.doc_id // 2][2]) for x in hits)
+
+
 def test_paragraph_dedup_short_lines(spark):
     """A line of five words and more goes where it repeats, near copies among them; one of four stays."""
     from manuscript_jobs.llm.paragraph_dedup import dedup_paragraphs
