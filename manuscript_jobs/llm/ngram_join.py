@@ -90,12 +90,12 @@ def join_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     tiles, itemise = Tiles(num, den), whole_texts(size)
     level = levels(docs, itemise)
     prep = scratch.cut(prepared(docs, itemise, lambda _, hashes, bounds: signatures(hashes, bounds, tiles, level)), "prepared")
-    prep, classes = classes_of(prep, scratch)
+    prep, classes, signed = classes_of(prep, scratch)
     rows = scratch.cut(prep.select("doc_id", "n", "key"), "rows")
     # Rows of one id with different texts belong together.
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("_top")).where("a <> _top")
     several = rows.where("n > 0").select("doc_id", "key").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("key").alias("b"))
-    joined = components(prep, classes, docs, itemise, num, den, scratch, several)
+    joined = components(prep, signed, docs, itemise, num, den, scratch, several)
     named = classes.select("key", "rep").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.cut(named.join(least, "component").select("key", "component_id"), "named")

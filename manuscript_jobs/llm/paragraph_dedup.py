@@ -242,8 +242,8 @@ def dedup_paragraphs(
     docs = keyed.select("doc_id", "text") if names is None else keyed.select("doc_id", "text").dropDuplicates(["doc_id"])
     itemise = paragraphs(size, min_words, radius)
     prep = scratch.cut(prepared(docs, itemise, banded(bands, rows, num, den)), "prepared")
-    prep, classes = classes_of(prep, scratch)
-    joined = scratch.cut(components(prep, classes, docs, itemise, num, den, scratch, used=()), "joined")
+    prep, classes, signed = classes_of(prep, scratch)
+    joined = scratch.cut(components(prep, signed, docs, itemise, num, den, scratch, used=()), "joined")
     clusters = joined.union(classes.where("copies > 1").join(joined, "key", "left_anti").select("key", F.col("key").alias("component")))
     items = prep.where("n > 0").select("doc_id", "key", F.expr(f"item & {_PIECE - 1}").alias("item"), F.expr(f"item >= {_PIECE}").alias("piece"))
     places = scratch.cut(sifted(items, "key", sieve(clusters, "key")).join(clusters, "key").select("component", "doc_id", "item", "piece"), "places")

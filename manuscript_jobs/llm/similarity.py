@@ -23,6 +23,8 @@ from .common import Scratch, connected_components, sieve, sifted, text_batches
 
 _U = np.uint64
 BLOCK = 1024
+#: Members of a bucket up to which short bitmaps will do.
+FEW = 32
 CHUNK = 256
 MOST_BITS = 1 << 15
 COUNTERS = 1 << 20
@@ -69,8 +71,8 @@ def levels(docs: DataFrame, itemise: Itemise) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity bits of the hashes modulo a power of two of at least twice their number, up to MOST_BITS."""
-    bits = min(1 << max(6, (2 * len(hashes) - 1).bit_length()), MOST_BITS)
+    """Parity bits of the hashes modulo a power of two of at least twice their number, from 256 up to MOST_BITS."""
+    bits = min(1 << max(8, (2 * len(hashes) - 1).bit_length()), MOST_BITS)
     odd = np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -221,15 +223,19 @@ def short_bitmap(bits: bytes, size: int, num: int, den: int) -> bytes:
 
 
 def _cross(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes of different components within a bucket that short bitmaps allow. A bucket of over BLOCK
-    rows is cut into ``blocks``; each pair of blocks is a group of bounded size, as a bitmap has MOST_BITS at most."""
+    """Pairs of classes of different components within a bucket that bitmaps allow: short ones in a bucket of up to FEW
+    ``members``, whole ones in a larger one, where the many near misses would pass short ones by the square of its size.
+    A bucket of over BLOCK rows is cut into ``blocks``; each pair of blocks is a group of bounded size, as a bitmap has
+    MOST_BITS at most."""
 
     @F.arrow_udf("binary")
     def shortened(bits: pa.Array, n: pa.Array) -> pa.Array:
         return pa.array([None if x is None else short_bitmap(x, m, num, den) for x, m in zip(bits.to_pylist(), n.to_pylist())], pa.binary())
 
-    few = classes.where("bits is not null").select("key", "n", shortened("bits", "n").alias("bits"))
-    cut = rows.join(few, "key").withColumn("_block", F.pmod(F.xxhash64("key"), "blocks"))
+    small, large = rows.where(F.col("members") <= FEW), rows.where(F.col("members") > FEW)
+    whole = classes.select("key", "n", "bits")
+    cut = small.join(whole.withColumn("bits", shortened("bits", "n")), "key").union(large.join(sifted(whole, "key", sieve(large, "key")), "key"))
+    cut = cut.withColumn("_block", F.pmod(F.xxhash64("key"), "blocks"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cut = cut.select("sig", F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"), "_block", "key", "component", "n", "bits")
     placed = cut.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
@@ -241,7 +247,8 @@ def _cross(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
         lengths = np.array([len(m) for m in maps])
         # A pair is bounded at the length of its shorter bitmap; sizes within the threshold differ by a factor
         # of two at most there.
-        levels = {n: np.array([fold(m, n) if len(m) >= n else np.zeros(n, _U) for m in maps]) for n in sorted(set(lengths.tolist()))}
+        found = set(lengths.tolist())
+        levels = {n: np.array([fold(m, n) if len(m) >= n else np.zeros(n, _U) for m in maps]) for n in sorted(found | {n // 4 for n in found if n >= 8})}
         inner = len(set(block.tolist())) == 1
         for i in range(len(rows)):
             if not inner and block[i] != block.min():
@@ -256,8 +263,10 @@ def _cross(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
             shorter = np.minimum(lengths[at], lengths[i])
             for n in set(shorter.tolist()):
                 some = at[shorter == n]
-                off = np.bitwise_count(levels[n][some] ^ levels[n][i]).sum(1, dtype=np.int64)
-                for k in keys[some[(num + den) * off <= (den - num) * (sizes[some] + sizes[i])]].tolist():
+                for words in (n // 4, n) if n >= 8 else (n,):  # a quarter of the bits rules out most
+                    off = np.bitwise_count(levels[words][some] ^ levels[words][i]).sum(1, dtype=np.int64)
+                    some = some[(num + den) * off <= (den - num) * (sizes[some] + sizes[i])]
+                for k in keys[some].tolist():
                     yield min(keys[i], k), max(keys[i], k)
 
     def crossed(batches):
@@ -279,14 +288,18 @@ def _cross(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
     return placed.mapInArrow(crossed, "a long, b long").distinct()
 
 
-def classes_of(prep: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(``prep``, classes): classes are (key, rep, n, bits, copies), each with its smallest document and the count
-    of its items. Where sets that differ have one key (two in 2^64 do), both get ``other_key`` in either table."""
-    aggs = (F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies"))
+def classes_of(prep: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``prep``, classes, signed): classes are (key, rep, n, copies), each with its smallest document and the count
+    of its items; ``signed`` has those that show signatures, with their ``bits``. Where sets that differ have one key (two
+    in 2^64 do), both get ``other_key`` in all tables."""
+    aggs = (F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
     classes = scratch.cut(prep.where("n > 0").groupBy("key", "check").agg(*aggs), "classes")
+    bits = scratch.cut(prep.where("bits is not null").groupBy("key", "check").agg(F.max("bits").alias("bits")), "bits")
+    signed = scratch.cut(sifted(classes, "key", sieve(bits, "key")).join(bits, ["key", "check"]), "signed")
+    scratch.drop("bits")
     twice = classes.groupBy("key").agg(F.count("*").alias("_sets")).where("_sets > 1")
     if twice.isEmpty():
-        return prep, classes.drop("check")
+        return prep, classes.drop("check"), signed.drop("check")
 
     @F.arrow_udf("long")
     def other(key: pa.Array, check: pa.Array) -> pa.Array:
@@ -296,14 +309,14 @@ def classes_of(prep: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
         both = df.join(twice, "key", "left")
         return both.withColumn("key", F.when(F.col("_sets").isNull(), F.col("key")).otherwise(other("key", "check"))).select(df.columns)
 
-    return renamed(prep), scratch.cut(renamed(classes).drop("check"), "classes-named")
+    return renamed(prep), scratch.cut(renamed(classes).drop("check"), "classes-named"), scratch.cut(renamed(signed).drop("check"), "signed-named")
 
 
 def components(
     prep: DataFrame, classes: DataFrame, docs: DataFrame, itemise: Itemise, num: int, den: int, scratch: Scratch, extra: DataFrame | None = None, used: tuple = ("prepared",)
 ) -> DataFrame:
-    """(key, component) of each class with a partner: classes link when den * |intersection| >= num * |union|;
-    ``extra`` (a, b) are further links. A component is named by its smallest key. The tables ``used`` of the
+    """(key, component) of each class with a partner: ``classes`` (the signed ones) link when den * |intersection| >= num *
+    |union|; ``extra`` (a, b) are further links. A component is named by its smallest key. The tables ``used`` of the
     scratch folder, which ``prep`` reads, are deleted once signatures have met."""
     bucket = Window.partitionBy("sig")
     met = prep.select("key", F.explode("sigs").alias("sig")).select("sig", "key", F.min("key").over(bucket).alias("_low"), F.max("key").over(bucket).alias("_top"))
@@ -321,12 +334,12 @@ def components(
     first = connected_components(links, scratch, "first")
 
     def mixed(joined: DataFrame, name: str) -> DataFrame:
-        """(sig, key, component, blocks): the buckets that hold several components, and into how many blocks each is cut."""
+        """(sig, key, component, members, blocks): the buckets that hold several components, and into how many blocks each is cut."""
         known = shared.select("sig", "key").distinct().join(joined.withColumnRenamed("node", "key"), "key", "left")
         known = known.withColumn("component", F.coalesce("component", "key"))
         spread = known.withColumn("_low", F.min("component").over(bucket)).withColumn("_top", F.max("component").over(bucket))
-        spread = spread.withColumn("blocks", F.ceil(F.count("*").over(bucket) / BLOCK))
-        return scratch.cut(spread.where("_low <> _top").select("sig", "key", "component", "blocks"), name)
+        spread = spread.withColumn("members", F.count("*").over(bucket)).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+        return scratch.cut(spread.where("_low <> _top").select("sig", "key", "component", "members", "blocks"), name)
 
     # A further hub of each bucket joins most of what the first left apart: the class of most copies (edited
     # copies are nearer to what was copied than to each other), of equals one of a few drawn by hash.
@@ -343,5 +356,5 @@ def components(
     more = _verified(_bounded(crossed, classes, num, den), docs, itemise, num, den, scratch, "cross")
     every = links.union(more)
     joined = connected_components(every if extra is None else every.union(extra), scratch, "all")
-    scratch.drop("shared", "mixed-2", "star-links", "drawn-links", "cross-links")
+    scratch.drop("shared", "mixed-2", "signed", "star-links", "drawn-links", "cross-links")
     return joined.withColumnRenamed("node", "key")

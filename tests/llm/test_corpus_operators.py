@@ -199,6 +199,25 @@ def test_ngram_join_second_round_and_repeats(spark, monkeypatch):
     assert sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in got) == want
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_near_misses_of_a_large_bucket_are_no_pairs(spark, blocks):
+    """Sets that share most of their hashes but don't link: their pairs must not come out by the square of the bucket,
+    and those that do link must."""
+    from manuscript_jobs.llm import similarity as S
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, 128, dtype=np.uint64)
+    sets = [np.concatenate([base[r.permutation(128)[:114]], r.integers(0, 1 << 63, 14, dtype=np.uint64)]) for _ in range(90)]
+    sets += [np.append(sets[i][1:], np.uint64(i)) for i in range(10)]
+    n = len(sets)
+    links = {(a, b) for b in range(n) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    rows = spark.createDataFrame([(1, i, i, n, blocks) for i in range(n)], "sig long, key long, component long, members long, blocks long")
+    classes = spark.createDataFrame([(i, 128, bytearray(S.bitmap(np.sort(x)))) for i, x in enumerate(sets)], "key long, n long, bits binary")
+    got = {tuple(x) for x in S._cross(rows, classes, 85, 100).collect()}
+    assert links <= got and len(links) >= 10
+    assert len(got - links) < 0.1 * n * (n - 1) / 2
+
+
 def test_fingerprints(spark):
     from manuscript_jobs.llm import fingerprints as P
 
