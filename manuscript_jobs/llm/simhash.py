@@ -1,16 +1,17 @@
-"""SimHash near-duplicates: every link within a Hamming radius, over vantage-point trees of shards.
+"""SimHash near-duplicates: every link within a Hamming radius, over vantage-point trees of equal parts.
 
 A document's words (runs of bytes other than space and 0x09-0x0D, A-Z lower-cased) give word shingles, repeats
 included; a bit of its fingerprint is set where it is set in over half of the shingles' XXH64 hashes. Documents of
 one fingerprint are a class, so copies never meet; only distinct fingerprints do.
 
-Fingerprints are dealt to shards by a vantage-point tree over a bounded sample of them: each node has a vantage
-point and a cut, nearer ones go inside and others outside. A fingerprint belongs to one shard and visits every later
-shard that its ball of the radius reaches; of a linked pair one always meets the other, since a ball around one that
-holds the other reaches the other's shard. In a shard's task the fingerprints that belong there are indexed in a
-tree of their own, with the tight range of distances of every branch, and the visitors stream by: a branch is left out
-where the triangle inequality rules it out. Links are kept as a forest, so a dense shard gives a row a fingerprint
-and not its pairs.
+A fingerprint is cut into one part more than the radius has bits, so two that link have an equal part. It is dealt
+once for each part, to a shard drawn from the part's value: as many rows as there are parts, however many shards. In a shard's
+task those of one value are searched together: few by pairs at a time, many in a vantage-point tree with the tight range of
+distances of every branch, where the triangle inequality leaves branches out. Values that more than ``shard_rows``
+fingerprints have are dealt further, each by a vantage-point tree over a bounded sample of them: a node has a vantage
+point and a cut, nearer ones go inside and others outside; a fingerprint belongs to one such shard and visits every later
+one that its ball of the radius reaches, so of a linked pair one meets the other. Links are kept as a forest, so a dense
+shard gives a row a fingerprint and not its pairs.
 
 Null or empty texts, and texts without words, have fingerprint zero and link like any other; a text of fewer
 words than a shingle has its whole sequence as one. A null id is named by no component unless all ids of it are null
@@ -191,24 +192,90 @@ def _fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return text_batches(docs).mapInArrow(made, "doc_id long, print long")
 
 
-def _placed(prints: DataFrame, tree: ShardTree, radius: int) -> DataFrame:
-    """(shard, visits, print): once where a fingerprint belongs (0), and in every later shard that it reaches (1)."""
+def parts(points: np.ndarray, radius: int) -> list[np.ndarray]:
+    """The values of radius + 1 parts of each fingerprint: of two within the radius, one is equal."""
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(points >> _U(s)) & _U((1 << (e - s)) - 1) for s, e in zip(edges, edges[1:])]
+
+
+def paired(points: np.ndarray, values: np.ndarray, radius: int):
+    """(number, number) arrays of all pairs of points of equal value within the radius, in pieces; ``values`` ascend."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1]) if len(values) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(values)))
+    many = sizes > LEAF
+    for s, n in zip(first[many].tolist(), sizes[many].tolist()):
+        tree = VantageTree(points[s : s + n])
+        for at in range(s, s + n, QUERIES):
+            for q, p in tree.pairs(points[at : min(at + QUERIES, s + n)], radius):
+                yield q + at, p + s
+    few = np.flatnonzero(np.repeat(~many, sizes))
+    own, value = points[few], values[few]
+    for apart in range(1, LEAF):
+        i = np.flatnonzero(value[apart:] == value[:-apart])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(own[i] ^ own[i + apart]) <= radius]
+        if len(i):
+            yield few[i], few[i + apart]
 
-    def dealt(batches):
+
+def _crowded(prints: DataFrame, radius: int, shard_rows: int) -> dict[tuple[int, int], tuple[int, ShardTree]]:
+    """(part, value) of over ``shard_rows`` fingerprints: number of its first shard, and the tree that deals them out."""
+
+    def valued(batches):
         for batch in batches:
             raw = batch.column(0).to_numpy(zero_copy_only=False)
-            points = raw.view(_U)
-            if not len(points):
-                continue
-            who, shard = tree.reached(points, 0)
-            home = np.zeros(len(points), np.int64)
-            home[who] = shard
-            who, shard = tree.reached(points, radius)
-            keep = shard >= home[who]
-            who, shard = who[keep], shard[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array((shard > home[who]).astype(np.int64)), pa.array(raw[who])], ["shard", "visits", "print"])
+            for part, value in enumerate(parts(raw.view(_U), radius)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), part)), pa.array(value.view(np.int64)), batch.column(0)], ["part", "value", "print"])
+
+    each = prints.mapInArrow(valued, "part long, value long, print long")
+    counts = each.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+    most = {(r.part, r.value): r.n for r in counts.collect()}  # at most (radius + 1) * fingerprints / shard_rows
+    if not most:
+        return {}
+    every = prints.sparkSession.createDataFrame([(*k, -(-n // shard_rows), n) for k, n in most.items()], "part long, value long, shards long, n long")
+    drawn = each.join(F.broadcast(every), ["part", "value"]).where(F.pmod(F.xxhash64("print", F.lit(13)), F.greatest(F.lit(1), F.expr(f"n div ({SAMPLE} * shards)"))) == 0)
+    samples: dict[tuple[int, int], list[int]] = {}
+    for r in drawn.select("part", "value", "print").collect():  # some SAMPLE for each shard
+        samples.setdefault((r.part, r.value), []).append(r.print)
+    out, upto = {}, 0
+    for k, n in sorted(most.items()):
+        tree = ShardTree(np.sort(np.array(samples.get(k, []), np.int64)).view(_U), -(-n // shard_rows))
+        out[k] = upto, tree
+        upto += tree.shards
+    return out
+
+
+def _placed(prints: DataFrame, crowded: dict, shards: int, radius: int) -> DataFrame:
+    """(shard, visits, value, print): a row for each part, and one more for each later shard of a crowded value that the
+    fingerprint visits (1). Shards of crowded values have negative numbers and one value."""
+
+    def table(shard, visits, value, raw):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (shard, visits, value, raw)], ["shard", "visits", "value", "print"])
 
-    return prints.mapInArrow(dealt, "shard long, visits long, print long")
+    def dealt(batches):
+        for batch in batches:
+            raw = batch.column(0).to_numpy(zero_copy_only=False)
+            for part, value in enumerate(parts(raw.view(_U), radius)):
+                plain = np.ones(len(raw), bool)
+                for v in [v for p, v in crowded if p == part]:
+                    mine = np.flatnonzero(value == _U(v))
+                    if not len(mine):
+                        continue
+                    plain[mine] = False
+                    (begin, tree), points = crowded[part, v], raw[mine].view(_U)
+                    who, shard = tree.reached(points, 0)
+                    home = np.zeros(len(points), np.int64)
+                    home[who] = shard
+                    who, shard = tree.reached(points, radius)
+                    keep = shard >= home[who]
+                    who, shard = who[keep], shard[keep]
+                    yield table(-1 - begin - shard, shard > home[who], np.zeros(len(who)), raw[mine][who])
+                own = value[plain]
+                drawn = H.mix(own + _U(part << 32)) % _U(shards)
+                yield table(drawn.astype(np.int64) + part * shards, np.zeros(len(own)), own.view(np.int64), raw[plain])
+
+    return prints.mapInArrow(dealt, "shard long, visits long, value long, print long")
 
 
 def _links(placed: DataFrame, radius: int) -> DataFrame:
@@ -219,6 +286,8 @@ def _links(placed: DataFrame, radius: int) -> DataFrame:
 
         def visited(asked):
             """A link of each visitor that meets any; all that it meets are joined."""
+            nonlocal tree
+            tree = tree or VantageTree(points)
             least = np.full(len(asked), len(points))
             for q, p in tree.pairs(asked, radius):
                 fresh = least[q] == len(points)
@@ -228,17 +297,22 @@ def _links(placed: DataFrame, radius: int) -> DataFrame:
             return np.stack([asked[some].view(np.int64), points[least[some]].view(np.int64)], 1)
 
         def built():
-            nonlocal tree, forest, points
-            points = np.concatenate(held) if held else np.zeros(0, _U)
-            tree, forest = VantageTree(points), Forest(len(points))
-            for s in range(0, len(points), QUERIES):
-                q, p = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack(x) for x in tree.pairs(points[s : s + QUERIES], radius))], 1)
-                forest.join(q + s, p)
+            nonlocal forest, points
+            values, points = np.concatenate([np.zeros((2, 0), np.int64), *held], 1)
+            points, forest, found, n = points.view(_U), Forest(len(points)), [], 0
+            for pair in paired(points, values, radius):
+                found.append(np.stack(pair))
+                n += len(pair[0])
+                if n >= SHARD:
+                    forest.join(*np.concatenate(found, 1))
+                    found, n = [], 0
+            if found:
+                forest.join(*np.concatenate(found, 1))
 
         def flushed():
             if shard is None:
                 return np.zeros((0, 2), np.int64)
-            if tree is None:
+            if forest is None:
                 built()
             away = np.flatnonzero(forest.label != np.arange(len(points)))
             return np.stack([points[away].view(np.int64), points[forest.label[away]].view(np.int64)], 1)
@@ -246,7 +320,7 @@ def _links(placed: DataFrame, radius: int) -> DataFrame:
         table = lambda x: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in (0, 1)], ["a", "b"])
         points = np.zeros(0, _U)
         for batch in batches:
-            of, visits, raw = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            of, visits, value, raw = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             edge = np.flatnonzero(np.diff(of) | np.diff(visits)) + 1
             for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(of)]):
                 if s == e:
@@ -255,14 +329,14 @@ def _links(placed: DataFrame, radius: int) -> DataFrame:
                     yield table(flushed())
                     shard, held, tree, forest = of[s], [], None, None
                 if not visits[s]:
-                    held.append(raw[s:e].view(_U).copy())
+                    held.append(np.stack([value[s:e], raw[s:e]]))
                 else:
-                    if tree is None:
+                    if forest is None:
                         built()
                     yield table(visited(raw[s:e].view(_U)))
         yield table(flushed())
 
-    dealt = placed.repartition("shard").sortWithinPartitions("shard", "visits")
+    dealt = placed.repartition("shard").sortWithinPartitions("shard", "visits", "value")
     return dealt.mapInArrow(searched, "a long, b long")
 
 
@@ -270,8 +344,9 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3, doc_id:
     """(doc_id, fingerprint, component_id): ``fingerprint`` in 16 hex digits; ``component_id`` is the smallest id reached
     by links of fingerprints that differ in at most ``radius`` bits.
 
-    There are as many shards as the session has shuffle partitions, each of ``least_rows`` fingerprints or more, and more
-    where a shard would pass ``shard_rows``. The sample that cuts shards holds SAMPLE fingerprints a shard.
+    There are as many shards of a part as the session has shuffle partitions, each of ``least_rows`` fingerprints or more, and
+    more where a shard would pass ``shard_rows``. The sample that cuts a crowded value holds some SAMPLE fingerprints a shard.
+    ``radius`` is below 64.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
@@ -280,12 +355,8 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3, doc_id:
     classes = scratch.cut(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "classes")
     n = classes.count()
     shards = max(1, -(-n // shard_rows), min(width(spark), n // least_rows))
-    tree = ShardTree(np.zeros(0, _U), 1)
-    if shards > 1:
-        want = SAMPLE * shards
-        drawn = classes.select("print").where(F.pmod(F.xxhash64("print", F.lit(13)), F.lit(max(1, n // want))) == 0).limit(4 * want)
-        tree = ShardTree(np.sort(np.array([r[0] for r in drawn.collect()], np.int64)).view(_U), shards)
-    links = scratch.cut(_links(_placed(classes.select("print"), tree, radius), radius), "links")
+    crowded = _crowded(classes.select("print"), radius, shard_rows) if n > shard_rows else {}
+    links = scratch.cut(_links(_placed(classes.select("print"), crowded, shards, radius), radius), "links")
     joined = scratch.cut(connected_components(links, scratch, "joined"), "components")
     named = classes.join(joined.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("component", "print").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -68,6 +68,26 @@ def test_vantage_trees_find_all_pairs(leaf):
     assert all((i, home[j]) in reached for i, j in want)
 
 
+def test_fingerprints_are_dealt_in_proportion(spark):
+    """As many rows a fingerprint whatever the number of shards, and of each linked pair both in one shard."""
+    from manuscript_jobs.llm import simhash as S
+
+    r = np.random.default_rng(8)
+    base = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    flips = [base[:600] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (3, 600), dtype=np.uint64)) for _ in range(2)]
+    points = np.unique(np.concatenate([base, *flips, base[0] ^ (np.uint64(1) << np.arange(63, dtype=np.uint64))]))
+    prints = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "print long")
+    for shards in (1, 40):
+        placed = [tuple(x) for x in S._placed(prints, {}, shards, 3).collect()]
+        assert len(placed) == 4 * len(points) and len({x[0] for x in placed}) >= shards
+    want = roots(len(points), [(i, j) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points[:i] ^ points[i]) <= 3).tolist()])
+    number = {int(x): i for i, x in enumerate(points.view(np.int64))}
+    for crowded in ({}, S._crowded(prints, 3, 30)):
+        links = [(number[x.a], number[x.b]) for x in S._links(S._placed(prints, crowded, 40, 3), 3).collect()]
+        assert roots(len(points), links) == want
+    assert crowded
+
+
 def test_fingerprint_of_a_long_text():
     from manuscript_jobs.llm import simhash as S
 
