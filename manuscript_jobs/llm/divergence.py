@@ -1,11 +1,13 @@
 """Source divergence audit: how far the term shares of the sources of a language lie apart, and which terms stand out.
 
-Terms are runs of letters and bytes of 0x80 or more, A-Z lower-cased. A count vectorizer with a least document
-frequency per language and the greatest integer vocabulary size makes an exact sparse vector of every document; its
+Terms are runs of letters and bytes of 0x80 or more, A-Z lower-cased. Documents of a (lang, source) that lie beside each
+other are counted together, some MERGED bytes of text at a time, and a count is given as the powers of two that it is
+made of: a row of distinct terms for each. A count vectorizer with a least document
+frequency per language and the greatest integer vocabulary size makes an exact sparse vector of every such row; its
 terms carry their language, so one model holds the vocabularies of all languages side by side, and where they
 pass ``most_terms`` together they are taken in slices, a model each. (The document frequencies are counted
 by a hash aggregate ahead of the models, since the vectorizer's own count shuffles objects of its own.) Vectors are summed by
-(lang, source) as integers, index by index. From there on only groups and their terms are left.
+(lang, source) as integers, index by index, each by its row's weight. From there on only groups and their terms are left.
 
 Pairs: terms are dealt out by hash, and all sources of a language that hold a term come as one sparse row. A task lays
 rows side by side and adds up every pair's distances in a matrix of two blocks of sources; a term that neither of a
@@ -30,34 +32,75 @@ from .common import Scratch, global_rank, text_batches, width
 MOST_TERMS = 1 << 20
 #: Sources in a block of pairs, and terms of a row that are laid side by side.
 SOURCES, ROWS = 256, 512
+#: Bytes of text that are counted together.
+MERGED = 8 << 20
 #: Bytes of a term: letters and all of 0x80 or more.
 _TERM = np.zeros(256, bool)
 _TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MARK = "\x01"
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(lang, source, tokens): the terms of each text, in order."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The terms of texts that lie end to end, and how many each text has."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _TERM[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    first = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    last = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+    ends = np.zeros(len(first) + 1, np.int32)
+    np.cumsum(last - first, out=ends[1:])
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(H.LOWER[data[inside[1:-1]]]))
+    return words, np.diff(np.searchsorted(first, offsets))
+
+
+def _by_powers(pairs: np.ndarray, counts: np.ndarray, terms: pa.Array, groups: int):
+    """(groups, weight, their terms) for each power of two: the terms whose count has it. ``pairs`` (group * terms + term)
+    ascend. All groups are in the first."""
+    for k in range(max(int(counts.max(initial=0)).bit_length(), 1)):
+        some = pairs[counts >> k & 1 == 1]
+        ends = np.searchsorted(some, np.arange(groups + 1) * len(terms))
+        own = np.flatnonzero((np.diff(ends) > 0) | (k == 0))
+        yield own, 1 << k, pa.ListArray.from_arrays(pa.array(np.append(ends[own], len(some)).astype(np.int32)), terms.take(pa.array(some % max(len(terms), 1))))
+
+
+def term_rows(docs: DataFrame, merged: int = MERGED) -> DataFrame:
+    """(lang, source, weight, tokens, held): a (lang, source) has a term in ``tokens`` as often as the weights of the rows that
+    hold it add up to; ``held`` counts so the documents of a language that hold it, in rows without source and tokens.
+    A row's terms are distinct. Every group has a row with tokens, be they none."""
+    names = ["lang", "source", "weight", "tokens", "held"]
+
+    def added(held):
+        langs, sources, words = (pa.chunked_array([h[i] for h in held], pa.string()).combine_chunks().dictionary_encode() for i in range(3))
+        lang, source, code = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (langs, sources, words))
+        n, terms = np.concatenate([h[3] for h in held]), words.dictionary
+        known, group = np.unique(lang * len(sources.dictionary) + source, return_inverse=True)
+        empty = lambda rows, kind: pa.nulls(rows, kind)
+        pairs, counts = np.unique(np.repeat(group, n) * len(terms) + code, return_counts=True)
+        for own, weight, lists in _by_powers(pairs, counts, terms, len(known)):
+            of = [langs.dictionary.take(pa.array(known[own] // len(sources.dictionary))), sources.dictionary.take(pa.array(known[own] % len(sources.dictionary)))]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(np.full(len(own), weight)), lists, empty(len(own), lists.type)], names)
+        each = np.unique(np.repeat(np.arange(len(n)), n) * len(terms) + code)  # a term of a document once
+        doc, code = np.divmod(each, max(len(terms), 1))
+        pairs, counts = np.unique(lang[doc] * len(terms) + code, return_counts=True)
+        for own, weight, lists in _by_powers(pairs, counts, terms, len(langs.dictionary)):
+            of = [langs.dictionary.take(pa.array(own)), empty(len(own), pa.string())]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(np.full(len(own), weight)), empty(len(own), lists.type), lists], names)
 
     def made(batches):
+        held, size = [], 0
         for batch in batches:
             data, offsets = H.text_bytes(batch.column(2))
             for a, b in H.slices(offsets):
-                own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                inside = np.zeros(len(own) + 2, bool)
-                inside[1:-1] = _TERM[own]
-                edge = np.zeros(len(own) + 1, bool)
-                edge[at] = True
-                first = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
-                last = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
-                ends = np.zeros(len(first) + 1, np.int32)
-                np.cumsum(last - first, out=ends[1:])
-                raw = H.LOWER[own[inside[1:-1]]]
-                words = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(raw))
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(first, at).astype(np.int32)), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["lang", "source", "tokens"])
-
-    return text_batches(docs).select("lang", "source", "text").mapInArrow(made, "lang string, source string, tokens array<string>")
+                held.append((*(batch.column(i).slice(a, b - a).cast(pa.string()) for i in (0, 1)), *_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])))
+                size += int(offsets[b] - offsets[a])
+                if size >= merged:
+                    yield from added(held)
+                    held, size = [], 0
+        if held:
+            yield from added(held)
+
+    return text_batches(docs).select("lang", "source", "text").mapInArrow(made, "lang string, source string, weight long, tokens array<string>, held array<string>")
 
 
 def _marked(lang, term):
@@ -66,24 +109,24 @@ def _marked(lang, term):
 
 
 def _vectorized(words: DataFrame, kept: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(lang, source, term, count) of the documents' vectors over one slice of the vocabulary, summed."""
+    """(lang, source, term, count) of the rows' vectors over one slice of the vocabulary, summed by weight."""
     slices = kept.groupBy(F.pmod(F.xxhash64("lang", "term"), F.lit(16))).agg(F.collect_list(_marked("lang", F.col("term"))).alias("words"))
     model = CountVectorizer(inputCol="words", outputCol="vector", vocabSize=2**31 - 1, minDF=1.0).fit(slices)
     path = f"{scratch.root}/{name}"
     model.write().overwrite().save(path)
     vocabulary = kept.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "marked"))
     vocabulary = scratch.cut(vocabulary.join(kept.withColumn("marked", _marked("lang", F.col("term"))), "marked").select("index", "term"), f"{name}-terms")
-    vectors = model.transform(words.select("lang", "source", F.transform("tokens", lambda t: F.concat(F.col("mark"), t)).alias("words")))
-    vector = F.unwrap_udt("vector")
-    entries = vectors.select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("value"))).alias("e"))
-    sums = entries.groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.value").cast("long")).alias("count"))
+    vectors = model.transform(words.select("lang", "source", "weight", F.transform("tokens", lambda t: F.concat(F.col("mark"), t)).alias("words")))
+    entries = vectors.select("lang", "source", "weight", F.explode(F.unwrap_udt("vector")["indices"]).alias("index"))  # a term is once in a row
+    sums = entries.groupBy("lang", "source", "index").agg(F.sum("weight").alias("count"))
     return sums.join(vocabulary, "index").select("lang", "source", "term", "count")
 
 
 def group_counts(docs: DataFrame, min_df: int, most_terms: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts, kept, groups): (lang, source, term, count) above 0; (lang, term) of the vocabularies; (lang, source)."""
-    words = scratch.cut(tokens(docs).withColumn("mark", _marked("lang", F.lit(""))), "words")
-    kept = words.select("lang", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df"))
+    rows = scratch.cut(term_rows(docs).withColumn("mark", _marked("lang", F.lit(""))), "words")
+    words = rows.where("tokens is not null")
+    kept = rows.where("held is not null").select("lang", "weight", F.explode("held").alias("term")).groupBy("lang", "term").agg(F.sum("weight").alias("df"))
     kept = scratch.cut(kept.where(F.col("df") >= min_df).select("lang", "term"), "kept")
     slices = max(1, -(-kept.count() // most_terms))
     if slices > 1:

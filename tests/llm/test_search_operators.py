@@ -214,3 +214,29 @@ def test_divergence_of_many_sources(spark):
     docs = spark.createDataFrame(rows, "lang string, source string, text string")
     assert len({s for _, s, _ in rows}) > D.SOURCES
     assert sorted(map(tuple, D.audit(docs, top=3).collect())) == divergence(rows, 30, 3)
+
+
+@pytest.mark.parametrize("merged", [1, 1 << 20])
+def test_terms_of_a_group_are_counted_together(spark, merged):
+    """Counts and document frequencies are the sums of weights, with fewer strings than the texts have terms."""
+    from collections import Counter
+
+    from manuscript_jobs.llm.divergence import term_rows
+
+    texts = [("en", "a", "one two Two 3two"), ("en", "a", "two, one-one"), ("en", "b", "two"), ("de", "a", "zw\u00f6lf zw\u00f6lf"), ("de", "", "12"), ("", "", "")] + [("en", "a", "two two two")] * 20
+    docs = spark.createDataFrame(texts, "lang string, source string, text string").coalesce(1)
+    count, held, want, want_held = Counter(), Counter(), Counter(), Counter()
+    rows = term_rows(docs, merged).collect()
+    for x in rows:
+        for t in x.tokens or ():
+            count[x.lang, x.source, t] += x.weight
+        for t in x.held or ():
+            held[x.lang, t] += x.weight
+    for lang, source, text_ in texts:
+        words = "".join(c if c.isalpha() else " " for c in text_.lower()).split()
+        want.update((lang, source, w) for w in words)
+        want_held.update((lang, w) for w in set(words))
+    assert count == want and held == want_held
+    assert {(x.lang, x.source) for x in rows if x.tokens is not None} == {t[:2] for t in texts}
+    if merged > 1:
+        assert sum(len(x.tokens or ()) for x in rows) < 15 < sum(want.values())
