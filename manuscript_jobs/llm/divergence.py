@@ -54,6 +54,24 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return words, np.diff(np.searchsorted(first, offsets))
 
 
+def _counted(keys: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, ascending, how often each occurs); keys are below ``end``."""
+    if end > 1 << 23:
+        return np.unique(keys, return_counts=True)
+    n = np.bincount(keys)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
+def _once(code: np.ndarray, ends: np.ndarray, terms: int) -> np.ndarray:
+    """Marks one place of each term in each document."""
+    place, out = np.zeros(terms, np.int64), np.arange(len(code))
+    for s, e in zip([0, *ends.tolist()], ends.tolist()):
+        place[code[s:e]] = out[s:e]  # of places of one term, one stays
+        out[s:e] = place[code[s:e]]
+    return out == np.arange(len(code))
+
+
 def _by_powers(pairs: np.ndarray, counts: np.ndarray, terms: pa.Array, groups: int):
     """(groups, weight, their terms) for each power of two: the terms whose count has it. ``pairs`` (group * terms + term)
     ascend. All groups are in the first."""
@@ -76,13 +94,12 @@ def term_rows(docs: DataFrame, merged: int = MERGED) -> DataFrame:
         n, terms = np.concatenate([h[3] for h in held]), words.dictionary
         known, group = np.unique(lang * len(sources.dictionary) + source, return_inverse=True)
         empty = lambda rows, kind: pa.nulls(rows, kind)
-        pairs, counts = np.unique(np.repeat(group, n) * len(terms) + code, return_counts=True)
+        pairs, counts = _counted(np.repeat(group, n) * len(terms) + code, len(known) * len(terms))
         for own, weight, lists in _by_powers(pairs, counts, terms, len(known)):
             of = [langs.dictionary.take(pa.array(known[own] // len(sources.dictionary))), sources.dictionary.take(pa.array(known[own] % len(sources.dictionary)))]
             yield pa.RecordBatch.from_arrays([*of, pa.array(np.full(len(own), weight)), lists, empty(len(own), lists.type)], names)
-        each = np.unique(np.repeat(np.arange(len(n)), n) * len(terms) + code)  # a term of a document once
-        doc, code = np.divmod(each, max(len(terms), 1))
-        pairs, counts = np.unique(lang[doc] * len(terms) + code, return_counts=True)
+        once = _once(code, np.cumsum(n), len(terms))
+        pairs, counts = _counted((np.repeat(lang, n) * len(terms) + code)[once], len(langs.dictionary) * len(terms))
         for own, weight, lists in _by_powers(pairs, counts, terms, len(langs.dictionary)):
             of = [langs.dictionary.take(pa.array(own)), empty(len(own), pa.string())]
             yield pa.RecordBatch.from_arrays([*of, pa.array(np.full(len(own), weight)), empty(len(own), lists.type), lists], names)
