@@ -112,6 +112,14 @@ def test_length_and_tokens(spark):
     assert {r.t: tuple(r.p) for r in df.select("t", T.page_token(F.col("t")).alias("p")).collect()} == tokens
 
 
+def test_page_tokens_of_any_length(spark):
+    """Numbers over 9,999 are page numbers too; among other lines only those of four digits are."""
+    tokens = {"10000": 10000, "Page 59999 of 60000": 59999, "- 123456 -": 123456, "9223372036854775807": 2**63 - 1, "Page 3 of 12345": 3, "12": 12, "xiv": 14}
+    df = spark.createDataFrame([(k,) for k in tokens], "t string")
+    got = df.select("t", T.page_token(F.col("t"))["value"].alias("v"), T.page_token(F.col("t"), 4)["value"].alias("short")).collect()
+    assert {r.t: r.v for r in got} == tokens and {r.t: r.short for r in got if r.short} == {"12": 12, "xiv": 14}
+
+
 def test_parse_compliant_refuses(spark):
     with pytest.raises(Exception, match="not a yes or no"):
         spark.createDataFrame([("maybe",)], "t string").select(T.parse_compliant(F.col("t"))).collect()
