@@ -342,6 +342,23 @@ def test_predicted_rules_fold_in_order(spark):
     assert R.predicted_rules(df.limit(0)).count() == 0
 
 
+def test_long_guides_are_guides(spark, tmp_path):
+    """A guide is none the less one for over 20,000 words, few of its own, in the query as in its SQL; what is white space is the same in both."""
+    import duckdb
+
+    from manuscript_jobs.plans import guide_queries  # noqa: F401
+    from manuscript_jobs.plans.registry import QUERIES, oracles
+
+    texts = ["font", " \n", "\va\vb \u2028\n\n", "a \u2028", "\tb \r", None]
+    rows = [*enumerate(texts), (22, "word " * 20_100)]  # the sentences put before the last one hold under five guide words
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = QUERIES["guide_or_manuscript"](spark, str(tmp_path)).select("guide_id", "guide_words", "sections_present", "words", "verdict").collect()
+    want = duck.execute(f"select guide_id, guide_words, sections_present, words, verdict from ({oracles()['guide_or_manuscript']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r.words or 0 for r in got) > 20_000
+
+
 def test_guide_fonts_margins_and_long_clauses(spark):
     import time
 
