@@ -359,6 +359,20 @@ def test_long_guides_are_guides(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and max(r.words or 0 for r in got) > 20_000
 
 
+def test_assist_items_of_one_place_have_one_order(spark):
+    """Whatever the order of the input, items at the same place give the same rows."""
+    from itertools import permutations
+
+    from manuscript_jobs.operators import guides as G
+
+    rows = [(1, 5, 4, "b"), (1, 5, 4, "a"), (1, 5, 2, "a"), (1, 7, 3, "b")]
+    got = set()
+    for order in permutations(rows):
+        df = spark.createDataFrame(order, "guide_id long, at long, id long, said string").coalesce(1)
+        got.add(tuple(sorted(tuple(r) for r in G.merge_assist_items(df).collect())))
+    assert got == {((1, 1, 2, "a"), (1, 2, 3, "b"))}
+
+
 def test_guide_fonts_margins_and_long_clauses(spark):
     import time
 
