@@ -186,6 +186,20 @@ def test_classifier_learns(spark):
     assert all(r.f1 == 1.0 for r in out) and len(out) == 2
 
 
+def test_term_counts_are_those_of_the_hashing_stages(spark, tmp_path):
+    """Counts made in Arrow batches are the vectors of HashingTF over ``ngram_terms``, whatever the text; terms are counted"""
+    odd = ["", "  ", "é", "日本 語 text", "a", "ab ab ab", "İstanbul ǅ", "x" * 3000, "😀 a😀b", "don't re-use 12.5", "a b", "𝒜𝒷 c", "one two three four " * 400]
+    rows = [(i, x, "ab"[i % 2]) for i, x in enumerate([*odd, *[f"see [{i}] and ({i + 7})" if i % 2 else f"Smith {i} argues" for i in range(40)]])]
+    df = spark.createDataFrame(rows, "id long, text string, label string").repartition(3)
+    for dimensions in (1 << 16, 1000):
+        terms = classify.ngram_terms(df, "text")
+        want = classify.Pipeline(stages=classify.tfidf_features(dimensions).getStages()[:2]).fit(terms).transform(terms)
+        same = [(F.unwrap_udt(f"a.{n}_tf") == F.unwrap_udt(f"b.{n}_tf")).alias(n) for n in classify.TERMS]
+        got = classify.term_counts(df, "text", dimensions).alias("a").join(want.alias("b"), "id").select(*same).collect()
+        assert len(got) == len(rows) and all(all(r) for r in got)
+    assert classify.term_counts(spark.createDataFrame([(1, None)], "id long, text string"), "text", 64).first().words_tf.numNonzeros() == 0
+
+
 def test_streams_equal_their_batch_twins(spark, tmp_path):
     base = datetime.datetime(2024, 1, 1)
     rows = [(f"u{i % 3}", base + datetime.timedelta(minutes=7 * i), f"e{i:03d}", ["activate", "flag", "downgrade", "log"][i % 4]) for i in range(40)]
