@@ -187,7 +187,8 @@ def test_classifier_learns(spark):
 
 
 def test_term_counts_are_those_of_the_hashing_stages(spark, tmp_path):
-    """Counts made in Arrow batches are the vectors of HashingTF over ``ngram_terms``, whatever the text; terms are counted"""
+    """Counts made in Arrow batches are the vectors of HashingTF over ``ngram_terms``, whatever the text; terms are counted at
+    the only reading of the texts; predictions are those of the model's own stages."""
     odd = ["", "  ", "é", "日本 語 text", "a", "ab ab ab", "İstanbul ǅ", "x" * 3000, "😀 a😀b", "don't re-use 12.5", "a b", "𝒜𝒷 c", "one two three four " * 400]
     rows = [(i, x, "ab"[i % 2]) for i, x in enumerate([*odd, *[f"see [{i}] and ({i + 7})" if i % 2 else f"Smith {i} argues" for i in range(40)]])]
     df = spark.createDataFrame(rows, "id long, text string, label string").repartition(3)
@@ -198,6 +199,19 @@ def test_term_counts_are_those_of_the_hashing_stages(spark, tmp_path):
         got = classify.term_counts(df, "text", dimensions).alias("a").join(want.alias("b"), "id").select(*same).collect()
         assert len(got) == len(rows) and all(all(r) for r in got)
     assert classify.term_counts(spark.createDataFrame([(1, None)], "id long, text string"), "text", 64).first().words_tf.numNonzeros() == 0
+    readings = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            readings.add(b.num_rows)
+            yield b
+
+    model = classify.train_classifier(df.mapInArrow(read, df.schema), "text", "label", 5, 1 << 10)
+    assert readings.value == len(rows)
+    counts = classify.term_counts(df, "text", 1 << 10)
+    want = {r.id: (r.prediction, max(r.probability)) for r in model.transform(counts.withColumn("weight", F.lit(1.0))).collect()}
+    got = classify.predict(model, df, "text").collect()
+    assert all(r.predicted == model.stages[0].labels[int(want[r.id][0])] and abs(r.confidence - want[r.id][1]) < 1e-9 for r in got) and len(got) == len(rows)
 
 
 def test_streams_equal_their_batch_twins(spark, tmp_path):
