@@ -214,6 +214,18 @@ def test_term_counts_are_those_of_the_hashing_stages(spark, tmp_path):
     assert all(r.predicted == model.stages[0].labels[int(want[r.id][0])] and abs(r.confidence - want[r.id][1]) < 1e-9 for r in got) and len(got) == len(rows)
 
 
+def test_rule_model_draws_the_least_hashes(spark):
+    """Of either sort at most ``most`` distinct rows, those of the least hashes; a filter on a told column does not tell twice."""
+    from manuscript_jobs.operators import rule_model as R
+
+    rows = [(f"Sentence {i} of {i % 7} words.", "other" if i % 3 else "font_size") for i in range(200)]
+    df = spark.createDataFrame(rows + rows, "sentence string, rule_type string")
+    model = R.train_rule_model(df, most=20, rounds=2, dimensions=64)
+    assert sorted(model.stages[0].labels) == ["font_size", "other"]
+    plan = R.predicted_rules(R.classified(model, df.selectExpr("1L as guide_id", "2 as at", "sentence")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_streams_equal_their_batch_twins(spark, tmp_path):
     base = datetime.datetime(2024, 1, 1)
     rows = [(f"u{i % 3}", base + datetime.timedelta(minutes=7 * i), f"e{i:03d}", ["activate", "flag", "downgrade", "log"][i % 4]) for i in range(40)]
